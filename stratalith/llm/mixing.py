@@ -12,7 +12,9 @@ probability p, and documents are ranked by their random odds u / (1 - u) over
 their inclusion odds p / (1 - p), u being a hash of seed and doc_id. In that order
 they are taken until the source's words are full. The sample's fixed size is
 counted in words, so the document at the edge is taken in part. Weights by
-document make p unequal within a source; sources differ in any case.
+document make p unequal within a source; sources differ in any case. A document
+is taken at most once beyond its certain copies, so strong weights near the cap can
+leave a source short of its target; equal weights can't.
 
 Ranking a source in one task would put a third of all rows there. Ranks are cut
 into ``BUCKETS`` ranges of equal expected size instead; a table of words per

@@ -53,7 +53,7 @@ def test_targets_and_taken(spark):
 
 def test_unequal_probabilities(spark):
     rows, df = corpus(spark)
-    got = M.mix_sources(df, weight="w", share=0.4).collect()
+    got = M.mix_sources(df, weight="w", share=0.1).collect()
     by = {}
     for r in got:
         by.setdefault((r.target, r.source_size), []).append(r.taken)
