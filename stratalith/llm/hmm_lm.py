@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm.textbytes import mix, slices, tables, word_hashes, words
-from stratalith.storage import materialize
+from stratalith.storage import Shared, materialize
 
 STATES = 8
 ROUNDS = 6
@@ -253,7 +253,7 @@ def train(seqs: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int =
     schema = "class int, " + ", ".join(f"{n} double" for n in names)
     width = len(mass)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(hmm)
+        sent = Shared(spark, hmm)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             model = sent.value
@@ -282,7 +282,7 @@ def train(seqs: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int =
                 move[-3 - k] += row
         emit += PRIOR * (mass / mass.sum())[:, None]
         hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-        sent.unpersist()
+        sent.drop()
     return hmm, likelihood
 
 
@@ -314,10 +314,10 @@ def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     counts = materialize(token_counts(docs.where("not held_out")), "counts")
     table, n = vocabulary(counts)
-    vocab = spark.sparkContext.broadcast(table)
+    vocab = Shared(spark, table)
     seqs = materialize(sequences(docs, vocab).withColumn("row", F.monotonically_increasing_id()), "sequences")
     hmm, _ = train(seqs.where("not held_out"), table.mass, states, rounds)
-    model = spark.sparkContext.broadcast((hmm, np.log10(np.maximum(table.mass, 1e-300))))
+    model = Shared(spark, (hmm, np.log10(np.maximum(table.mass, 1e-300))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm, log_mass = model.value

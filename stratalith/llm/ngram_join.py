@@ -13,14 +13,16 @@ also thins out what a widely shared passage brings together.
 Classes that share a key form a tile. Within it they are sorted by set size, and
 only sizes that can reach t are compared (a band). Bitmaps of hashed shingles
 bound each overlap from above: a bit that is set in one bitmap and not in the other
-stands for at least one shingle that the other lacks. Pairs that pass are
-intersected exactly as sorted arrays. Pairs already known to be connected are
-skipped, which leaves the components as they are. So a tile emits a forest, at most
-one link per class, and not its pairs. A tile of more than ``BLOCK_SHINGLES`` hashes
-is cut into blocks, and each pair of blocks is compared in a task of its own, so
-memory is bounded and no pair is lost. The first round takes each class's least key,
-which connects most; the second takes the other keys, where a tile still holds
-classes that aren't connected.
+stands for at least one shingle that the other lacks. The first pass over the tiles
+carries bitmaps only, some bits per shingle, and drops every class that no other in
+its tile can reach; shingles are fetched for the rest. Then pairs that pass the
+bound are intersected exactly as sorted arrays. Pairs already known to be connected
+are skipped, which leaves the components as they are. So a tile emits a forest, at
+most one link per class, and not its pairs. A tile of more than ``BLOCK_SHINGLES``
+hashes or ``BLOCK_CLASSES`` classes is cut into blocks, and each pair of blocks is
+compared in a task of its own, so memory is bounded and no pair is lost. The first
+round of intersections takes each class's least key, which connects most; the second
+takes the other keys, where a tile still holds classes that aren't connected.
 
 A document without words or text has an empty set and is linked with nothing; its
 component is itself. Repeated rows (same doc_id) are rows of their own. The
@@ -45,6 +47,7 @@ from stratalith.llm.textbytes import shingle_sets, slices, tables, word_hashes,
 from stratalith.storage import materialize
 
 BLOCK_SHINGLES = 4 << 20
+BLOCK_CLASSES = 1 << 14
 _CANDIDATES = 8388593  # a prime; bits of the bitmap of candidates, 1 MB
 
 
@@ -64,8 +67,26 @@ def _set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap of the hashes, with 2 to 4 bits for each."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    flat = np.zeros(bits, np.uint8)
+    flat[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flat).tobytes()
+
+
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps cut to ``size`` bytes, a power of two, by laying their parts over each other."""
+    out = np.empty((len(maps), size // 8), np.uint64)
+    for k, m in enumerate(maps):
+        out[k] = np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, size // 8))
+    return out
+
+
 def document_sets(docs: DataFrame, width: int, n_keys: int) -> DataFrame:
-    """doc_id, n_shingles, sid (null for an empty set) and keys for every row."""
+    """doc_id, n_shingles, sid (null for an empty set), keys and bitmap for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tab, cache = tables(), {}
@@ -74,11 +95,11 @@ def document_sets(docs: DataFrame, width: int, n_keys: int) -> DataFrame:
                 sids = [_set_id(s) if len(s) else None for s in sets]
                 keys = [s[:n_keys].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "sid", "keys"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([signature(s) for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "sid", "keys", "bitmap"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, keys array<long>, bitmap binary")
 
 
 def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -119,13 +140,45 @@ def overlaps(a: np.ndarray, many: list[np.ndarray]) -> list[int]:
     return out
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """One row of ``bits`` bits per set, as 64-bit words."""
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for k, s in enumerate(sets):
-        flat = np.zeros(bits, np.uint8)
-        flat[(s % np.uint64(bits)).astype(np.int64)] = 1
-        out[k] = np.packbits(flat).view(np.uint64)
+def bound(maps: np.ndarray, size: np.ndarray, i: int, some: np.ndarray) -> np.ndarray:
+    """No set of ``some`` shares more shingles with set i than this."""
+    return np.minimum(
+        size[some] - np.bitwise_count(maps[some] & ~maps[i]).sum(axis=1, dtype=np.int64),
+        size[i] - np.bitwise_count(maps[i] & ~maps[some]).sum(axis=1, dtype=np.int64),
+    )
+
+
+def reachable(size: np.ndarray, maps: list[bytes], block: np.ndarray | None, percent: int) -> np.ndarray:
+    """Which sets of a tile another one can reach, going by the bitmaps."""
+    order = np.argsort(size, kind="stable")
+    size, maps = size[order], [maps[k] for k in order.tolist()]
+    block = block[order] if block is not None else None
+    live = np.zeros(len(size), bool)
+    done = 0
+    while done < len(size):  # runs of sets whose bitmaps are of one length, and those below that they can reach
+        run = done
+        while run < len(size) and len(maps[run]) == len(maps[done]):
+            run += 1
+        lowest = int(np.searchsorted(size, -(-percent * int(size[done]) // 100)))
+        cut = folded(maps[lowest:run], min(len(m) for m in maps[lowest:run]))
+        part = size[lowest:run]
+        for i in range(done, run):
+            lo = int(np.searchsorted(size, -(-percent * int(size[i]) // 100)))
+            for at in range(i, lo, -256):  # nearest sizes first
+                some = np.arange(max(lo, at - 256), at)
+                if live[i]:
+                    some = some[~live[some]]
+                if block is not None:
+                    some = some[block[some] != block[i]]
+                if len(some):
+                    need = -(-percent * (size[some] + size[i]) // (100 + percent))
+                    fit = some[bound(cut, part, i - lowest, some - lowest) >= need]
+                    if len(fit):
+                        live[i] = True
+                        live[fit] = True
+        done = run
+    out = np.zeros(len(size), bool)
+    out[order] = live
     return out
 
 
@@ -139,73 +192,92 @@ def tile_links(sets: list[np.ndarray], known: np.ndarray, block: np.ndarray | No
     sets, root = [sets[k] for k in order], np.array(known)[order]
     block = block[order] if block is not None else None
     size = np.array([len(s) for s in sets])
-    width = 256
-    while width < 4 * int(np.median(size)) and width < 1 << 16:
-        width *= 2
-    maps = bitmaps(sets, width)
+    maps = [signature(s) for s in sets]
+    maps = folded(maps, min(map(len, maps)))
     links = []
     for i in range(1, len(sets)):
         lo = int(np.searchsorted(size, -(-percent * int(size[i]) // 100)))
         other = np.flatnonzero(root[lo:i] != root[i]) + lo
         if block is not None:
             other = other[block[other] != block[i]]
-        for at in range(0, len(other), 4096):
-            some = other[at : at + 4096]
-            some = some[root[some] != root[i]]
+        while len(other):
+            some, other = other[:256], other[256:]
             need = -(-percent * (size[some] + size[i]) // (100 + percent))
-            most = np.minimum(
-                size[some] - np.bitwise_count(maps[some] & ~maps[i]).sum(axis=1, dtype=np.int64),
-                size[i] - np.bitwise_count(maps[i] & ~maps[some]).sum(axis=1, dtype=np.int64),
-            )
+            most = bound(maps, size, i, some)
             fit = np.flatnonzero(most >= need)
-            for j, least in zip(some[fit[np.argsort(need[fit] - most[fit], kind="stable")]].tolist(), need[fit[np.argsort(need[fit] - most[fit], kind="stable")]].tolist(), strict=True):
+            fit = fit[np.argsort(need[fit] - most[fit], kind="stable")]
+            for j, least in zip(some[fit].tolist(), need[fit].tolist(), strict=True):
                 if root[j] != root[i] and overlaps(sets[i], [sets[j]])[0] >= least:
                     links.append((order[j], order[i]))
                     root[root == root[j]] = root[i]
+                    other = other[root[other] != root[i]]
     return links
 
 
-def _links(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in the tiles: rows of key, sid, root, n, and the tile's shingles."""
-    blocks = F.ceil(F.col("shingles_in_tile") / BLOCK_SHINGLES).cast("int")
+def _cells(tiles: DataFrame, *columns: str) -> DataFrame:
+    """The tiles' rows with the cells (pairs of blocks) that they take part in, most tiles being one cell."""
+    blocks = F.greatest(F.ceil(F.col("shingles_in_tile") / BLOCK_SHINGLES), F.ceil(F.col("in_tile") / BLOCK_CLASSES)).cast("int")
     rows = tiles.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "sid", "root")
-    rows = rows.join(arrays, "sid").select("key", "c1", "c2", "block", "sid", "root", "shingles")
+    return rows.select("key", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "sid", *columns)
+
+
+def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` gets the rows of one cell, without its key, and returns rows for ``schema``."""
     rows = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.int64() if part.split()[1] == "long" else pa.binary() for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cell = [], None
 
-        def done():
-            number: dict[bytes, int] = {}
-            known = np.array([number.setdefault(r[2], len(number)) for r in held])
-            if len(number) < 2:
-                return []
-            block = np.array([r[0] for r in held]) if cell[1] != cell[2] else None
-            sets = [np.frombuffer(r[3], np.uint64) for r in held]
-            return [(held[i][1], held[j][1]) for i, j in tile_links(sets, known, block, percent)]
-
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
 
         for batch in batches:
             found = []
-            for key, c1, c2, *rest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for key, c1, c2, *rest in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
                 if (key, c1, c2) != cell:
-                    found += done() if held else []
+                    found += work(cell, held) if held else []
                     held, cell = [], (key, c1, c2)
                 held.append(rest)
             yield batch_of(found)
         if held:
-            yield batch_of(done())
+            yield batch_of(work(cell, held))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _live(members: DataFrame, percent: int) -> DataFrame:
+    """(key, sid) of the members (key, sid, n, bitmap) that another of their tile can reach."""
+
+    def work(cell, held):
+        block = np.array([r[0] for r in held]) if cell[1] != cell[2] else None
+        live = reachable(np.array([r[2] for r in held]), [r[3] for r in held], block, percent)
+        return [(cell[0], held[k][1]) for k in np.flatnonzero(live).tolist()]
+
+    return _by_cell(_cells(members, "n", "bitmap"), work, "key long, sid binary").distinct()
+
+
+def _links(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in the tiles: rows of key, sid, root, n, and the tile's shingles."""
+
+    def work(cell, held):
+        number: dict[bytes, int] = {}
+        known = np.array([number.setdefault(r[2], len(number)) for r in held])
+        if len(number) < 2:
+            return []
+        block = np.array([r[0] for r in held]) if cell[1] != cell[2] else None
+        sets = [np.frombuffer(r[3], np.uint64) for r in held]
+        return [(held[i][1], held[j][1]) for i, j in tile_links(sets, known, block, percent)]
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    rows = _cells(tiles, "root").join(arrays, "sid").select("key", "c1", "c2", "block", "sid", "root", "shingles")
+    return _by_cell(rows, work, "a binary, b binary")
 
 
 def _open_tiles(members: DataFrame) -> DataFrame:
     """The members (key, sid, n, root) of tiles that hold classes of two components at least."""
-    tiles = members.groupBy("key").agg(F.sum("n").alias("shingles_in_tile"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").drop("lo", "hi")
+    tiles = members.groupBy("key").agg(F.sum("n").alias("shingles_in_tile"), F.count("*").alias("in_tile"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").drop("lo", "hi")
     return members.join(tiles, "key")
 
 
@@ -216,10 +288,13 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sets = materialize(document_sets(docs, width, keys_for(percent)), "sets")
-    reps = materialize(sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
-    members = reps.select("sid", "n", F.posexplode("keys").alias("place", "key"))
-    shared = reps.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key")
-    members = materialize(members.join(shared, "key").withColumn("root", F.col("sid")), "members")
+    reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("bitmap", "bitmap"))])
+    reps = materialize(reps, "classes")
+    every = reps.select("sid", "n", F.posexplode("keys").alias("place", "key"))
+    tiles = every.groupBy("key").agg(F.sum("n").alias("shingles_in_tile"), F.count("*").alias("in_tile")).where("in_tile > 1")
+    shared = materialize(every.join(tiles, "key"), "shared")
+    live = _live(shared.join(reps.select("sid", "bitmap"), "sid"), percent)
+    members = materialize(shared.select("key", "sid", "n", "place").join(live, ["key", "sid"]).withColumn("root", F.col("sid")), "members")
     wanted = members.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
     arrays = materialize(candidate_arrays(docs, materialize(wanted, "wanted"), width), "arrays")
 

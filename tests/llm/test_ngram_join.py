@@ -63,6 +63,7 @@ def test_against_brute_force(spark, width, percent, seed):
 
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(J, "BLOCK_CLASSES", 3)
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, J.jaccard_components(df, 4, 85).collect()), key=repr) == brute(rows, 4, 85)
@@ -74,11 +75,24 @@ def test_empty(spark):
 
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 3000, 200).astype(np.uint64)) for _ in range(40)]
-    maps = J.bitmaps(sets, 256)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(3, 400)).astype(np.uint64)) for _ in range(40)]
+    maps = [J.signature(s) for s in sets]
+    cut, size = J.folded(maps, min(map(len, maps))), np.array([len(s) for s in sets])
     for i in range(40):
-        for j in range(i):
-            assert len(sets[j]) - int(np.bitwise_count(maps[j] & ~maps[i]).sum()) >= J.overlaps(sets[i], [sets[j]])[0]
+        some = np.arange(40)
+        assert all(b >= o for b, o in zip(J.bound(cut, size, i, some), J.overlaps(sets[i], sets), strict=True))
+
+
+def test_reachable_keeps_every_linked_set():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    sets = []
+    for n in (10, 60, 63, 64, 65, 70, 127, 128, 129, 500):
+        for cut in (0, 1, 3, 8):
+            sets.append(np.unique(np.concatenate([base[cut:n], rng.integers(0, 1 << 63, cut // 2).astype(np.uint64)])))
+    size = np.array([len(s) for s in sets])
+    linked = np.array([any(j != i and 100 * o >= 85 * (len(sets[i]) + len(sets[j]) - o) for j, o in enumerate(J.overlaps(sets[i], sets))) for i in range(len(sets))])
+    assert not (linked & ~J.reachable(size, [J.signature(s) for s in sets], None, 85)).any()
 
 
 def test_components(spark):
