@@ -1,7 +1,7 @@
 """All queries of this subpackage, and the SQL of those that SQL can express."""
 
-from stratalith.llm import exact_dedup, hmm_lm, mixing, ngram_join, secret_scan
+from stratalith.llm import exact_dedup, hmm_lm, mixing, ngram_join, secret_scan, toxicity
 
-_MODULES = (mixing, secret_scan, ngram_join, exact_dedup, hmm_lm)
+_MODULES = (mixing, secret_scan, ngram_join, exact_dedup, hmm_lm, toxicity)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
