@@ -28,10 +28,10 @@ result. Only doc_id, item_id and the texts are read.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalith.llm.rowsets import bit_test, bitmap_bytes, row_key, without_rows
 from stratalith.storage import materialize
 
 WIDTH = 6
@@ -99,25 +99,11 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[
     return items, materialize(windows, "windows"), plan
 
 
-def _bitmap(windows: DataFrame) -> str:
-    """The hashes' low bits as a bitmap, in 64-bit numbers, comma-joined: its size doesn't depend on the items."""
-    bit = F.pmod(F.col("h"), F.lit(BITS)) + 1
-    parts = windows.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    out = bytearray(BITS // 8)
-    for n, part in parts:
-        out[(n - 1) * 4096 : n * 4096] = part
-    return ",".join(map(str, np.frombuffer(bytes(out), np.int64).tolist()))
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage, matched, slots, changed_slots for each document that holds an item."""
     items, windows, plan = benchmark_windows(benchmark)
     few = windows.count() <= BROADCAST_ROWS
-    bits = F.split(F.lit(_bitmap(windows)), ",").cast("array<bigint>")  # folded to one literal
-
-    def known(h: Column) -> Column:
-        word = F.element_at(bits, (F.pmod(h, F.lit(BITS)) / 64).cast("int") + 1)
-        return F.call_function("shiftright", word, F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    known = bit_test(bitmap_bytes(windows, "h", BITS), BITS)
 
     def hits(width: int, stride: int) -> Column:
         at = F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
@@ -151,6 +137,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "item_id", "b.coverage", F.col("b.matched").cast("long").alias("matched"), F.col("b.slots").cast("long").alias("slots"), (-F.col("b.less")).cast("long").alias("changed_slots"))
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item."""
+    named = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return without_rows(docs, find_leaks(named, benchmark).select(F.col("doc_id").alias("key")))
+
+
 def op7_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return find_leaks(docs, benchmark)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalith.llm.rowsets import bitmap_bytes, keep_rows, row_key
 from stratalith.storage import materialize
 
 BUCKETS = 1 << 23
@@ -32,25 +33,20 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the bucket of (length, prefix hash)."""
+    """doc_id, text, the key of the row, and its length and prefix hash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     prefix = F.translate(F.substring(text, 1, PREFIX_CHARS), _UPPER, _LOWER)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("len"), F.xxhash64(prefix).alias("prefix"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("len"), F.xxhash64(prefix).alias("prefix"), row_key().alias("key"))
 
 
 def surviving_buckets(keyed: DataFrame) -> bytes:
     """A bitmap with a set bit for each (length, prefix hash) that several rows share."""
     shared = keyed.groupBy("len", "prefix").count().where("count > 1")
-    bucket = F.pmod(F.xxhash64("len", "prefix"), F.lit(BUCKETS)) + 1
-    bits = shared.select(bucket.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-    out = bytearray(BUCKETS // 8)
-    for n, part in bits.collect():  # BUCKETS / 32768 rows at most
-        out[(n - 1) * 4096 : n * 4096] = part
-    return bytes(out)
+    return bitmap_bytes(shared.select(F.xxhash64("len", "prefix").alias("h")), "h", BUCKETS)
 
 
 def text_digests(docs: DataFrame, digest_all: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row (unique), class_sha and text_sha256.
+    """One row per row of ``docs``: doc_id, row (unique), key, class_sha and text_sha256.
 
     class_sha is null for rows that the cheap levels prove single. text_sha256 is
     class_sha, or the hash of every text if ``digest_all``.
@@ -58,9 +54,7 @@ def text_digests(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     spark = docs.sparkSession
     keyed = _keyed(docs)
     bits = spark.sparkContext.broadcast(surviving_buckets(keyed))
-    bucket = F.pmod(F.xxhash64("len", "prefix"), F.lit(BUCKETS)) + 1
-    position = F.bitmap_bit_position(bucket).cast("long") + (F.bitmap_bucket_number(bucket) - 1) * 32768
-    rows = keyed.select("doc_id", "text", position.alias("bit"))
+    rows = keyed.select("doc_id", "text", F.pmod(F.xxhash64("len", "prefix"), F.lit(BUCKETS)).alias("bit"), "key")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = bits.value
@@ -71,14 +65,14 @@ def text_digests(docs: DataFrame, digest_all: bool = False) -> DataFrame:
                 sha = hashlib.sha256(text.as_py().lower()).hexdigest() if repeated or digest_all else None
                 known.append(sha if repeated else None)
                 every.append(sha)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.string()), pa.array(every, pa.string())], ["doc_id", "class_sha", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.string()), pa.array(every, pa.string()), batch.column(3)], ["doc_id", "class_sha", "text_sha256", "key"])
 
-    found = rows.mapInArrow(digest, "doc_id long, class_sha string, text_sha256 string")
+    found = rows.mapInArrow(digest, "doc_id long, class_sha string, text_sha256 string, key long")
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 
 def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
-    """doc_id, row, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
+    """doc_id, row, key, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     rows = text_digests(docs, digest_all)
     groups = rows.where("class_sha is not null").groupBy("class_sha").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = materialize(groups, "groups")  # an exchange of its own for the join, so that Spark can split a hot group
@@ -88,6 +82,7 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     return both.select(
         "doc_id",
         "row",
+        "key",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("keep.row") == F.col("row"), F.lit(True)).alias("kept"),
@@ -95,9 +90,14 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the one with the largest doc_id."""
+    return keep_rows(docs, exact_dedup(docs).select("key", "kept"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_dedup(docs, digest_all=True).drop("row")
+    return exact_dedup(docs, digest_all=True).drop("row", "key")
 
 
 QUERIES = {"op4_exact_dedup": op4_exact_dedup}

@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratalith.llm.rowsets import row_key
 from stratalith.llm.textbytes import WORD
 from stratalith.storage import materialize
 
@@ -105,6 +106,16 @@ def mix_sources(docs: DataFrame, weight: str | None = None, weights: tuple[int,
     return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + sampled).alias("taken"), F.col("whole").alias("whole_copies"), F.col("p").alias("inclusion"))
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes words of, with all columns, and mix_taken, mix_whole_copies, mix_size, mix_target.
+
+    Repeated rows get the decision of one of them.
+    """
+    named = docs.select(row_key().alias("doc_id"), "source", "text")
+    plan = mix_sources(named).groupBy(F.col("doc_id").alias("__key")).agg(*[F.first(c).alias(f"mix_{c}") for c in ("taken", "whole_copies", "size", "target")])
+    return docs.withColumn("__key", row_key()).join(plan.where("mix_taken > 0"), "__key").drop("__key")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("inclusion")
 

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm.components import components
+from stratalith.llm.rowsets import bitmap_bytes, keep_rows, row_key
 from stratalith.llm.textbytes import shingle_sets, slices, tables, word_hashes, words
 from stratalith.storage import materialize
 
@@ -108,11 +109,7 @@ def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFram
     A bitmap of doc_ids, of fixed size, keeps other rows from being parsed again.
     """
     spark = docs.sparkSession
-    bucket = F.pmod(F.coalesce("rep", F.lit(0)), F.lit(_CANDIDATES)) + 1
-    parts = wanted.select(bucket.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    bits = np.zeros((_CANDIDATES // 32768 + 1) * 4096, np.uint8)
-    for n, part in parts:
-        bits[(n - 1) * 4096 : n * 4096] = np.frombuffer(part, np.uint8)
+    bits = np.frombuffer(bitmap_bytes(wanted.select(F.coalesce("rep", F.lit(0)).alias("rep")), "rep", _CANDIDATES), np.uint8)
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,6 +310,13 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return full.union(empty)
 
 
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of linked documents."""
+    named = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = jaccard_components(named, width, percent)
+    return keep_rows(docs, found.select(F.col("doc_id").alias("key"), (F.col("doc_id") == F.col("component_id")).alias("kept")))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
 

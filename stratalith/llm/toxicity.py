@@ -275,6 +275,27 @@ def score_toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFr
     return rows.mapInArrow(run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below 0.5; no exchange."""
+    shared = Shared(docs.sparkSession, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, tab, cache, memo = shared.value, term_tables(), {}, {}
+        for batch in batches:
+            clean = []
+            for _, _, numbers, counts in sparse_rows(batch, batch.schema.get_field_index("text"), index.terms, index.lengths, tab, cache):
+                for term, tf in zip(numbers, counts, strict=True):
+                    key = (tuple(term), tuple(tf))
+                    if key not in memo:
+                        if len(memo) > 100_000:
+                            memo.clear()
+                        memo[key] = index.score(np.array(term, np.int64), np.array(tf, float), k)[0] < 0.5
+                    clean.append(memo[key])
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score_toxicity(docs, fit(docs, labels))
