@@ -45,13 +45,13 @@ ROUNDS = 6
 OWN = 1 << 15
 SUFFIXES = 1 << 14
 HEAD = 1 << 18
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 SEGMENT = 256
-LANES = 2048
+LANES = 512
 PRIOR = 2000.0
 #: The end, as a token; hashes of words don't take a value on purpose.
 END = -7046029254386353131
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 
 
 def _suffix(buf: np.ndarray, start: np.ndarray, end: np.ndarray, tab: dict) -> np.ndarray:
@@ -131,28 +131,32 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     """The vocabulary and N. The end is class 0, then come the frequent tokens, then the suffixes."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = n + 0.5 * (v + 1)
-    top = counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(HEAD).toPandas()
-    token, c = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    # a step of counts from which on there are HEAD tokens at most: a histogram, not a sort of all tokens
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, seen = 0, 0
+    for s, many in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        least, seen = s, seen + many
+        if seen > HEAD:
+            least += 1
+            break
+    top = counts.where((step >= least) | (F.col("token") == END)).toPandas()
+    top = top[top["token"] != END].sort_values(["c", "token"], ascending=[False, True])
     ends = counts.where(F.col("token") == END).first()
-    token, c = np.append(token, END), np.append(c, ends["c"] if ends else 0)
+    token, c = np.append(top["token"].to_numpy(np.int64), END), np.append(top["c"].to_numpy(np.int64), ends["c"] if ends else 0)
+    suffix = np.append(top["suffix"].to_numpy(np.int64), 0)
     own = np.where(np.arange(len(token)) < OWN, np.arange(len(token)) + 1, -1)
     own[-1] = 0
     slot = (token.view(np.uint64) >> np.uint64(64 - int(SLOTS).bit_length() + 1)).astype(np.int64)
-    table = Vocabulary(np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.full(SLOTS, -1, np.int64), total, np.zeros(1 + OWN + SUFFIXES))
-    order = np.arange(len(token) - 1, -1, -1)[1:]  # rarer first, so that in a slot the most frequent stays
+    table = Vocabulary(np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.full(SLOTS, -1, np.int32), total, np.zeros(1 + OWN + SUFFIXES))
+    order = np.arange(len(token) - 2, -1, -1)  # rarer first, so that in a slot the most frequent stays
     for k in (order, np.array([len(token) - 1])):
         table.token[slot[k]], table.count[slot[k]], table.own[slot[k]] = token[k], c[k], own[k]
-    kept = table.token[slot] == token
-    mine = kept & (own >= 0)
-    table.mass[own[mine]] = (c[mine] + 0.5) / total
-    suffix = counts.groupBy("suffix").agg(F.sum(F.col("c") + 0.5).alias("mass"))
-    for s, mass in suffix.collect():  # SUFFIXES rows at most
+    mine = (table.token[slot] == token) & (own >= 0)
+    for s, mass in counts.groupBy("suffix").agg(F.sum(F.col("c") + 0.5)).collect():  # SUFFIXES rows at most
         table.mass[1 + OWN + s] = mass / total
-    apart = counts.sparkSession.createDataFrame([(int(t),) for t in token[mine]], "token long")
-    for s, mass in counts.join(F.broadcast(apart), "token").groupBy("suffix").agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
-        table.mass[1 + OWN + s] -= mass / total
+    np.subtract.at(table.mass, 1 + OWN + suffix[mine & (c > 0)], (c[mine & (c > 0)] + 0.5) / total)
+    table.mass[own[mine]] = (c[mine] + 0.5) / total
     table.mass[1 + OWN :] = np.maximum(table.mass[1 + OWN :], 0) + 0.5 / total
-    table.mass[0] = max(table.mass[0], 0.5 / total)
     return table, int(n)
 
 

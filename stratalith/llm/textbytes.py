@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Spark expression and Python regex for one word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are worked on at once; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -82,17 +82,29 @@ def powers(n: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     return cache["up"][:n], cache["down"][:n]
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, tab: dict, cache: dict) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z in lower case."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+def hash_sums(buf: np.ndarray, tab: dict, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums from which the hash of any span of ``buf`` follows."""
     up, down = powers(len(buf), cache)
+    total = np.zeros(len(buf) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((tab["lower"][buf].astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    return total, down
+
+
+def span_hashes(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, under the byte table of ``sums``."""
+    total, down = sums
+    with np.errstate(over="ignore"):
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, tab: dict, cache: dict) -> np.ndarray:
+    """A 64-bit hash of each word, with A-Z in lower case."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    return span_hashes(hash_sums(buf, tab, cache), start, end)
+
+
 def shingle_sets(hashes: np.ndarray, row: np.ndarray, n_rows: int, width: int) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its shingles of ``width`` words.
 
