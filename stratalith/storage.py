@@ -30,13 +30,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a narrow table that one file holds.
+ROWS_PER_FILE = 250_000
+
+
+def materialize(df: DataFrame, label: str, at_most: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor then costs a re-read, not a recomputation, and a table that
-    several later steps use is computed once.
+    several later steps use is computed once. ``at_most``, a bound on the rows of a
+    narrow table, keeps a small one from being written as many tiny files.
     """
     spark = df.sparkSession
+    if at_most is not None:
+        df = df.coalesce(max(1, -(-at_most // ROWS_PER_FILE)))
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
