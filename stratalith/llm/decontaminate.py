@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: words in lower case without punctuation, with placeholders
+Texts become templates: runs of letters and digits in lower case, with placeholders
 for numbers, for units behind numbers, and for names (capitalised words inside a
 sentence). An item gives two templates, one of its text as it stands and one of its
 text in lower case, so that leaks that lost their case match as well.
@@ -47,26 +47,24 @@ UNITS = (
     "km m cm mm kg g mg t lb lbs oz mile miles mi metre metres meter meters hour hours h hr hrs minute minutes min second seconds sec s day days week weeks month months year years yr "
     "dollar dollars euro euros cent cents pound pounds usd eur gbp percent degree degrees litre litres liter liters l ml gallon gallons feet foot ft inch inches yard yards mph kmh kph w kw v hz gb mb kb tb"
 ).split()
-_SPACE = r"[\x20\x09-\x0D]"
 
 
-def template_text(text: Column) -> Column:
-    """The text as a template; white space stays as it is, so that words keep their places."""
-    out = F.regexp_replace(text, r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}[\p{L}'’-]*", NAME)
-    out = F.regexp_replace(out, r"[0-9]+(?:[.,][0-9]+)*", NUMBER)
-    out = F.regexp_replace(out, NUMBER + r"( ?)(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}" + NAME + "])", NUMBER + "$1" + UNIT)
-    return F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}\x20\x09-\x0D]+", "")
+_SIGN = rf"\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}"
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 
 
 def template_words(text: Column) -> Column:
-    return F.array_remove(F.split(template_text(text), _SPACE, -1), "")
+    """The text's template: runs of letters, digits and placeholders, in lower case."""
+    out = F.regexp_replace(text, r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}\p{L}*", NAME)
+    units = NUMBER + r"( ?)(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + rf")(?![{_SIGN}])"
+    numbered = F.regexp_replace(F.regexp_replace(out, _NUMBER, NUMBER), units, NUMBER + "$1" + UNIT)
+    out = F.when(text.rlike("[0-9]"), numbered).otherwise(out)
+    return F.array_remove(F.split(F.lower(out), f"[^{_SIGN}]+", -1), "")
 
 
 def plain_words(text: Column) -> Column:
     """The words that ``template_words`` has, at the same places, with their values."""
-    pairs = F.arrays_zip(F.split(text, _SPACE, -1).alias("v"), F.split(template_text(text), _SPACE, -1).alias("t"))
-    kept = F.filter(pairs, lambda p: p["t"] != "")
-    return F.transform(kept, lambda p: F.regexp_replace(F.lower(p["v"]), r"[^\p{L}\p{N}]+", ""))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?:\p{{L}}|{_NUMBER}|\p{{N}})+"), F.lit(0))
 
 
 def _literals(words: Column) -> Column:
@@ -83,7 +81,7 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[
     base = benchmark.select(F.col("item_id").cast("long").alias("item"), text.alias("text"))
     both = base.withColumn("variant", F.lit(0)).union(base.select("item", F.lower("text").alias("text"), F.lit(1).alias("variant")))
     items = both.select("item", "variant", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("v")).where(F.size("t") >= SHORTEST)
-    items = materialize(items.withColumn("short", F.size("t") < WIDTH + STRIDE - 1).dropDuplicates(["item", "t", "v"]), "items")
+    items = materialize(items.withColumn("short", F.size("t") < WIDTH + STRIDE - 1).dropDuplicates(["item", "t", "v"]), "items", 2 * benchmark.count())
     widths = sorted(r.n for r in items.where("short").select(F.size("t").alias("n")).distinct().collect())  # WIDTH + STRIDE - 2 at most
     plan = [(WIDTH, STRIDE), *((n, 1) for n in widths)]
     parts = []
@@ -130,17 +128,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.withColumn("slots", slots).withColumn("matched", F.size("same"))
     distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[n].alias(n) for n in names]))))
     consistent = (distinct("dv", "iv") == distinct("dv")) & (distinct("dv", "iv") == distinct("iv"))
-    held = found.where((F.col("matched") >= F.col("n") * COVERAGE) & (F.col("matched") - F.size("slots") >= F.least(F.lit(LITERALS), F.col("n"))) & consistent)
+    holds = (F.col("matched") >= F.col("n") * COVERAGE) & (F.col("matched") - F.size("slots") >= F.least(F.lit(LITERALS), F.col("n"))) & consistent
     changed = F.size(F.filter("slots", lambda x: x["dv"] != x["iv"]))
-    best = F.max(F.struct((F.col("matched") / F.col("n")).alias("coverage"), (-changed).alias("less"), "matched", F.size("slots").alias("slots")))
-    out = held.groupBy("doc_id", F.col("item").alias("item_id")).agg(best.alias("b"))
+    best = F.struct((F.col("matched") / F.col("n")).alias("coverage"), (-changed).alias("less"), "matched", F.size("slots").alias("slots"))
+    # the test stands in the aggregate: as a filter it would sink below the projections and have them computed again
+    out = found.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.max(F.when(holds, best)).alias("b")).where("b is not null")
     return out.select("doc_id", "item_id", "b.coverage", F.col("b.matched").cast("long").alias("matched"), F.col("b.slots").cast("long").alias("slots"), (-F.col("b.less")).cast("long").alias("changed_slots"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
     named = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return without_rows(docs, find_leaks(named, benchmark).select(F.col("doc_id").alias("key")))
+    return without_rows(docs, materialize(find_leaks(named, benchmark).select(F.col("doc_id").alias("key")), "leaks"))
 
 
 def op7_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

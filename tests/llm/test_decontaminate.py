@@ -9,12 +9,15 @@ UNITS = "|".join(sorted(D.UNITS, key=lambda u: (-len(u), u)))
 
 def template(text):
     """(template words, values), stated plainly."""
-    out = re.sub(r"(?<=[^.!?:\s][ \t])[A-ZÄÖÜÉ][a-zäöüßé][A-Za-zäöüßéÄÖÜÉ'’-]*", D.NAME, text)
+    letter = "a-zA-ZäöüßéÄÖÜÉ"
+    out = re.sub(r"(?<=[^.!?:\s][ \t])[A-ZÄÖÜÉ][a-zäöüßé][" + letter + "]*", D.NAME, text)
     out = re.sub(r"[0-9]+(?:[.,][0-9]+)*", D.NUMBER, out)
-    out = re.sub(D.NUMBER + "( ?)(?i:" + UNITS + r")(?![^\W_]|" + D.NAME + ")", D.NUMBER + r"\1" + D.UNIT, out)
-    clean = lambda s: "".join(c for c in s.lower() if c.isalnum() or c in D.NAME + D.NUMBER + D.UNIT)
-    pairs = [(clean(t), "".join(c for c in v.lower() if c.isalnum())) for t, v in zip(re.split("[ \t\n\r\x0b\x0c]", out), re.split("[ \t\n\r\x0b\x0c]", text), strict=True)]
-    return [t for t, _ in pairs if t], [v for t, v in pairs if t]
+    sign = letter + "0-9" + D.NAME + D.NUMBER + D.UNIT
+    out = re.sub(D.NUMBER + "( ?)(?i:" + UNITS + f")(?![{sign}])", D.NUMBER + r"\1" + D.UNIT, out)
+    words = re.findall(f"[{sign}]+", out.lower())
+    values = re.findall(f"(?:[{letter}]|[0-9]+(?:[.,][0-9]+)*)+", text.lower())
+    assert len(words) == len(values)
+    return words, values
 
 
 def brute(docs, items):
