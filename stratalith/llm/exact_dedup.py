@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     """doc_id, row, key, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     rows = text_digests(docs, digest_all)
     groups = rows.where("class_sha is not null").groupBy("class_sha").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = materialize(groups, "groups")  # an exchange of its own for the join, so that Spark can split a hot group
+    groups = materialize(groups, "groups", rows.count())  # an exchange of its own for the join, so that Spark can split a hot group
     shared = rows.where("class_sha is not null").join(groups, "class_sha", "left")
     single = rows.where("class_sha is null").select("*", F.lit(None).cast("struct<doc_id:long,row:long>").alias("keep"), F.lit(None).cast("long").alias("group_size"))
     both = shared.unionByName(single)
@@ -92,7 +92,7 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the largest doc_id."""
-    return keep_rows(docs, exact_dedup(docs).select("key", "kept"))
+    return keep_rows(docs, materialize(exact_dedup(docs).select("key", "kept"), "kept", docs.count()))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def mix_sources(docs: DataFrame, weight: str | None = None, weights: tuple[int,
     by = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), by.alias("weight")), "sizes")
-    targets = materialize(source_targets(sizes, weights, share, max_copies), "targets")
+    targets = materialize(source_targets(sizes, weights, share, max_copies), "targets", 1)  # the windows have it in one task
     t = targets.withColumnRenamed("source", "of")
     wanted = F.col("target") / F.col("source_size") * (F.col("weight") / F.col("mean_weight"))
     rows = sizes.join(t, F.col("source").eqNullSafe(F.col("of"))).select(

@@ -278,6 +278,11 @@ def _open_tiles(members: DataFrame) -> DataFrame:
     return members.join(tiles, "key")
 
 
+def _written(links: DataFrame, rows: int) -> DataFrame:
+    """A forest's links, at most one per class, behind an exchange: the tasks that find them are many."""
+    return materialize(links.distinct(), "links", rows)
+
+
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -285,26 +290,27 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sets = materialize(document_sets(docs, width, keys_for(percent)), "sets")
+    rows, keyed = sets.count(), sets.count() * keys_for(percent)  # from the files' footers
     reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("bitmap", "bitmap"))])
-    reps = materialize(reps, "classes")
+    reps = materialize(reps, "classes", rows)
     every = reps.select("sid", "n", F.posexplode("keys").alias("place", "key"))
     tiles = every.groupBy("key").agg(F.sum("n").alias("shingles_in_tile"), F.count("*").alias("in_tile")).where("in_tile > 1")
-    shared = materialize(every.join(tiles, "key"), "shared")
+    shared = materialize(every.join(tiles, "key"), "shared", keyed)
     live = _live(shared.join(reps.select("sid", "bitmap"), "sid"), percent)
-    members = materialize(shared.select("key", "sid", "n", "place").join(live, ["key", "sid"]).withColumn("root", F.col("sid")), "members")
+    members = materialize(shared.select("key", "sid", "n", "place").join(live, ["key", "sid"]).withColumn("root", F.col("sid")), "members", keyed)
     wanted = members.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
-    arrays = materialize(candidate_arrays(docs, materialize(wanted, "wanted"), width), "arrays")
+    arrays = materialize(candidate_arrays(docs, materialize(wanted, "wanted", rows), width), "arrays")
 
-    links = materialize(_links(_open_tiles(members.where("place = 0")), arrays, percent), "links")
+    links = _written(_links(_open_tiles(members.where("place = 0")), arrays, percent), rows)
     roots = components(links)
     rest = members.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    more = materialize(_links(_open_tiles(materialize(rest, "members")), arrays, percent), "links")
-    roots = components(links.union(more))
+    more = _written(_links(_open_tiles(materialize(rest, "members", keyed)), arrays, percent), rows)
+    roots = components(materialize(links.union(more), "links", rows))
 
     nodes = roots.withColumnRenamed("node", "sid").join(reps.select("sid", "rep"), "sid")
     least = nodes.groupBy("root").agg(F.min("rep").alias("least"))
     named = reps.select("sid", "rep").join(nodes.select("sid", "root").join(least, "root").select("sid", "least"), "sid", "left")
-    named = materialize(named.select("sid", F.coalesce("least", "rep").alias("component_id")), "components")
+    named = materialize(named.select("sid", F.coalesce("least", "rep").alias("component_id")), "components", rows)
     full = sets.where("sid is not null").select("doc_id", "n_shingles", "sid").join(named, "sid", "left").select("doc_id", "n_shingles", "component_id")
     empty = sets.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(empty)
@@ -314,7 +320,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """``docs`` with one row of each group of linked documents."""
     named = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = jaccard_components(named, width, percent)
-    return keep_rows(docs, found.select(F.col("doc_id").alias("key"), (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    return keep_rows(docs, materialize(found.select(F.col("doc_id").alias("key"), (F.col("doc_id") == F.col("component_id")).alias("kept")), "kept", docs.count()))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

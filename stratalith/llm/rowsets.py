@@ -41,12 +41,13 @@ def bit_test(bitmap: bytes, bits: int):
 
 
 def without_rows(docs: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFrame:
-    """``docs`` without the rows whose ``row_key()`` is among ``keys`` (key, distinct).
+    """``docs`` without the rows whose ``row_key()`` is among ``keys`` (key), a written table.
 
     Rows that a bitmap of the keys clears pass as they are; the others, the rows to
     drop and a few more, go through an exact anti-join.
     """
-    keys = materialize(keys.select("key").distinct(), "drop")
+    keys = keys.select("key").distinct()
+    keys = materialize(keys, "drop", keys.count())
     test = bit_test(bitmap_bytes(keys, "key", bits), bits)
     keyed = docs.withColumn("__key", row_key())
     clear = keyed.where(~test(F.col("__key")))
@@ -65,7 +66,7 @@ def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` by verdicts (key, kept), one for each row: of rows with one key, one at most stays."""
+    """``docs`` by verdicts (key, kept), a written table, one for each row: of rows with one key, one at most stays."""
     each = verdicts.groupBy("key").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
-    each = materialize(each.where("not kept or rows > 1"), "verdicts")
+    each = materialize(each.where("not kept or rows > 1"), "verdicts", verdicts.count())
     return one_row_each(without_rows(docs, each.where("not kept")), each.where("kept"))

@@ -228,10 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     order = F.sha2(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string")), 256)
     totals = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     drawn = [known.where(F.col("label") == c).orderBy(order).limit(examples) for c in (0, 1)]
-    chosen = materialize(drawn[0].union(drawn[1]).withColumnRenamed("doc_id", "example"), "chosen")
+    chosen = materialize(drawn[0].union(drawn[1]).withColumnRenamed("doc_id", "example"), "chosen", 2 * examples)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = text.join(F.broadcast(chosen), F.col("doc_id") == F.col("example")).select("doc_id", "label", "text")  # 2 * examples rows at most
-    sample = materialize(sample.dropDuplicates(["text", "label"]), "sample")
+    sample = materialize(sample.dropDuplicates(["text", "label"]), "sample", 2 * examples * 20)
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     terms, lengths, idf = _select_terms(sample, sizes)
     rows = _vectors(sample, Shared(spark, (terms, lengths)), "doc_id long, label int").collect()  # numbers of selected terms only
