@@ -8,12 +8,12 @@ public vocabulary file: the i-th piece's is proportional to 1 / (i + ``SHIFT``),
 such files rank pieces but don't all carry probabilities. The file's path is a
 parameter; only the driver reads it, and its pieces (a fixed number) are broadcast.
 
-Distinct pre-tokens of a batch are put into a trie; the forward score of a prefix
-(its best log probability and piece count) is computed once, when its node is made,
-from the scores on the path to it, and a terminal node stores its count. Candidate
-pieces that end at a node are found by walking a trie of reversed pieces back along
-the path. Counts of pre-tokens are kept over batches up to ``KEPT`` of them, and
-the trie goes with each batch, so memory is bounded.
+Distinct pre-tokens are put into a trie; the forward score of a prefix (its best log
+probability and piece count) is computed once, when its node is made, from the scores
+on the path to it, and the count of a terminal node is stored by pre-token. Which
+pieces end at a node comes from an automaton over all pieces whose state the node
+holds. Trie and counts are kept over a task's batches up to ``KEPT`` pre-tokens and
+then begun anew, so memory is bounded.
 
 A null text counts as empty and has 0 tokens. Repeated rows get repeated results, an
 empty table an empty one; columns besides doc_id and text aren't read.
@@ -21,6 +21,7 @@ empty table an empty one; columns besides doc_id and text aren't read.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -53,42 +54,60 @@ def log_probabilities(pieces: list[str]) -> dict[str, float]:
     return {p: -math.log((k + SHIFT) * total) for k, p in enumerate(pieces)}
 
 
-def reversed_trie(scores: dict[str, float]) -> dict:
-    """Nodes are dicts by character; the score of the piece that ends at a node is under the empty string."""
-    root: dict = {}
-    for piece, score in scores.items():
-        node = root
-        for ch in reversed(piece):
-            node = node.setdefault(ch, {})
-        node[""] = score
-    return root
-
-
-def count_pieces(tokens: list[str], pieces: dict, floor: float) -> list[int]:
-    """Piece counts of ``tokens``. pieces: a trie of reversed pieces; floor: log probability of a lone byte."""
-    root: dict = {}
-    out = []
-    start = (0.0, 0)
+class Pieces:
+    """An automaton over all pieces: a state's ``out`` are the (length, score) of the pieces that end there."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.go: list[dict[str, int]] = [{}]
+        self.out: list[list[tuple[int, float]]] = [[]]
+        for piece, score in scores.items():
+            at = 0
+            for ch in piece:
+                then = self.go[at].get(ch)
+                if then is None:
+                    then = self.go[at][ch] = len(self.go)
+                    self.go.append({})
+                    self.out.append([])
+                at = then
+            if at:
+                self.out[at].append((len(piece), score))
+        self.back = [0] * len(self.go)  # the state of the longest proper suffix
+        todo = list(self.go[0].values())
+        for at in todo:
+            for ch, then in self.go[at].items():
+                self.back[then] = self.step(self.back[at], ch)
+                todo.append(then)
+            self.out[at] = self.out[at] + self.out[self.back[at]]
+        self.floor = min(scores.values(), default=0.0) - BYTE_COST
+
+    def step(self, at: int, ch: str) -> int:
+        while ch not in self.go[at]:
+            if not at:
+                return 0
+            at = self.back[at]
+        return self.go[at][ch]
+
+
+def count_pieces(tokens: list[str], pieces: Pieces, trie: dict) -> list[int]:
+    """Piece counts of ``tokens``; ``trie`` (nodes: children, score, count, state) grows by them."""
+    out, floor, step, ends = [], pieces.floor, pieces.step, pieces.out
     for token in tokens:
-        node, path = root, [start]  # path[i]: forward score of the first i characters
+        children, state, scores, counts = trie, 0, [0.0], [0]
         for i, ch in enumerate(token):
-            child = node.get(ch)
-            if child is None:
+            node = children.get(ch)
+            if node is None:
+                then = step(state, ch)
                 width = len(ch.encode("utf-8", "surrogatepass"))
-                best = (path[i][0] + floor * width, -path[i][1] - width)
-                at, k = pieces.get(ch), i
-                while at is not None:
-                    if "" in at:
-                        before = path[k]
-                        option = (before[0] + at[""], -before[1] - 1)
-                        if option > best:
-                            best = option
-                    k -= 1
-                    at = at.get(token[k]) if k >= 0 else None
-                child = node[ch] = {"": (best[0], -best[1])}
-            path.append(child[""])
-            node = child
-        out.append(path[-1][1])
+                best, count = scores[i] + floor * width, counts[i] + width
+                for length, score in ends[then]:
+                    score += scores[i + 1 - length]
+                    if score > best or score == best and counts[i + 1 - length] + 1 < count:
+                        best, count = score, counts[i + 1 - length] + 1
+                node = children[ch] = ({}, best, count, then)
+            children, best, count, state = node
+            scores.append(best)
+            counts.append(count)
+        out.append(counts[-1])
     return out
 
 
@@ -101,8 +120,8 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     shared = Shared(docs.sparkSession, scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = shared.value
-        pieces, floor = reversed_trie(scores), min(scores.values(), default=0.0) - BYTE_COST
+        gc.disable()  # a trie has no cycles, and looking for them costs as much as building it
+        pieces, trie = Pieces(shared.value), {}
         tab, cache = tables() | {"lower": np.arange(256, dtype=np.uint8)}, {}
         kept: dict[int, int] = {}
         for batch in batches:
@@ -114,8 +133,8 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 body = buf.tobytes()
                 tokens = [MARK + body[start[first[k]] : end[first[k]]].decode("utf-8", "surrogatepass") for k in new]
                 if len(kept) + len(new) > KEPT:
-                    kept = {h: kept[h] for h in keys if h in kept}
-                for k, n in zip(new, count_pieces(tokens, pieces, floor), strict=True):
+                    kept, trie = {h: kept[h] for h in keys if h in kept}, {}
+                for k, n in zip(new, count_pieces(tokens, pieces, trie), strict=True):
                     kept[keys[k]] = n
                 count = np.array([kept[h] for h in keys], np.int64)
                 total = np.bincount(row, count[back], hi - lo).astype(np.int64) if len(row) else np.zeros(hi - lo, np.int64)

@@ -26,7 +26,10 @@ def test_trie_against_each_token_alone():
     scores = T.log_probabilities(sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 5))) for _ in range(80)}, key=len))
     floor = min(scores.values()) - T.BYTE_COST
     tokens = ["▁" + "".join(rng.choice(alphabet + "xß") for _ in range(rng.randrange(12))) for _ in range(500)]
-    assert T.count_pieces(tokens, T.reversed_trie(scores), floor) == [brute(t, scores, floor) for t in tokens]
+    want = [brute(t, scores, floor) for t in tokens]
+    assert T.count_pieces(tokens, T.Pieces(scores), {}) == want
+    trie = {}
+    assert [T.count_pieces([t], T.Pieces(scores), trie)[0] for t in tokens[:50]] == want[:50]
 
 
 @needs_file
