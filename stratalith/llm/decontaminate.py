@@ -41,7 +41,7 @@ COVERAGE = 0.5
 LITERALS = 4
 BITS = 1 << 20
 BROADCAST_ROWS = 1 << 18
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units that count as such behind a number.
 UNITS = (
     "km m cm mm kg g mg t lb lbs oz mile miles mi metre metres meter meters hour hours h hr hrs minute minutes min second seconds sec s day days week weeks month months year years yr "
