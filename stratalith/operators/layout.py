@@ -26,7 +26,7 @@ HEADER_ZONE, FOOTER_ZONE = 0.12, 0.88
 HEADING_FACTOR = 1.15
 MIN_CHAPTERS = 3
 #: A hyphen at a line's end, until it is decided whether the word has one.
-SOFT = ""
+SOFT = "\ue000"
 
 
 def joined_lines(lines: Column) -> Column:
@@ -34,13 +34,13 @@ def joined_lines(lines: Column) -> Column:
     trimmed = F.transform(lines, strip)
 
     def glue(acc, line):
-        soft = F.endswith(acc, F.lit("­"))
+        soft = F.endswith(acc, F.lit("\u00ad"))
         open_word = F.endswith(acc, F.lit("-")) & line.rlike(r"^\p{javaLowerCase}")
         cut = F.substr(acc, F.lit(1), F.length(acc) - 1)
         return F.when(acc == "", line).when(soft, F.concat(cut, line)).when(open_word, F.concat(cut, F.lit(SOFT), line)).otherwise(F.concat(acc, F.lit(" "), line))
 
     text = F.aggregate(trimmed, F.lit(""), glue)
-    return F.replace(F.regexp_replace(text, r"[ \t]+", " "), F.lit("­"), F.lit(""))
+    return F.replace(F.regexp_replace(text, r"[ \t]+", " "), F.lit("\u00ad"), F.lit(""))
 
 
 def header_key(text: Column) -> Column:

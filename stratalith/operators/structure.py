@@ -128,14 +128,16 @@ def joined_units(elements: DataFrame) -> DataFrame:
     ``part_ids`` and ``part_hashes`` list the parts. A single part keeps its own hash.
     """
     rooted = continuation_roots(elements)
-    kept = [c for c in elements.columns if c not in ("doc", "pos", "id", "md", "page", "hash", "continues", "type")]
+    kept = [c for c in elements.columns if c not in ("doc", "pos", "id", "md", "page", "pages", "hash", "continues", "type")]
+    own_pages = F.array("page") if "pages" not in elements.columns else F.coalesce(F.when(F.col("page").isNotNull(), F.array("page")), F.col("pages"), F.array().cast("array<int>"))
+    part_pages = F.flatten(in_order(own_pages))
     grouped = rooted.groupBy("doc", "root").agg(
         F.min("pos").alias("pos"),
         F.min_by("type", "pos").alias("type"),
         in_order(F.coalesce("md", F.lit(""))).alias("texts"),
         in_order("id").alias("part_ids"),
         in_order(F.coalesce("hash", F.lit(""))).alias("part_hashes"),
-        in_order("page").alias("part_pages"),
+        part_pages.alias("part_pages"),
         *[F.min_by(c, "pos").alias(c) for c in kept],
     )
     page, pages = page_range(F.col("part_pages"))

@@ -27,7 +27,7 @@ def json_rows(lines: DataFrame, strict: bool = False) -> DataFrame:
     bad = _not_object(F.col("value"))
     if strict:
         message = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": not one JSON object"))
-        rows = rows.withColumn("value", F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col("value")))
+        rows = rows.withColumn("value", F.when((F.trim("value") != "") & bad, F.raise_error(message).cast("string")).otherwise(F.col("value")))
     else:
         rows = rows.where(~bad)
     return rows.withColumn("keys", F.json_object_keys("value")).withColumn("type", F.get_json_object("value", "$.type"))
