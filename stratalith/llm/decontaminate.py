@@ -50,7 +50,8 @@ UNITS = (
 
 
 _SIGN = rf"\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}"
-_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+#: A number begins behind no letter or digit; that is tested on digits only, as most places aren't.
+_NUMBER = r"[0-9](?<![\p{L}0-9][0-9])[0-9]*(?:[.,][0-9]+)*"
 
 
 def template_words(text: Column) -> Column:
@@ -64,7 +65,7 @@ def template_words(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """The words that ``template_words`` has, at the same places, with their values."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?:\p{{L}}|{_NUMBER}|\p{{N}})+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+(?:[.,][0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"), F.lit(0))
 
 
 def _literals(words: Column) -> Column:

@@ -51,8 +51,8 @@ def without_rows(docs: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFram
     test = bit_test(bitmap_bytes(keys, "key", bits), bits)
     keyed = docs.withColumn("__key", row_key())
     clear = keyed.where(~test(F.col("__key")))
-    rest = keyed.where(test(F.col("__key"))).join(keys, F.col("__key") == F.col("key"), "left_anti")
-    return clear.unionByName(rest).drop("__key")
+    rest = keyed.where(test(F.col("__key"))).join(keys.withColumnRenamed("key", "__key"), "__key", "left_anti")
+    return clear.unionByName(rest).select(*docs.columns)
 
 
 def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -60,9 +60,9 @@ def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
     if keys.isEmpty():
         return docs
     keyed = docs.withColumn("__key", row_key())
-    keys = keys.select("key").distinct()
-    once = keyed.join(keys, F.col("__key") == F.col("key"), "left_semi").dropDuplicates(["__key"])
-    return keyed.join(keys, F.col("__key") == F.col("key"), "left_anti").unionByName(once).drop("__key")
+    keys = keys.select(F.col("key").alias("__key")).distinct()
+    once = keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"])
+    return keyed.join(keys, "__key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
