@@ -72,7 +72,7 @@ def hit_rate(hits: DataFrame, chunks: DataFrame, answers: DataFrame, query_key:
     return marked.agg(F.count("*").alias("questions"), F.count("__hit").alias("hits"))
 
 
-#: Queries whose vectors are broadcast at once: with 1,000 dimensions about 32 MB.
+#: Queries whose vectors are broadcast at once, by a hash of their key: with 1,000 dimensions about 32 MB.
 QUERY_BLOCK = 4096
 
 
@@ -82,11 +82,11 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: st
     Queries go through in blocks of ``QUERY_BLOCK``; each partition keeps its own best
     for each query, and only these meet in a shuffle.
     """
-    listed = queries.select(key, vector).where(F.col(vector).isNotNull())
-    numbered = materialize(listed.withColumn("__b", (F.row_number().over(Window.orderBy(key)) - 1) / F.lit(QUERY_BLOCK)).withColumn("__b", F.floor("__b")), "queries")
+    listed = materialize(queries.select(key, vector).where(F.col(vector).isNotNull()), "queries")
+    blocks = -(-listed.count() // QUERY_BLOCK)
     out = None
-    for block in range(int(numbered.agg(F.max("__b")).first()[0] or 0) + 1):
-        some = numbered.where(F.col("__b") == block).select(key, vector).toPandas()
+    for block in range(blocks):
+        some = listed.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block).toPandas()
         if some.empty:
             continue
         q = np.stack(some[vector].to_numpy()).astype(float)

@@ -84,7 +84,7 @@ _ROUGH = """rough as (
 
 
 @query(
-    r"""select doc_id, length(list_text) as list_length, sha256(list_text) as list_sha, length(head_text) as head_length, sha256(head_text) as head_sha from (
+    r"""select doc_id, length(list_text)::int as list_length, sha256(list_text) as list_sha, length(head_text)::int as head_length, sha256(head_text) as head_sha from (
         select doc_id, regexp_replace(lines, '(^|\n)([ \t]*)[*+](\s)', '\1\2-\3', 'g') as list_text,
                regexp_extract(first, '^(#{1,6})', 1) || ' ' || trim(regexp_replace(regexp_extract(first, '^#{1,6}\s*(.*)$', 1), '(^|\s)#+$', ''), ' ' || chr(9)) || substr(lines, length(first) + 1) as head_text
         from (select doc_id, lines, string_split(lines, chr(10))[1] as first from (
@@ -102,7 +102,7 @@ def canonical_text(spark, sf_dir):
 
 
 @query(
-    r"""select doc_id, k, case when regexp_matches(b, '^#{1,6}([ \t]|$|\n)') then 'heading' when regexp_matches(b, '^ {0,3}(`{3,}|~{3,})') then 'code' when b like '|%' then 'table'
+    r"""select doc_id, k::int as k, case when regexp_matches(b, '^#{1,6}([ \t]|$|\n)') then 'heading' when regexp_matches(b, '^ {0,3}(`{3,}|~{3,})') then 'code' when b like '|%' then 'table'
         when b like '$$%' and b like '%$$' and length(b) >= 4 then 'formula' when regexp_matches(b, '^!\[.*\]\(\S+\)$') then 'image' when b like '>%' then 'quote'
         when regexp_matches(b, '^([-*+]|[0-9]+[.)])\s') then 'list' else 'paragraph' end as type
     from (select doc_id, unnest(range(8)) as k, unnest(['# ' || t, '```' || t, '| ' || t || ' |', '$$' || t || '$$', '![' || t || '](images/a.png)', '> ' || t, '1. ' || t, t]) as b
@@ -121,7 +121,7 @@ def pipe_row_render(spark, sf_dir):
 
 
 @query(
-    r"""select c_custkey, len(cells) as n_cells, trim(replace(cells[2], chr(1), chr(92) || '|')) as second from (
+    r"""select c_custkey, len(cells)::int as n_cells, trim(replace(cells[2], chr(1), chr(92) || '|')) as second from (
         select c_custkey, string_split(regexp_replace(regexp_replace(replace('| ' || c_name || ' | ' || replace(c_mktsegment, 'I', chr(92) || '|') || ' |', chr(92) || '|', chr(1)), '^\|', ''), '\|$', ''), '|') as cells from customer)"""
 )
 def pipe_row_split(spark, sf_dir):
@@ -673,11 +673,11 @@ def flat_structure(spark, sf_dir):
 
 
 @query(
-    """,, heads as (select doc, pos, id, 1 + length(md) % 6 as level, row_number() over (partition by doc order by pos) as k from doc_elements where type = 'heading'),
+    """,, heads as (select doc, pos, id, (1 + length(md) % 6)::int as level, row_number() over (partition by doc order by pos) as k from doc_elements where type = 'heading'),
     fold as (
         select doc, pos, id, level, k, 1 as clamped from heads where k = 1
         union all
-        select h.doc, h.pos, h.id, h.level, h.k, least(h.level, f.clamped + 1) from fold f join heads h on h.doc = f.doc and h.k = f.k + 1
+        select h.doc, h.pos, h.id, h.level, h.k, least(h.level, f.clamped + 1)::int from fold f join heads h on h.doc = f.doc and h.k = f.k + 1
     ) select doc, pos, id, level, clamped from fold""",
     "recursive " + V.DOC_ELEMENTS,
 )

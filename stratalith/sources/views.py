@@ -45,7 +45,7 @@ def doc_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOC_ELEMENTS = """
     doc_lines as (
-        select 'd' || doc_id as doc, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as raw from documents
+        select 'd' || doc_id as doc, unnest(range(len(string_split(text, chr(10)))))::int as pos, unnest(string_split(text, chr(10))) as raw from documents
     ), doc_short as (
         select doc, pos, regexp_replace(raw, '\\s+$', '') as line from doc_lines
     ), doc_typed as (
@@ -115,7 +115,7 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGE_ELEMENTS = r"""
     page_rows as (
-        select 'p' || page_id as doc, unnest(range(len(regexp_extract_all(html, '(?s)<(h1|p|li|footer)[^>]*>(.*?)</', 1)))) as pos,
+        select 'p' || page_id as doc, unnest(range(len(regexp_extract_all(html, '(?s)<(h1|p|li|footer)[^>]*>(.*?)</', 1))))::int as pos,
                unnest(regexp_extract_all(html, '(?s)<(h1|p|li|footer)[^>]*>(.*?)</', 1)) as tag, unnest(regexp_extract_all(html, '(?s)<(h1|p|li|footer)[^>]*>(.*?)</', 2)) as raw
         from pages where html is not null
     ), page_text as (
@@ -145,7 +145,7 @@ def thread_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 THREAD_ELEMENTS = """
     thread_rows as (
-        select 'c' || conv_id as doc, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos, 'message' as type,
+        select 'c' || conv_id as doc, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first)::int as pos, 'message' as type,
                '**' || coalesce(role, '') || '**' || chr(10) || chr(10) || coalesce(text, '') as md
         from conversations where conv_id is not null
         union all
@@ -169,7 +169,7 @@ def record_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORD_ELEMENTS = """
     record_rows as (
-        select 'nation_' || n_nationkey as doc, row_number() over (partition by n_nationkey order by c_custkey) - 1 as pos,
+        select 'nation_' || n_nationkey as doc, row_number() over (partition by n_nationkey order by c_custkey)::int - 1 as pos,
                'Key: ' || c_custkey || chr(10) || 'Name: ' || c_name || chr(10) || 'Nation: ' || n_name || chr(10) || 'Segment: ' || c_mktsegment as md
         from customer join nation on c_nationkey = n_nationkey
     ), record_elements as (
@@ -189,7 +189,7 @@ def event_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENT_ELEMENTS = """
     event_rows as (
-        select 'user_' || user_id as doc, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, 'Event: ' || event_type || chr(10) || 'Id: ' || event_id as md, props as meta from events
+        select 'user_' || user_id as doc, row_number() over (partition by user_id order by ts, event_id)::int - 1 as pos, 'Event: ' || event_type || chr(10) || 'Id: ' || event_id as md, props as meta from events
     ), event_elements as (
         select doc, pos, doc || '#e' || (pos + 1) as id, 'record' as type, null::int as level, md, 0 as page, meta,
                substr(sha256('record' || chr(10) || md), 1, 16) as hash, length(md) as characters

@@ -31,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a narrow table that one file holds.
-ROWS_PER_FILE = 250_000
+ROWS_PER_FILE = 65_536
 
 
 def materialize(df: DataFrame, label: str, at_most: int | None = None) -> DataFrame:
