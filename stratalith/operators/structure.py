@@ -158,3 +158,69 @@ def outline(elements: DataFrame) -> DataFrame:
     heading = F.concat(F.repeat(F.lit("  "), F.coalesce("level", F.lit(1)) - 1), F.lit("- "), F.regexp_replace("md", f"^#{{1,6}}{WHITE}*", ""))
     group = F.concat(F.lit("  - (group) "), "md")
     return elements.where(F.col("type").isin("heading", "group")).select("doc", "pos", F.when(F.col("type") == "heading", heading).otherwise(group).alias("line"))
+
+
+def caption_targets(elements: DataFrame) -> DataFrame:
+    """(doc, id, target): a caption's table below or image above it, else what stands on its other side.
+
+    Captions that begin with "table" look for tables first, all others for images; a
+    neighbour of the other kind is taken where there is none of the wanted one.
+    """
+    wd = reading_order()
+    near = {n: (F.lag, F.lead)[n == "below"] for n in ("above", "below")}
+    rows = elements
+    for name, step in near.items():
+        rows = rows.withColumn(f"__{name}", F.struct(step("type").over(wd).alias("type"), step("id").over(wd).alias("id")))
+    wanted = F.when(F.startswith(F.lower("md"), F.lit("table")), "table").otherwise("image")
+
+    def pick(first: str, second: str) -> Column:
+        a, b = F.col(f"__{first}"), F.col(f"__{second}")
+        fits = lambda x, kinds: x["type"].isin(*kinds)
+        exact = F.when(a["type"] == wanted, a["id"]).when(b["type"] == wanted, b["id"])
+        return F.coalesce(exact, F.when(fits(a, ("image", "table")), a["id"]).when(fits(b, ("image", "table")), b["id"]))
+
+    target = F.when(wanted == "table", pick("below", "above")).otherwise(pick("above", "below"))
+    return rows.where("type = 'caption'").select("doc", "id", target.alias("target"))
+
+
+def list_runs(paragraphs: DataFrame) -> DataFrame:
+    """(doc, pos, md): consecutive list paragraphs (kind is a number format, depth) as one list, numbered by depth.
+
+    ``paragraphs`` has doc, pos, kind (null: no list), depth, text. A deeper count begins
+    anew behind a shallower item, and with another kind.
+    """
+    wd = reading_order()
+    begins = F.col("kind").isNotNull() & F.lag("kind").over(wd).isNull()
+    rows = paragraphs.withColumn("run", F.sum(begins.cast("int")).over(wd.rowsBetween(Window.unboundedPreceding, 0))).where("kind is not null")
+    lists = rows.groupBy("doc", "run").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "kind", "depth", "text"))).alias("items"))
+    empty = F.struct(F.array().cast("array<struct<depth:int,kind:string,n:int>>").alias("counts"), F.array().cast("array<string>").alias("lines"))
+
+    def step(acc, x):
+        same = F.filter(acc["counts"], lambda c: (c["depth"] == x["depth"]) & (c["kind"] == x["kind"]))
+        n = F.when(F.size(same) > 0, F.element_at(same, 1)["n"] + 1).otherwise(F.lit(1))
+        counts = F.concat(F.filter(acc["counts"], lambda c: c["depth"] < x["depth"]), F.array(F.struct(x["depth"].alias("depth"), x["kind"].alias("kind"), n.alias("n"))))
+        mark = F.when(x["kind"] == "bullet", F.lit("- ")).otherwise(F.concat(n.cast("string"), F.lit(". ")))
+        return F.struct(counts.alias("counts"), F.concat(acc["lines"], F.array(F.concat(F.repeat(F.lit("  "), x["depth"]), mark, x["text"]))).alias("lines"))
+
+    return lists.select("doc", "pos", F.array_join(F.aggregate("items", empty, step, lambda a: a["lines"]), "\n").alias("md"))
+
+
+def page_numbers(paragraphs: DataFrame) -> DataFrame:
+    """Adds ``page``: the page breaks (``breaks`` of each paragraph) up to and with a paragraph."""
+    return paragraphs.withColumn("page", F.sum("breaks").over(reading_order().rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+
+
+def recovered(truth: DataFrame, reading: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``truth`` that ``reading`` has too, by all of ``keys``, nulls being equal."""
+    tests = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    condition = tests[0]
+    for t in tests[1:]:
+        condition = condition & t
+    return truth.alias("a").join(reading.select(*keys).distinct().alias("b"), condition, "left_semi")
+
+
+def accuracy(truth: DataFrame, reading: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, correct, total): how many values of each field a reading has right."""
+    both = truth.alias("t").join(reading.select(F.col(key), *[F.col(f).alias(f"__{f}") for f in fields]), key, "left")
+    each = [F.struct(F.lit(f).alias("field"), F.col(f).eqNullSafe(F.col(f"__{f}")).cast("long").alias("right")) for f in fields]
+    return both.select(F.explode(F.array(*each)).alias("x")).groupBy("x.field").agg(F.sum("x.right").alias("correct"), F.count("*").alias("total"))

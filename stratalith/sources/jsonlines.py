@@ -117,3 +117,14 @@ def check_documents(spark: SparkSession, paths: str) -> DataFrame:
     lined = lined.union(order.select("path", "line", F.lit("header_line"), message))
     files = check_files(spark, paths)
     return lined.union(files).distinct().orderBy("path", "line", "rule", "message")
+
+
+def lines_of_type(lines: DataFrame, kind: str) -> DataFrame:
+    """Lines (path, line, value) of elements of one type: a plain search goes before any decoding."""
+    return lines.where(F.col("value").contains(f'"type":"{kind}"')).where(F.get_json_object("value", "$.type") == kind)
+
+
+def first_of_type(lines: DataFrame, kind: str) -> DataFrame:
+    """The first such line of each file."""
+    hits = lines_of_type(lines, kind)
+    return hits.groupBy("path").agg(F.min_by("value", "line").alias("value"), F.min("line").alias("line"))
