@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
+import shutil
 import tempfile
 import uuid
 from typing import Any
@@ -26,7 +28,9 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
-        _OWN[key] = "file://" + tempfile.mkdtemp(prefix="stratalith-")
+        folder = tempfile.mkdtemp(prefix="stratalith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[key] = "file://" + folder
     return _OWN[key]
 
 
