@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalith.llm.textbytes import lean
 from stratalith.storage import Shared
 
 _TOKEN = re.compile(
@@ -44,6 +45,10 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+#: Beginnings of words that name the same, as in commentlist.
+BAD_BEGINNINGS = ("comment", "advert", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb")
+#: Names of what isn't the article unless it stands in one.
+HEADER_NAMES = frozenset("header topbar toolbar".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav footer aside form button select option svg canvas audio video object dialog menu".split())
 #: Words of a class, id or role, between separators, that name what isn't the article.
@@ -60,9 +65,10 @@ ENDS_P = BLOCKS - {"body", "html"}
 HOLDERS = frozenset(("article", "main"))
 
 
-def _bad(rest: str) -> bool:
+def _bad(rest: str, inside: bool) -> bool:
     for groups in _NAMED.findall(rest):
-        if BAD_NAMES.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(groups)).lower())):
+        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(groups)).lower())
+        if BAD_NAMES.intersection(words) or any(w.startswith(BAD_BEGINNINGS) for w in words) or not inside and HEADER_NAMES.intersection(words):
             return True
     return False
 
@@ -107,7 +113,7 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
                 del open_tags[k:]
         else:
             inside = held > 0
-            if name in DROPPED or name == "header" and not inside or name not in ("body", "html", "article", "main") and _bad(m["rest"]):
+            if name in DROPPED or name == "header" and not inside or name not in ("body", "html", "article", "main") and _bad(m["rest"], inside):
                 if name not in VOID and not m["rest"].rstrip().endswith("/"):
                     skipping = [name]
                 block += name in BLOCKS
@@ -229,7 +235,7 @@ def extract_main_text(pages: DataFrame, labelled: list[tuple[str, list[str]]] |
             text = [main_text(page.as_py(), scores) for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(lean(run), SCHEMA)
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ LONG = "The bridge opened on a cold morning and the whole town came to see it."
         ("<article><p>é&nbsp;&eacute; &#233; &amp;lt;</p></article>", "é é é &lt;"),
         ("<article><header><h1>Own head</h1></header><p>Body text here.</p></article>", "Own head\n\nBody text here."),
         ("<ul><li><a href=1>a</a></li><li><a href=2>b</a></li></ul><div><p>" + LONG + "</p><p>Two words</p></div><ul><li><a href=3>c</a></li></ul>", LONG + "\n\nTwo words"),
+        (f"<div class='site-header'><p>{LONG} no</p></div><div><p>{LONG}</p><ol class=commentlist><li>I liked it</li></ol></div>", LONG),
+        (f"<article><div class=header><h1>Its title</h1></div><p>{LONG}</p></article>", f"Its title\n\n{LONG}"),
         ("<article><p>a > b and 1 < 2</p></article>", "a > b and 1 < 2"),
     ],
 )
