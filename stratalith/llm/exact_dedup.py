@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm.rowsets import bitmap_bytes, keep_rows, row_key
+from stratalith.llm.textbytes import lean
 from stratalith.storage import materialize
 
 BUCKETS = 1 << 23
@@ -67,7 +68,7 @@ def text_digests(docs: DataFrame, digest_all: bool = False) -> DataFrame:
                 every.append(sha)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.string()), pa.array(every, pa.string()), batch.column(3)], ["doc_id", "class_sha", "text_sha256", "key"])
 
-    found = rows.mapInArrow(digest, "doc_id long, class_sha string, text_sha256 string, key long")
+    found = rows.mapInArrow(lean(digest), "doc_id long, class_sha string, text_sha256 string, key long")
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "digests")
 
 

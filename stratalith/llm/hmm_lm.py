@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm.textbytes import mix, slices, tables, word_hashes, words
+from stratalith.llm.textbytes import lean, mix, slices, tables, word_hashes, words
 from stratalith.storage import Shared, materialize
 
 STATES = 8
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out(merged())
 
-    parts = docs.select("text").mapInArrow(run, "token long, suffix long, c long")
+    parts = docs.select("text").mapInArrow(lean(run), "token long, suffix long, c long")
     return parts.groupBy("token").agg(F.first("suffix").alias("suffix"), F.sum("c").alias("c"))
 
 
@@ -191,7 +191,7 @@ def sequences(docs: DataFrame, vocab) -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "head_known", "head_score", "tail", "classes"],
                 )
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, SEQUENCES)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), SEQUENCES)
 
 
 @dataclass
@@ -273,7 +273,7 @@ def train(seqs: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int =
             key = np.concatenate([at, [-1, -2], -3 - np.arange(states)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(states))], ["class", *names])
 
-        found = seqs.select("classes").mapInArrow(run, schema).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        found = seqs.select("classes").mapInArrow(lean(run), schema).groupBy("class").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
         key, value = found["class"].to_numpy(), found[names].to_numpy()
         emit, start, move = np.zeros((width, states)), np.full(states, 1e-3), np.full((states, states), 1e-3)
         emit[key[key >= 0]] = value[key >= 0]
@@ -336,7 +336,7 @@ def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> D
         F.sum(F.when(F.col("c").isNull(), F.lit(unseen)).otherwise(F.log10((F.col("c") + 0.5) / table.total))).alias("tail_score"),
         F.count("c").alias("tail_known"),
     )
-    gains = seqs.select("row", "classes").mapInArrow(run, "row long, gain double")
+    gains = seqs.select("row", "classes").mapInArrow(lean(run), "row long, gain double")
     rows = seqs.drop("classes", "tail").join(gains, "row").join(tail, "row", "left")
     base = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
     return rows.select(

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from stratalith.llm.components import components
 from stratalith.llm.rowsets import bitmap_bytes, keep_rows, row_key
-from stratalith.llm.textbytes import shingle_sets, slices, tables, word_hashes, words
+from stratalith.llm.textbytes import lean, shingle_sets, slices, tables, word_hashes, words
 from stratalith.storage import materialize
 
 BLOCK_SHINGLES = 4 << 20
@@ -100,7 +100,7 @@ def document_sets(docs: DataFrame, width: int, n_keys: int) -> DataFrame:
                     ["doc_id", "n_shingles", "sid", "keys", "bitmap"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sid binary, keys array<long>, bitmap binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, sid binary, keys array<long>, bitmap binary")
 
 
 def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -123,7 +123,7 @@ def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFram
                     ["doc_id", "sid", "shingles"],
                 )
 
-    found = docs.mapInArrow(run, "doc_id long, sid binary, shingles binary")
+    found = docs.mapInArrow(lean(run), "doc_id long, sid binary, shingles binary")
     return found.join(wanted, "sid").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "shingles").dropDuplicates(["sid"])
 
 
@@ -242,7 +242,7 @@ def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
         if held:
             yield batch_of(work(cell, held))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _live(members: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalith.llm.automaton import Automaton, compile_rules, rules_hit
-from stratalith.llm.textbytes import slices
+from stratalith.llm.textbytes import lean, slices
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: kind: (evidence for the automaton, case counts for nothing, exact regex, group to measure, least length)
@@ -108,7 +108,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(scan, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(scan), SCHEMA)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm.textbytes import slices, tables, word_hashes, words
+from stratalith.llm.textbytes import lean, slices, tables, word_hashes, words
 from stratalith.storage import Shared
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -141,7 +141,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 n_words = np.bincount(row, minlength=hi - lo) if len(row) else total
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_words), pa.array(total)], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.llm.textbytes import hash_sums, slices, span_hashes, tables, words
+from stratalith.llm.textbytes import hash_sums, lean, slices, span_hashes, tables, words
 from stratalith.storage import Shared, materialize
 
 EXAMPLES = 2048
@@ -164,7 +164,7 @@ def _select_terms(sample: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray,
                         [pa.array(term[first]), pa.array(np.full(len(first), n, np.int32)), pa.array(before[number[first]]), pa.array(label[lo + row[first]].astype(np.int32))], ["term", "length", "before", "label"]
                     )
 
-    seen = sample.mapInArrow(run, "term long, length int, before long, label int")
+    seen = sample.mapInArrow(lean(run), "term long, length int, before long, label int")
     na, nb = float(max(1, sizes.get(1, 0))), float(max(1, sizes.get(0, 0)))
     one = seen.groupBy("term", "length", "before").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     counted = one.groupBy("term", "length").agg(
@@ -192,7 +192,7 @@ def _vectors(docs: DataFrame, shared, schema_ids: str) -> DataFrame:
                 names = [n for n in batch.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*passed, pa.array(numbers, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*names, "term", "tf"])
 
-    return docs.mapInArrow(run, f"{schema_ids}, term array<int>, tf array<int>")
+    return docs.mapInArrow(lean(run), f"{schema_ids}, term array<int>, tf array<int>")
 
 
 def sparse_rows(batch: pa.RecordBatch, column: int, terms: np.ndarray, lengths: tuple[int, ...], tab: dict, cache: dict):
@@ -272,7 +272,7 @@ def score_toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFr
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
@@ -293,7 +293,7 @@ def keep_clean(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
                     clean.append(memo[key])
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
