@@ -14,6 +14,7 @@ from stratalith.functions.columns import strip
 from stratalith.operators.structure import reading_order
 
 # Fixed patterns and limits of the rules.
+BULLET = r"^\s*([•·▪●◦■–—*\-]|\d{1,3}[.)]|[a-zA-Z][.)]|\([a-zA-Z0-9]{1,3}\))\s+(.*)$"
 PAGE_NUMBER = r"(?i)^\s*(page\s*)?[\divxlc]{1,7}(\s*(of|/|-)\s*\d{1,5})?\s*$"
 CAPTION = r"(?i)^\s*(figure|fig\.?|table|chart|diagram|image|photo)\s*\d+[a-z]?\s*([:.\-–—)]|$)"
 NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|last"
@@ -78,7 +79,8 @@ def running_noise(items: DataFrame) -> DataFrame:
 
 
 def same_size(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.greatest(F.lit(0.5), b * 0.06)
+    """Sizes that are equal for layout: scans measure each block a little differently."""
+    return F.abs(a - b) <= F.greatest(F.lit(0.5), F.greatest(a, b) * 0.2)
 
 
 def heading_levels(items: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -256,3 +258,103 @@ def page_continuations(elements: DataFrame, indent_style: bool = False) -> DataF
     style = F.lit(indent_style) & F.col("__p___full") & F.coalesce(~F.col("__in"), F.lit(False))
     goes_on = (F.col("type") == "paragraph") & (F.col("__p_type") == "paragraph") & (F.col("page") == F.col("__p_page") + 1) & ~F.coalesce(F.col("__in"), F.lit(False)) & (open_end | style)
     return rows.where(goes_on).select("doc", "id", F.col("__p_id").alias("continues"))
+
+
+def is_list(lines: Column) -> Column:
+    """Whether a block's lines are list items.
+
+    The first line and half of all have a marker, two if it is a dash. Markers that are
+    letters must come in order, or be Roman numbers, and be two at least: a name such as
+    "R. B. Smith" is no list.
+    """
+    marks = F.filter(F.transform(lines, lambda s: F.regexp_extract(s, BULLET, 1)), lambda m: m != "")
+    letters = F.transform(F.filter(marks, lambda m: m.rlike(r"^\(?[a-zA-Z]{1,4}[.)]$")), lambda m: F.lower(F.regexp_replace(m, "[().]", "")))
+    first = F.transform(letters, lambda m: F.ascii(m))
+    enough = F.size(marks) >= F.greatest(F.lit(1), F.floor((F.size(lines) + 1) / 2))
+    dash = (F.size(marks) < 2) & F.element_at(marks, 1).isin("–", "—", "-", "*")
+    ordered = (F.size(letters) >= 2) & (F.forall(letters, lambda m: m.rlike("^[ivxlc]+$")) | (first == F.array_sort(first)))
+    return F.element_at(lines, 1).rlike(BULLET) & enough & ~F.coalesce(dash, F.lit(False)) & ((F.size(letters) == 0) | (F.size(letters) != F.size(marks)) | ordered)
+
+
+def list_text(lines: Column) -> Column:
+    """The lines of a list as Markdown items; a line without a marker goes on with the item before it."""
+
+    def step(acc, line):
+        mark, rest = F.regexp_extract(line, BULLET, 1), F.trim(F.regexp_extract(line, BULLET, 2))
+        number = F.regexp_extract(line, r"^\s*(\d{1,3})[.)]\s+", 1)
+        item = F.when(number != "", F.concat(number, F.lit(". "), rest)).when(mark.rlike("^[a-zA-Z0-9(]"), F.concat(F.lit("- "), mark, F.lit(" "), rest)).otherwise(F.concat(F.lit("- "), rest))
+        before = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        longer = F.concat(before, F.array(joined_lines(F.array(F.element_at(acc, -1), line))))
+        return F.when(mark != "", F.concat(acc, F.array(item))).when(F.size(acc) > 0, longer).otherwise(F.array(F.concat(F.lit("- "), F.trim(line))))
+
+    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")
+
+
+def element_kinds(items: DataFrame, sizes: DataFrame, levels: DataFrame) -> DataFrame:
+    """(doc, page, item, type, subtype, level, md) of text items.
+
+    ``items`` has noise; short blocks of a heading's size, or bold ones, are headings.
+    """
+    count = levels.groupBy("doc").agg(F.max("level").alias("__n"))
+    rows = items.where("kind = 'text'").join(sizes, "doc").join(levels.withColumnRenamed("level", "__level"), ["doc", "size"], "left").join(count, "doc", "left")
+    rows = rows.withColumn("__text", joined_lines(F.col("lines")))
+    short = (F.length("__text") <= 160) & (F.size("lines") <= 3) & ~F.col("__text").rlike(HEADING_END)
+    head = short & (F.col("__level").isNotNull() | (F.col("bold") & (F.col("size") >= F.col("body"))))
+    level = F.coalesce("__level", F.least(F.lit(6), F.coalesce("__n", F.lit(0)) + 1))
+    kind = F.when(F.col("noise").isNotNull(), "noise").when(head, "heading").when(is_list(F.col("lines")), "list").when(F.col("__text").rlike(CAPTION) & (F.length("__text") <= 300), "caption").otherwise("paragraph")
+    rows = rows.withColumn("type", kind)
+    md = F.when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), "__text")).when(F.col("type") == "list", list_text(F.col("lines"))).otherwise(F.col("__text"))
+    return rows.select("doc", "page", "item", "type", F.when(F.col("type") == "noise", F.col("noise")).alias("subtype"), F.when(F.col("type") == "heading", level).alias("level"), md.alias("md"))
+
+
+def scanned_pages(items: DataFrame) -> DataFrame:
+    """(doc, page): pages of text over a picture of the whole page."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    whole = F.max((F.col("kind") == "image") & (area > F.col("page_w") * F.col("page_h") * 0.8))
+    return items.groupBy("doc", "page").agg(whole.alias("w"), F.max(F.col("kind") == "text").alias("t")).where("w and t").select("doc", "page")
+
+
+def cleaned_scans(items: DataFrame) -> DataFrame:
+    """Items without what a scan adds: on scanned pages, images with text on a third of them, and text without a letter or digit."""
+    marked = items.join(scanned_pages(items).withColumn("__scan", F.lit(True)), ["doc", "page"], "left")
+    texts = F.collect_list(F.when(F.col("kind") == "text", F.struct("x0", "y0", "x1", "y1"))).over(Window.partitionBy("doc", "page"))
+    side = lambda a, b, c, d: F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0.0))
+    rows = marked.withColumn("__t", texts)
+    covered = F.aggregate("__t", F.lit(0.0), lambda acc, t: acc + side(F.col("x0"), F.col("x1"), t["x0"], t["x1"]) * side(F.col("y0"), F.col("y1"), t["y0"], t["y1"]))
+    part = (F.col("kind") == "image") & (covered >= (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * 0.3)
+    bare = (F.col("kind") == "text") & ~F.array_join("lines", "").rlike(r"[\p{L}\p{N}]")
+    return rows.where(~(F.coalesce(F.col("__scan"), F.lit(False)) & (part | bare))).drop("__scan", "__t")
+
+
+def colon_lists(items: DataFrame) -> DataFrame:
+    """Items with a list behind a colon split off: (doc, page, item, part, lines), part 1 being the list.
+
+    ``line_x1`` gives the right end of each line: all but the last of the list's lines
+    end clearly before the block's right margin.
+    """
+    n = F.size("lines")
+    at = F.array_min(F.filter(F.transform("lines", lambda s, k: F.when(F.endswith(F.rtrim(s), F.lit(":")) & (k < n - 2), k + 1)), lambda k: k.isNotNull()))
+    rows = items.withColumn("__k", at).withColumn("__rest", F.when(at.isNotNull(), F.slice("lines", at + 1, n - at))).withColumn("__x1", F.when(at.isNotNull(), F.slice("line_x1", at + 1, n - at)))
+    inner = lambda c: F.slice(c, 1, F.size(c) - 1)
+    right = F.array_max("line_x1")
+    fits = F.forall(inner("__x1"), lambda x: x < right - F.col("size") * 3) & ~F.exists(inner("__rest"), lambda s: F.rtrim(s).rlike("[.!?]$")) & ~F.exists("__rest", lambda s: s.rlike(BULLET))
+    rows = rows.withColumn("__fits", F.coalesce((F.col("kind") == "text") & F.col("__k").isNotNull() & fits, F.lit(False)))
+    items_of = F.transform("__rest", lambda s: F.concat(F.lit("- "), F.trim(s)))
+    parts = F.when(F.col("__fits"), F.array(F.slice("lines", 1, F.coalesce("__k", F.lit(1))), items_of)).otherwise(F.array("lines"))
+    return rows.select("doc", "page", "item", F.posexplode(parts).alias("part", "lines"))
+
+
+def text_tables(items: DataFrame, tolerance: float = 20.0) -> DataFrame:
+    """(doc, page, item, rows): neighbouring blocks with equal columns as one table, of two blocks and three rows at least.
+
+    ``cells`` holds a block's rows as arrays of (x, text); null: no columns.
+    """
+    page = Window.partitionBy("doc", "page").orderBy("y0", "x0")
+    first = lambda c: F.element_at(c, 1)
+    before = F.lag("cells").over(page)
+    rows = items.withColumn("__b", before)
+    same = (F.size(first(F.col("__b"))) == F.size(first(F.col("cells")))) & F.forall(F.arrays_zip(first(F.col("__b")).alias("a"), first(F.col("cells")).alias("b")), lambda p: F.abs(p["a"]["x"] - p["b"]["x"]) <= tolerance)
+    goes_on = F.col("cells").isNotNull() & F.col("__b").isNotNull() & F.coalesce(same, F.lit(False))
+    rows = rows.withColumn("__run", F.sum((~goes_on).cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0))).where("cells is not null")
+    runs = rows.groupBy("doc", "page", "__run").agg(F.min_by("item", "y0").alias("item"), F.count("*").alias("__n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "cells"))), lambda x: x["cells"])).alias("__r"))
+    return runs.where((F.col("__n") >= 2) & (F.size("__r") >= 3)).select("doc", "page", "item", F.transform("__r", lambda r: F.transform(r, lambda c: c["text"])).alias("rows"))

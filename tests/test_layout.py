@@ -96,3 +96,33 @@ def test_lists_and_trailing_numbers(spark):
 def test_page_continuations(spark):
     rows = [("paragraph", None, 0, "goes"), ("noise", None, 1, "head"), ("paragraph", None, 1, "on here."), ("paragraph", None, 2, "new"), ("paragraph", None, 3, "New again")]
     assert [(r.id, r.continues) for r in L.page_continuations(els(spark, rows)).collect()] == [("d#e3", "d#e1")]
+
+
+def test_kinds(spark):
+    blocks = [["Title"], ["1. one", "2) two", "more of it"], ["R. B. Smith"], ["a) x", "b) y"], ["- lonely"], ["• dot", "• dots"], ["Figure 2: it"], ["plain text", "over two-", "lines"], ["(b) x", "(a) y"]]
+    rows = [item(0, k, 100 + 20 * k, lines, 20.0 if k == 0 else 10.0) for k, lines in enumerate(blocks)]
+    items = L.running_noise(frame(spark, rows))
+    sizes = L.body_size(items)
+    got = [(r.type, r.md) for r in L.element_kinds(items, sizes, L.heading_levels(items, sizes)).orderBy("item").collect()]
+    assert got == [
+        ("heading", "# Title"), ("list", "1. one\n2. two more of it"), ("paragraph", "R. B. Smith"), ("list", "- a) x\n- b) y"), ("paragraph", "- lonely"), ("list", "- dot\n- dots"),
+        ("caption", "Figure 2: it"), ("paragraph", f"plain text over two{L.SOFT}lines"), ("paragraph", "(b) x (a) y"),
+    ]
+
+
+def test_scans(spark):
+    rows = [item(0, 0, 0, [], x0=0, x1=600, y1=800, kind="image"), item(0, 1, 100, ["text"]), item(0, 2, 300, ["* —"]), item(0, 3, 600, [], kind="image", y1=700), item(1, 0, 100, ["*"])]
+    items = frame(spark, rows)
+    assert [(r.doc, r.page) for r in L.scanned_pages(items).collect()] == [("d", 0)]
+    rows.append(item(0, 4, 610, ["words on it"], y1=690))
+    assert sorted((r.page, r.item) for r in L.cleaned_scans(frame(spark, rows)).collect()) == [(0, 0), (0, 1), (0, 4), (1, 0)]
+
+
+def test_colon_lists_and_text_tables(spark):
+    schema = "doc string, page int, item int, kind string, size double, lines array<string>, line_x1 array<double>"
+    df = spark.createDataFrame([("d", 0, 0, "text", 10.0, ["You need:", "salt", "pepper", "oil"], [500.0, 80.0, 90.0, 70.0]), ("d", 0, 1, "text", 10.0, ["He said:", "a full line here", "end"], [500.0, 500.0, 70.0])], schema)
+    assert [(r.item, r.part, r.lines) for r in L.colon_lists(df).orderBy("item", "part").collect()] == [(0, 0, ["You need:"]), (0, 1, ["- salt", "- pepper", "- oil"]), (1, 0, ["He said:", "a full line here", "end"])]
+    cells = "doc string, page int, item int, x0 double, y0 double, cells array<array<struct<x:double,text:string>>>"
+    row = lambda *c: [(x, t) for x, t in c]
+    df = spark.createDataFrame([("d", 0, 0, 1.0, 10.0, [row((50.0, "a"), (200.0, "b"))]), ("d", 0, 1, 1.0, 20.0, [row((55.0, "1"), (190.0, "2")), row((50.0, "3"), (200.0, "4"))]), ("d", 0, 2, 1.0, 30.0, None), ("d", 0, 3, 1.0, 40.0, [row((50.0, "x"), (200.0, "y"))])], cells)
+    assert [(r.item, r.rows) for r in L.text_tables(df).collect()] == [(0, [["a", "b"], ["1", "2"], ["3", "4"]])]
