@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratalith.model import WHITE
+from stratalith.model import WHITE, WHITE_CHARACTERS
 
 
 def element_hash(kind: Column, md: Column) -> Column:
@@ -31,11 +31,11 @@ def full_id(reference: Column, doc: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, all of Unicode's counting as such."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARACTERS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WHITE}+$", "")
+    return F.rtrim(text, F.lit(WHITE_CHARACTERS))
 
 
 def collapse(text: Column) -> Column:

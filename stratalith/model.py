@@ -42,6 +42,8 @@ FILE = r"^images/[^/]+\.(png|webp|jpg|jpeg|svg)$"
 LINK = r"\]\(#([a-z0-9_-]+)\)"
 #: White space as the format strips it, as a Java and Python character class.
 WHITE = r"[\x09-\x0D\x1C-\x20\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: The same characters one by one.
+WHITE_CHARACTERS = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 _STRINGS, _INTS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalith.model import ATTACHABLE, NEVER_EMBEDDED
 from stratalith.operators.structure import ancestors, in_order, joined_hash, joined_units, page_range, sections
+from stratalith.storage import materialize
 
 
 def embeddable(elements: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def element_chunks(elements: DataFrame, rerooted: bool = False) -> DataFrame:
     goes to the note's own target. ``elements``: doc, pos, id, type, level, md, page,
     hash, parent, reference (one id), continues.
     """
-    units = joined_units(embeddable(elements))
+    elements = materialize(elements, "elements")
+    units = materialize(joined_units(embeddable(elements)), "units")
     links = _attached(units)
     if rerooted:
         onward = links.select("doc", F.col("id").alias("target"), F.col("target").alias("__t"))
@@ -108,6 +110,7 @@ def section_chunks(elements: DataFrame, max_chars: int = 0, strict_access: bool
     With ``strict_access`` a section is also cut where the access groups change, so
     that no chunk shows a text to more readers than its element does.
     """
+    elements = materialize(elements, "elements")
     units = sections(joined_units(embeddable(elements)))
     by = ["doc", "section"]
     if strict_access and "access" in units.columns:

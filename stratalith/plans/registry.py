@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalith.functions import columns as C
 from stratalith.operators import chunking, constraints, quality, retrieval, structure
 from stratalith.sources import views as V
+from stratalith.storage import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,6 +32,11 @@ def query(sql: str | None = None, views: str = ""):
 ELEMENT = "doc, pos, id, type, level, md, page, hash, characters"
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linked_elements, written once for operators that read them several times."""
+    return materialize(V.linked_elements(spark, sf_dir), "linked")
+
+
 def _elements(df: DataFrame) -> DataFrame:
     return df.select(*ELEMENT.split(", "))
 
@@ -157,7 +163,7 @@ _TITLE = "trim(case when type = 'heading' then regexp_replace(md, '^#{1,6}\\s*',
     "recursive " + V.DOC_ELEMENTS,
 )
 def heading_path(spark, sf_dir):
-    paths = structure.ancestors(structure.default_parent(V.doc_elements(spark, sf_dir)))
+    paths = structure.ancestors(materialize(structure.default_parent(V.doc_elements(spark, sf_dir)), "parented"))
     return paths.select("doc", "id", F.array_join("path", " > ").alias("path"), F.size("path").alias("depth"))
 
 
@@ -212,7 +218,7 @@ _KEPT = """,, kept as (select * from linked_elements where type <> 'noise'),
 
 @query(_KEPT + " select id, root from chain", "recursive " + V.LINKED_ELEMENTS)
 def continues_chains(spark, sf_dir):
-    return structure.continuation_roots(chunking.embeddable(V.linked_elements(spark, sf_dir))).select("id", "root")
+    return structure.continuation_roots(chunking.embeddable(_linked(spark, sf_dir))).select("id", "root")
 
 
 _UNITS = (
@@ -229,18 +235,18 @@ _UNITS = (
 
 @query(_UNITS + " select id, md, parts from units where parts > 1 and not regexp_matches(md, '[A-Za-z0-9_]- ')", "recursive " + V.LINKED_ELEMENTS)
 def joined_md(spark, sf_dir):
-    u = structure.joined_units(chunking.embeddable(V.linked_elements(spark, sf_dir)))
+    u = structure.joined_units(chunking.embeddable(_linked(spark, sf_dir)))
     return u.select("id", "md", F.size("part_ids").cast("long").alias("parts")).where(r"parts > 1 and not md rlike '[A-Za-z0-9_]- '")
 
 
 @query(_UNITS + " select id, hash from units", "recursive " + V.LINKED_ELEMENTS)
 def joined_hash(spark, sf_dir):
-    return structure.joined_units(chunking.embeddable(V.linked_elements(spark, sf_dir))).select("id", "hash")
+    return structure.joined_units(chunking.embeddable(_linked(spark, sf_dir))).select("id", "hash")
 
 
 @query(_UNITS + " select id, case when first_page = last_page then first_page end as page, case when first_page < last_page then first_page end as first_page, case when first_page < last_page then last_page end as last_page from units", "recursive " + V.LINKED_ELEMENTS)
 def joined_pages(spark, sf_dir):
-    u = structure.joined_units(chunking.embeddable(V.linked_elements(spark, sf_dir)))
+    u = structure.joined_units(chunking.embeddable(_linked(spark, sf_dir)))
     return u.select("id", "page", F.col("pages")[0].alias("first_page"), F.col("pages")[1].alias("last_page"))
 
 
@@ -251,13 +257,13 @@ _TIED = _UNITS + """, ties as (
 
 @query(_TIED + " select id, target from ties", "recursive " + V.LINKED_ELEMENTS)
 def attachments(spark, sf_dir):
-    units = structure.joined_units(chunking.embeddable(V.linked_elements(spark, sf_dir)))
+    units = materialize(structure.joined_units(chunking.embeddable(_linked(spark, sf_dir))), "units")
     return chunking._attached(units).select("id", "target")
 
 
 @query(_TIED + " select u.id from units u where u.type = 'caption' and u.reference is not null and u.id not in (select id from ties)", "recursive " + V.LINKED_ELEMENTS)
 def orphan_attachments(spark, sf_dir):
-    units = structure.joined_units(chunking.embeddable(V.linked_elements(spark, sf_dir)))
+    units = materialize(structure.joined_units(chunking.embeddable(_linked(spark, sf_dir))), "units")
     return units.where("type = 'caption' and reference is not null").join(chunking._attached(units), ["doc", "id"], "left_anti").select("id")
 
 
@@ -324,7 +330,7 @@ def section_chunks_split(spark, sf_dir):
     V.DOC_ELEMENTS,
 )
 def chunk_text(spark, sf_dir):
-    e = structure.default_parent(V.doc_elements(spark, sf_dir))
+    e = materialize(structure.default_parent(V.doc_elements(spark, sf_dir)), "parented")
     paths = structure.ancestors(e)
     return e.join(paths, ["doc", "id"]).select("id", chunking.chunk_text(F.col("path"), F.col("md")).alias("text"))
 
@@ -569,7 +575,7 @@ def check_required(spark, sf_dir):
             union all select doc, pos, 'hash', hash from linked_elements where hash <> substr(sha256(type || chr(10) || md), 1, 16))) group by rule"""
 )
 def violations_report(spark, sf_dir):
-    e = V.linked_elements(spark, sf_dir)
+    e = _linked(spark, sf_dir)
     rules = (constraints.duplicates(e, "label"), constraints.references(e), constraints.continuations(e), constraints.stored_text(e).where("rule = 'hash'"))
     every = rules[0]
     for r in rules[1:]:
