@@ -5,21 +5,28 @@ for numbers, for units behind numbers, and for names (capitalised words inside a
 sentence). An item gives two templates, one of its text as it stands and one of its
 text in lower case, so that leaks that lost their case match as well.
 
-Every window of ``WIDTH`` template words of an item is hashed; of a document every
-``STRIDE``-th window is, which meets any shared run of ``WIDTH + STRIDE - 1`` words or
-more. A bitmap of fixed size holds the items' hashes as a literal and sifts a
-document's windows inside the row; only what passes is hash-joined with the items'
-windows, exactly. Each run of matches is then laid over the whole item: a document
-holds the item if ``COVERAGE`` of the item's words agree, ``LITERALS`` of them
-at least being no placeholders, and the slots are consistent: equal values in the item
+A second reading takes a run of capitalised words, at the beginning of a sentence too,
+as one name, and a number with its unit as one number, so that a slot whose value
+changes its number of words ("Berlin", "New York"; "5km", "5 km") or stands first in a
+sentence stays one slot. Documents and items have both readings.
+
+Every window of an item is hashed, and every window of a document: ``WIDTH`` words, and
+the whole item where it has under ``WIDTH`` words. A
+bitmap of fixed size holds the items' hashes as a literal and sifts a document's
+windows inside the row, first by as many words as the least windows have; only what passes is hash-joined with the items' windows,
+exactly. Each run of matches is then laid over the whole item. Runs at different shifts,
+up to the item's length apart, are chained in order (the longest common subsequence of
+their agreeing words), so words may be inserted or left out between them. A document
+holds the item if ``COVERAGE`` of the item's words agree (``CLOSE`` if no ``WIDTH`` of
+them in a row do), or ``LONG`` words in a row with their values, ``LITERALS`` of
+them at least being no placeholders, and the slots are consistent: equal values in the item
 have equal values in the document and different ones different ones. Numbers and
 names that differ all the same way make a re-parameterised question; values that
 don't fit make another text.
 
-Items shorter than ``WIDTH + STRIDE - 1`` words are looked for as a whole at every
-position; those under ``SHORTEST`` words say too little and aren't looked for.
-Placeholders alone never start a match. The items' tables are broadcast up to
-``BROADCAST_ROWS`` windows, and shuffled beyond.
+Items under ``SHORTEST`` words say too little and aren't looked for. Placeholders alone
+never start a match. The items' tables are broadcast up to ``BROADCAST_ROWS`` windows,
+and shuffled beyond.
 
 Result: one row per doc_id and item_id that match, with the best alignment; null
 texts match nothing, repeated rows of one doc_id give one row, empty tables an empty
@@ -28,16 +35,19 @@ result. Only doc_id, item_id and the texts are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalith.llm.rowsets import bit_test, bitmap_bytes, row_key, without_rows
 from stratalith.storage import materialize
 
 WIDTH = 6
-STRIDE = 2
+STRIDE = 1
 SHORTEST = 4
 COVERAGE = 0.5
+CLOSE = 0.75
+#: The usual length of a run that gives a text away.
+LONG = 13
 LITERALS = 4
 BITS = 1 << 20
 BROADCAST_ROWS = 1 << 18
@@ -68,6 +78,24 @@ def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+(?:[.,][0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"), F.lit(0))
 
 
+#: Letters and digits; the dot is what a capital I with a dot leaves in lower case.
+_WORD = r"\p{L}\p{N}\u0307"
+_NUMBERS = rf"(?<![{_WORD}])[0-9]++(?:[.,][0-9]++)*+(?: ?(?i:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + rf"))?(?![{_WORD}])"
+_CAPITALS = rf"\p{{Lu}}\p{{Ll}}\p{{L}}*+(?![{_WORD}])"
+_NAMES = rf"(?<![{_WORD}]){_CAPITALS}(?:[ \t]{_CAPITALS})*+"
+
+
+def slot_words(text: Column) -> Column:
+    """The template's second reading: a run of capitalised words is one name, a number with its unit one number."""
+    numbered = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBERS, NUMBER)).otherwise(text)
+    return F.array_remove(F.split(F.lower(F.regexp_replace(numbered, _NAMES, NAME)), f"[^{_SIGN}\\u0307]+", -1), "")
+
+
+def slot_values(text: Column) -> Column:
+    """The words that ``slot_words`` has, at the same places, with their values."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"{_NUMBERS}|{_NAMES}|[{_WORD}]+"), F.lit(0)), F.lower)
+
+
 def _literals(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
 
@@ -76,62 +104,115 @@ def _window_hash(words: Column, at: Column, width: int) -> Column:
     return F.xxhash64(F.slice(words, at, width), F.lit(width))
 
 
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
-    """Items (item, variant, t, v), their windows (h, item, variant, off, prev) and the (width, stride) of documents' windows."""
+def width_of(n: Column) -> Column:
+    """Words of the windows of an item of n words."""
+    return F.when(n < WIDTH, n).otherwise(WIDTH)
+
+
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Items (item, variant, t, v), their windows (h, begin, item, variant, off, prev) and the windows' widths."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = benchmark.select(F.col("item_id").cast("long").alias("item"), text.alias("text"))
     both = base.withColumn("variant", F.lit(0)).union(base.select("item", F.lower("text").alias("text"), F.lit(1).alias("variant")))
-    items = both.select("item", "variant", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("v")).where(F.size("t") >= SHORTEST)
-    items = materialize(items.withColumn("short", F.size("t") < WIDTH + STRIDE - 1).dropDuplicates(["item", "t", "v"]), "items", 2 * benchmark.count())
-    widths = sorted(r.n for r in items.where("short").select(F.size("t").alias("n")).distinct().collect())  # WIDTH + STRIDE - 2 at most
-    plan = [(WIDTH, STRIDE), *((n, 1) for n in widths)]
+    items = both.select("item", "variant", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("v"))
+    slots = both.select("item", (F.col("variant") + 2).alias("variant"), slot_words(F.col("text")).alias("t"), slot_values(F.col("text")).alias("v"))
+    items = items.union(slots).where(F.size("t") >= SHORTEST).withColumn("width", width_of(F.size("t")))
+    items = materialize(items.dropDuplicates(["item", "t", "v"]), "items", 4 * benchmark.count())
+    plan = sorted(r.width for r in items.select("width").distinct().collect())  # WIDTH at most
     parts = []
-    for width, stride in plan:
-        some = items.where(~F.col("short") if stride > 1 else F.col("short") & (F.size("t") == width))
+    for width in plan:
+        some = items.where(F.col("width") == width)
         offs = some.select("item", "variant", "t", F.explode(F.sequence(F.lit(0), F.size("t") - width)).alias("off"))
         own = lambda off: _literals(F.slice(F.col("t"), off + 1, width)) > 0  # noqa: B023, E731
-        before = F.when(F.col("off") >= stride, own(F.greatest(F.col("off") - stride, F.lit(0)))).otherwise(F.lit(False)) if stride > 1 else F.lit(False)
-        parts.append(offs.where(own(F.col("off"))).select(_window_hash(F.col("t"), F.col("off") + 1, width).alias("h"), "item", "variant", "off", before.alias("prev")))
+        before = F.when(F.col("off") >= STRIDE, own(F.greatest(F.col("off") - STRIDE, F.lit(0)))).otherwise(F.lit(False))
+        parts.append(offs.where(own(F.col("off"))).select(_window_hash(F.col("t"), F.col("off") + 1, width).alias("h"), _window_hash(F.col("t"), F.col("off") + 1, plan[0]).alias("begin"), "item", "variant", "off", before.alias("prev")))
+    if not parts:
+        return items, items.selectExpr("0L h", "0L begin", "item", "variant", "0 off", "false prev"), plan
     windows = parts[0]
     for part in parts[1:]:
         windows = windows.union(part)
     return items, materialize(windows, "windows"), plan
 
 
+_POINT = "struct<k:int,p:int,t:string,dv:string,iv:string>"
+
+
+def _chain(points: Column) -> Column:
+    """The longest sequence of points that rises in k and in p."""
+    begin = F.array().cast(f"array<struct<p:int,path:array<{_POINT}>>>")
+
+    def step(ends: Column, x: Column) -> Column:  # ends[m]: the chain of m + 1 points that ends first
+        at = F.size(F.filter(ends, lambda y: y["p"] < x["p"]))
+        path = F.when(at > 0, F.get(ends, at - 1)["path"]).otherwise(F.array().cast(f"array<{_POINT}>"))
+        new = F.struct(x["p"].alias("p"), F.concat(path, F.array(x)).alias("path"))
+        return F.concat(F.slice(ends, 1, at), F.array(new), F.slice(ends, at + 2, F.greatest(F.size(ends) - at - 1, F.lit(0))))
+
+    order = lambda a, b: F.when(a["k"] != b["k"], a["k"] - b["k"]).otherwise(b["p"] - a["p"])
+    return F.aggregate(F.array_sort(points, order), begin, step, lambda ends: F.element_at(ends, -1)["path"])
+
+
+def _runs(points: Column) -> Column:
+    """Longest run of points side by side (best), and of such with equal values (exact)."""
+    zero = F.struct(*[F.lit(x).alias(n) for n, x in (("k", -2), ("p", -2), ("run", 0), ("best", 0), ("same", 0), ("exact", 0))])
+
+    def step(s: Column, x: Column) -> Column:
+        on = (x["k"] == s["k"] + 1) & (x["p"] == s["p"] + 1)
+        run = F.when(on, s["run"] + 1).otherwise(1)
+        same = F.when(x["dv"] != x["iv"], 0).when(on, s["same"] + 1).otherwise(1)
+        return F.struct(x["k"].alias("k"), x["p"].alias("p"), run.alias("run"), F.greatest(s["best"], run).alias("best"), same.alias("same"), F.greatest(s["exact"], same).alias("exact"))
+
+    return F.aggregate(points, zero, step)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage, matched, slots, changed_slots for each document that holds an item."""
     items, windows, plan = benchmark_windows(benchmark)
     few = windows.count() <= BROADCAST_ROWS
-    known = bit_test(bitmap_bytes(windows, "h", BITS), BITS)
+    plan = plan or [WIDTH]
+    begins, known = (bit_test(bitmap_bytes(windows, c, BITS), BITS) for c in ("begin", "h"))
 
-    def hits(width: int, stride: int) -> Column:
-        at = F.when(F.size("w") >= width, F.sequence(F.lit(1), F.size("w") - width + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(at, lambda i: F.struct(i.alias("i"), _window_hash(F.col("w"), i, width).alias("h"))), lambda x: known(x["h"]))
+    def hits() -> Column:
+        """Places and hashes of the windows of all widths; only where the least one's words begin an item's window are the others hashed."""
+        least = plan[0]
+        at = F.when(F.size("w") >= least, F.sequence(F.lit(1), F.size("w") - least + 1)).otherwise(F.array().cast("array<int>"))
+        places = F.filter(at, lambda i: begins(_window_hash(F.col("w"), i, least)))
+        every = lambda i: F.array(*[F.struct(i.alias("i"), F.when(i <= F.size("w") - width + 1, _window_hash(F.col("w"), i, width)).alias("h")) for width in plan])
+        return F.flatten(F.transform(places, lambda i: F.filter(every(i), lambda x: x["h"].isNotNull() & known(x["h"]))))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.withColumn("w", template_words(F.col("text")))
-    every = [hits(width, stride) for width, stride in plan]
-    rows = rows.withColumn("hits", F.concat(*every) if len(every) > 1 else every[0])
-    # outer, as an inner one would have the windows computed twice, to filter and to emit
-    found = rows.select("doc_id", "text", "w", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", "text", "w", "hit.i", "hit.h")
+    # outer here and below, as an inner one would have the arrays computed twice, to filter and to emit
+    rows = rows.select("doc_id", "text", F.posexplode_outer(F.array_distinct(F.array(template_words(F.col("text")), slot_words(F.col("text"))))).alias("reading", "w"))
+    rows = rows.withColumn("hits", hits())
+    found = rows.select("doc_id", "text", "reading", "w", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", "text", "reading", "w", "hit.i", "hit.h")
     small = F.broadcast if few else (lambda df: df)
-    found = found.join(small(windows), "h").join(small(items.drop("short")), ["item", "variant"])
+    found = found.join(small(windows.drop("begin")), "h").join(small(items.drop("width")), ["item", "variant"])
     # where the words before agree too, an earlier window of the same run stands for this one
     agrees = F.slice("w", F.greatest(F.col("i") - STRIDE, F.lit(1)), STRIDE) == F.slice("t", F.greatest(F.col("off") - STRIDE + 1, F.lit(1)), STRIDE)
     found = found.where(~(F.col("prev") & (F.col("i") > STRIDE) & agrees))
     shift = F.col("i") - 1 - F.col("off")
-    found = found.withColumn("skip", F.greatest(-shift, F.lit(0))).withColumn("from", F.greatest(shift, F.lit(0)) + 1).withColumn("n", F.size("t"))
-    found = found.withColumn("doc_v", plain_words(F.col("text")))
+    found = found.withColumn("shift", shift).withColumn("skip", F.greatest(-shift, F.lit(0))).withColumn("from", F.greatest(shift, F.lit(0)) + 1).withColumn("n", F.size("t"))
+    found = found.withColumn("doc_v", F.when(F.col("reading") == 0, plain_words(F.col("text"))).otherwise(slot_values(F.col("text"))))
     part = lambda c, at: F.slice(F.col(c), at, F.col("n") - F.col("skip"))
     laid = F.arrays_zip(part("w", F.col("from")).alias("w"), part("t", F.col("skip") + 1).alias("t"), part("doc_v", F.col("from")).alias("dv"), part("v", F.col("skip") + 1).alias("iv"))
-    found = found.select("doc_id", "item", "n", F.filter(laid, lambda x: x["w"] == x["t"]).alias("same"))
-    slots = F.filter("same", lambda x: x["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]"))
-    found = found.withColumn("slots", slots).withColumn("matched", F.size("same"))
+    point = lambda x, i: F.struct((F.col("skip") + i).alias("k"), (F.col("from") - 1 + i).alias("p"), x["w"].alias("w"), x["t"].alias("t"), x["dv"].alias("dv"), x["iv"].alias("iv"))
+    same = F.transform(F.filter(F.transform(laid, point), lambda x: x["w"] == x["t"]), lambda x: x.dropFields("w"))
+    key = ["doc_id", "row", "reading", "item", "variant"]
+    found = found.select("doc_id", F.xxhash64("text").alias("row"), "reading", "item", "variant", "n", "shift", (F.col("shift") / F.col("n")).alias("at"), same.cast(f"array<{_POINT}>").alias("one"))
+    order = Window.partitionBy(*key).orderBy("at")
+    found = found.withColumn("last", F.lag("shift").over(order)).where("last is null or last != shift")
+    # a slot whose neighbours don't agree may be any other name or number
+    slot = lambda x: x["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]")
+    firm = F.filter("one", lambda x: ~slot(x) | F.exists("one", lambda y: F.abs(y["k"] - x["k"]) == 1))
+    found = found.withColumn("firm", firm).withColumn("near", F.collect_list("firm").over(order.rangeBetween(0, 1)))
+    found = found.withColumn("ways", F.when(F.size("near") > 1, F.array(F.col("one"), _chain(F.flatten("near")))).otherwise(F.array("one")))
+    found = found.select("doc_id", "item", "reading", "n", F.explode_outer("ways").alias("same")).where("same is not null")
+    found = found.withColumn("slots", F.filter("same", slot)).withColumn("matched", F.size("same")).withColumn("runs", _runs(F.col("same")))
     distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[n].alias(n) for n in names]))))
     consistent = (distinct("dv", "iv") == distinct("dv")) & (distinct("dv", "iv") == distinct("iv"))
-    holds = (F.col("matched") >= F.col("n") * COVERAGE) & (F.col("matched") - F.size("slots") >= F.least(F.lit(LITERALS), F.col("n"))) & consistent
+    covers = (F.col("matched") >= F.col("n") * COVERAGE) & (F.col("runs.best") >= WIDTH) | (F.col("matched") >= F.col("n") * CLOSE) | (F.col("runs.exact") >= LONG)
+    holds = covers & (F.col("matched") - F.size("slots") >= F.least(F.lit(LITERALS), F.col("n"))) & consistent
     changed = F.size(F.filter("slots", lambda x: x["dv"] != x["iv"]))
-    best = F.struct((F.col("matched") / F.col("n")).alias("coverage"), (-changed).alias("less"), "matched", F.size("slots").alias("slots"))
+    best = F.struct((F.col("matched") / F.col("n")).alias("coverage"), (-F.col("reading")).alias("plain"), (-changed).alias("less"), "matched", F.size("slots").alias("slots"))
     # the test stands in the aggregate: as a filter it would sink below the projections and have them computed again
     out = found.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.max(F.when(holds, best)).alias("b")).where("b is not null")
     return out.select("doc_id", "item_id", "b.coverage", F.col("b.matched").cast("long").alias("matched"), F.col("b.slots").cast("long").alias("slots"), (-F.col("b.less")).cast("long").alias("changed_slots"))

@@ -113,3 +113,30 @@ def test_against_all_alignments(spark, seed):
 
 def test_empty(spark):
     assert leaked(spark, [], ITEMS) == {} and leaked(spark, [(1, "a b c d e f")], []) == {}
+
+
+LETTERS = [f"q{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+
+
+def test_runs_at_several_shifts_are_chained(spark):
+    forty = LETTERS[:40]
+    items = [(1, " ".join(forty)), (2, " ".join(LETTERS[40:46]) + " Berlin " + " ".join(LETTERS[46:52]) + " Hamburg " + " ".join(LETTERS[52:58])), (3, " ".join(LETTERS[:4]) + " Rome " + " ".join(LETTERS[20:24]) + " 5km " + " ".join(LETTERS[30:34]) + " Oslo end")]
+    docs = [
+        (1, " ".join([*forty[:13], "zz", *forty[13:26], "yy", *forty[26:]])),
+        (2, items[1][1].replace("Berlin", "New York").replace("Hamburg", "San Jose")),
+        (3, items[2][1].replace("Rome", "New York").replace("5km", "7 km")),
+        (4, " ".join(["aa", *forty[:19], "bb"])),
+        (5, " ".join(["aa", *forty[:11], "bb"])),
+    ]
+    got = leaked(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 1)}
+    assert got[1, 1].matched == 40
+
+
+def test_readings_have_their_values(spark):
+    texts = ["5 Km to New York. Anna9 has 3.5x, b2.5 and 9Abc", "İstanbul 5km iPhone USA Mc Donald 1,000 kmx", "In Rome Anna paid 12 EUR 7"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = d.select(D.slot_words(d.text).alias("t"), D.slot_values(d.text).alias("v")).collect()
+    assert all(len(r.t) == len(r.v) for r in got)
+    assert got[0].t[:4] == [D.NUMBER, "to", D.NAME, "anna9"] and got[0].v[:3] == ["5 km", "to", "new york"]
+    assert got[2].t == [D.NAME, "paid", D.NUMBER, D.NUMBER]
