@@ -10,8 +10,9 @@ as one name, and a number with its unit as one number, so that a slot whose valu
 changes its number of words ("Berlin", "New York"; "5km", "5 km") or stands first in a
 sentence stays one slot. Documents and items have both readings.
 
-Every window of an item is hashed, and every window of a document: ``WIDTH`` words, and
-the whole item where it has under ``WIDTH`` words. A
+Every window of an item is hashed, and every window of a document: ``WIDTH`` words for
+items of 15 words and more, for shorter ones as few (``SHORT_WIDTH`` at least) as are
+left beside one changed word, and the whole item where it has under ``WIDTH`` words. A
 bitmap of fixed size holds the items' hashes as a literal and sifts a document's
 windows inside the row, first by as many words as the least windows have; only what passes is hash-joined with the items' windows,
 exactly. Each run of matches is then laid over the whole item. Runs at different shifts,
@@ -43,6 +44,7 @@ from stratalith.storage import materialize
 
 WIDTH = 6
 STRIDE = 1
+SHORT_WIDTH = 3
 SHORTEST = 4
 COVERAGE = 0.5
 CLOSE = 0.75
@@ -105,8 +107,8 @@ def _window_hash(words: Column, at: Column, width: int) -> Column:
 
 
 def width_of(n: Column) -> Column:
-    """Words of the windows of an item of n words."""
-    return F.when(n < WIDTH, n).otherwise(WIDTH)
+    """Words of the windows of an item of n words; one changed word leaves a whole one in items of WIDTH words and more."""
+    return F.when(n < WIDTH, n).otherwise(F.least(F.lit(WIDTH), F.greatest(F.lit(SHORT_WIDTH), F.floor((n - 1) / 2)))).cast("int")
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:

@@ -133,6 +133,20 @@ def test_runs_at_several_shifts_are_chained(spark):
     assert got[1, 1].matched == 40
 
 
+def test_short_items(spark):
+    twelve = LETTERS[:12]
+    changed = " ".join([*twelve[:5], "zz", *twelve[6:]])
+    items = [(1, "Which city hosted the games"), (2, "Anna has read seven old books"), (3, " ".join(twelve))]
+    docs = [
+        (1, "He asked Which city hosted the games today"),
+        (2, "He said. Bruno has read seven old books"),
+        (3, changed),
+        (4, "aa " + changed),
+        (5, "the games were hosted by which city"),
+    ]
+    assert set(leaked(spark, docs, items)) == {(1, 1), (2, 2), (3, 3), (4, 3)}
+
+
 def test_readings_have_their_values(spark):
     texts = ["5 Km to New York. Anna9 has 3.5x, b2.5 and 9Abc", "İstanbul 5km iPhone USA Mc Donald 1,000 kmx", "In Rome Anna paid 12 EUR 7"]
     d = spark.createDataFrame([(t,) for t in texts], "text string")
