@@ -2,7 +2,9 @@
 
 A page is read as a sequence of words and tags. What is never the article is taken
 out first, with all that it contains: ``DROPPED`` tags and elements whose class, id
-or role names them as menus, adverts, notices, comments and the like. Each remaining
+or role names them as menus, adverts, notices, comments and the like. A wrapper stays
+in spite of its name if it holds most words of the page's article and main elements or,
+without these, most words outside links (``wrappers``). Each remaining
 word and tag has a score, and one linear scan finds the contiguous region with the
 largest sum; the blocks with words in it are the text.
 
@@ -63,6 +65,8 @@ BLOCKS = frozenset(
 #: An open p ends where one of these begins.
 ENDS_P = BLOCKS - {"body", "html"}
 HOLDERS = frozenset(("article", "main"))
+#: Names of what may well be longer than a short article, unless they say what a layout has.
+_REMARKS = re.compile(r"(?<!has-)(?<!with-)(?<!no-)(?:comment|disqus|repl(?:y|ies)|respond|cookie|consent|gdpr|related|recommended|footer|header|topbar|toolbar)", re.IGNORECASE)
 
 
 def _bad(rest: str, inside: bool) -> bool:
@@ -73,6 +77,48 @@ def _bad(rest: str, inside: bool) -> bool:
     return False
 
 
+def wrappers(found: list[re.Match]) -> set[int]:
+    """Where the elements begin that stay in spite of their names."""
+    stack: list[tuple[str, int, int, int, bool, bool]] = []
+    closed: list[tuple[int, int, int]] = []
+    words = main = links = held = lost = 0
+
+    def close(k: int) -> None:
+        nonlocal links, held, lost
+        for name, at, w, h, suspect, out in stack[k:]:
+            links -= name == "a"
+            held -= name in HOLDERS
+            lost -= out
+            if suspect:
+                closed.append((at, words - w, main - h))
+        del stack[k:]
+
+    for m in found:
+        if m["text"] is not None:
+            n = 0 if links or lost else len(m["text"].split())
+            words += n
+            main += n if held else 0
+            continue
+        name = (m["name"] or "").lower()
+        if not name or m["raw"]:
+            continue
+        if m["end"]:
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] != name:
+                k -= 1
+            if k >= 0:
+                close(k)
+        elif name not in VOID and not m["rest"].rstrip().endswith("/"):
+            bad = name not in ("body", "html", "article", "main") and _bad(m["rest"], held > 0)
+            out = name in DROPPED and name != "form" or bad and any(_REMARKS.search("".join(g)) for g in _NAMED.findall(m["rest"]))
+            stack.append((name, m.start(), words, main, not out and (bad or name == "form"), out))
+            links += name == "a"
+            held += name in HOLDERS
+            lost += out
+    close(0)
+    return {at for at, w, h in closed if (2 * h > main if main else 2 * w > words)}
+
+
 def tokens(page: str) -> list[tuple[str, str, int]]:
     """(kind, text, block number) in page order: a run of text has its words' kind, a tag an empty text.
 
@@ -82,7 +128,9 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
     out: list[tuple[str, str, int]] = []
     block, links, held, skipping = 0, 0, 0, []
     open_tags: list[str] = []
-    for m in _TOKEN.finditer(page):
+    matches = list(_TOKEN.finditer(page))
+    kept = wrappers(matches)
+    for m in matches:
         name = (m["name"] or "").lower()
         if m["text"] is not None:
             if not skipping:
@@ -113,7 +161,7 @@ def tokens(page: str) -> list[tuple[str, str, int]]:
                 del open_tags[k:]
         else:
             inside = held > 0
-            if name in DROPPED or name == "header" and not inside or name not in ("body", "html", "article", "main") and _bad(m["rest"], inside):
+            if m.start() not in kept and (name in DROPPED or name == "header" and not inside or name not in ("body", "html", "article", "main") and _bad(m["rest"], inside)):
                 if name not in VOID and not m["rest"].rstrip().endswith("/"):
                     skipping = [name]
                 block += name in BLOCKS

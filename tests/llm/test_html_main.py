@@ -60,3 +60,17 @@ def test_rows(spark):
     assert len(got) == 4 and [r.n_chars for r in got if r.page_id == 1] == [10, 10]
     assert [r.text for r in got if r.page_id == 2] == [""] and [r.n_chars for r in got if r.page_id is None] == [200000]
     assert H.extract_main_text(df.limit(0)).collect() == []
+
+
+def test_wrappers_with_suspicious_names_stay():
+    scores = H.learn(H.labelled_pages())
+    text = "the river rose over its banks in the night and the old mill was lost to the water"
+    menu = "<ul><li><a href=a>home</a></li><li><a href=b>news</a></li></ul>"
+    for tag in ("form id='aspnetForm'", "div class='layout-with-sidebar'", "div class='has-sidebar'", "div class='content-widget'", "div class='no-banner'", "div id='page-search'"):
+        end = tag.split()[0]
+        for inner in (f"<article><p>{text}</p></article>", f"<main><p>{text}</p></main>", f"<div><p>{text}</p></div>"):
+            page = f"<body>{menu}<{tag}>{inner}<div class='ad'>buy now</div></{end}><div class='footer'>imprint</div></body>"
+            assert H.main_text(page, scores) == text, page
+    for inner in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+        page = f"<body>{inner}<div class='comments'><article><p>{text} {text}</p></article></div></body>"
+        assert H.main_text(page, scores) == text, page
