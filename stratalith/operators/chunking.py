@@ -39,12 +39,17 @@ def _attached(units: DataFrame) -> DataFrame:
     return notes.join(parts, ["doc", "reference"]).select("doc", "id", "target")
 
 
-def element_chunks(elements: DataFrame, rerooted: bool = False) -> DataFrame:
+#: Fields that a chunk takes from its element and the element from its document, where there are any.
+CARRIED = ("access", "title", "source", "file", "reference", "bbox")
+
+
+def element_chunks(elements: DataFrame, rerooted: bool = False, every: DataFrame | None = None) -> DataFrame:
     """One chunk per element, with the captions and footnotes that refer to it.
 
     A note that refers to another note goes with neither, unless ``rerooted``, when it
     goes to the note's own target. ``elements``: doc, pos, id, type, level, md, page,
-    hash, parent, reference (one id), continues.
+    hash, parent, reference (one id), continues; of ``CARRIED`` what it has goes along.
+    ``every``: all elements, for the paths, where ``elements`` are some of them.
     """
     elements = materialize(elements, "elements")
     units = materialize(joined_units(embeddable(elements)), "units")
@@ -53,6 +58,9 @@ def element_chunks(elements: DataFrame, rerooted: bool = False) -> DataFrame:
         onward = links.select("doc", F.col("id").alias("target"), F.col("target").alias("__t"))
         links = links.join(onward, ["doc", "target"], "left").select("doc", "id", F.coalesce("__t", "target").alias("target"))
     tied = units.join(links, ["doc", "id"], "left")
+    carried = [c for c in CARRIED if c in units.columns]
+    if "bbox" in carried:  # parts on several pages have no place in common
+        tied = tied.withColumn("bbox", F.when(F.size("part_ids") == 1, F.col("bbox")))
     member = tied.withColumn("chunk", F.coalesce("target", "id")).withColumn("rank", F.when(F.col("target").isNull(), F.lit(-1)).otherwise(F.col("pos")))
     whole = member.groupBy("doc", "chunk").agg(
         F.max(F.col("target").isNull()).alias("anchored"),
@@ -60,9 +68,10 @@ def element_chunks(elements: DataFrame, rerooted: bool = False) -> DataFrame:
         in_order("md", "rank").alias("texts"),
         F.flatten(in_order("part_ids", "rank")).alias("part_ids"),
         F.flatten(in_order("part_hashes", "rank")).alias("part_hashes"),
+        *[F.min_by(c, "rank").alias(f"__{c}") for c in carried],
     )
     whole = whole.where("anchored")
-    paths = ancestors(elements).withColumnRenamed("id", "chunk")
+    paths = ancestors(elements if every is None else every).withColumnRenamed("id", "chunk")
     whole = whole.join(paths, ["doc", "chunk"], "left")
     md = F.array_join("texts", "\n\n")
     several = F.size("part_ids") > 1
@@ -78,6 +87,7 @@ def element_chunks(elements: DataFrame, rerooted: bool = False) -> DataFrame:
         "path",
         md.alias("md"),
         chunk_text(F.col("path"), md).alias("text"),
+        *[F.col(f"__{c}").alias(c) for c in carried],
     )
 
 
@@ -104,10 +114,10 @@ def _packed(max_chars: int) -> Column:
     return F.aggregate("m", first, step, lambda acc: acc["out"])
 
 
-def section_chunks(elements: DataFrame, max_chars: int = 0, strict_access: bool = False) -> DataFrame:
+def section_chunks(elements: DataFrame, max_chars: int = 0, strict_access: bool = False, every: DataFrame | None = None) -> DataFrame:
     """One chunk per section, or several of at most ``max_chars`` characters where that can be.
 
-    With ``strict_access`` a section is also cut where the access groups change, so
+    Of ``CARRIED`` all but the place go along, from the section's first element. With ``strict_access`` a section is also cut where the access groups change, so
     that no chunk shows a text to more readers than its element does.
     """
     elements = materialize(elements, "elements")
@@ -126,7 +136,7 @@ def section_chunks(elements: DataFrame, max_chars: int = 0, strict_access: bool
         units = units.join(parts, [*by, "pos"])
     else:
         units = units.withColumn("part", F.lit(1))
-    extra = [F.min_by("access", "pos").alias("access")] if "access" in units.columns else []
+    carried = [c for c in CARRIED if c in units.columns and c != "bbox"]
     chunks = units.groupBy(*by, "part").agg(
         F.min("pos").alias("pos"),
         F.min_by("id", "pos").alias("first_id"),
@@ -135,12 +145,12 @@ def section_chunks(elements: DataFrame, max_chars: int = 0, strict_access: bool
         F.flatten(in_order("part_hashes")).alias("hashes"),
         F.flatten(in_order("part_pages")).alias("all_pages"),
         in_order("md").alias("texts"),
-        *extra,
+        *[F.min_by(c, "pos").alias(f"__{c}") for c in carried],
     )
     whole = Window.partitionBy(*by)
     chunks = chunks.withColumn("parts", F.max("part").over(whole)).withColumn("anchor", F.coalesce(F.max("head_id").over(whole), "first_id"))
     page, pages = page_range(F.col("all_pages"))
-    paths = ancestors(elements).withColumnRenamed("id", "anchor")
+    paths = ancestors(elements if every is None else every).withColumnRenamed("id", "anchor")
     md = F.array_join("texts", "\n\n")
     chunks = chunks.join(paths, ["doc", "anchor"], "left")
     return chunks.select(
@@ -155,10 +165,31 @@ def section_chunks(elements: DataFrame, max_chars: int = 0, strict_access: bool
         "path",
         md.alias("md"),
         chunk_text(F.col("path"), md).alias("text"),
-        *(["access"] if extra else []),
+        *[F.col(f"__{c}").alias(c) for c in carried],
     )
 
 
+def chunks(elements: DataFrame, headers: DataFrame, by: str = "element", max_chars: int = 0, front: bool = False) -> DataFrame:
+    """The chunks of whole documents, ``by`` element or section, with the fields of their documents.
+
+    Unless ``front``, a document begins at the element that its header's ``meta`` names
+    under ``body``, or a key that ends so. Headings are found before that cut.
+    """
+    if by not in ("element", "section"):
+        raise ValueError(f"chunks are made by element or section, not by {by}")
+    h = headers.select("doc", *[F.col(c) if c in headers.columns else F.lit(None).cast("string").alias(c) for c in ("access", "title", "source", "meta")])
+    key = F.try_element_at(F.filter(F.json_object_keys("meta"), lambda k: (k == "body") | F.endswith(k, F.lit(".body"))), F.lit(1))
+    starts = h.where("meta is not null").select("doc", F.element_at(F.from_json("meta", "map<string,string>"), key).alias("__body"))
+    every = materialize(with_header(elements, h), "elements")
+    cut = every if front else body_only(every.join(starts, "doc", "left"), "__body").drop("__body")
+    return section_chunks(cut, max_chars, every=every) if by == "section" else element_chunks(cut, every=every)
+
+
+def retrieval_chunks(chunks_: DataFrame) -> DataFrame:
+    """Without the chunks that are a heading only, whose title stands in the paths of others."""
+    return chunks_.where("type <> 'heading'")
+
+
 def changed_chunks(new: DataFrame, old: DataFrame) -> DataFrame:
     """Chunks of ``new`` (id, hash) that are new or whose hash differs; of old chunks with one id the last (by pos) counts."""
     last = old.groupBy("id").agg(F.max_by("hash", "pos").alias("__h"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.functions.columns import title_of
-from stratalith.model import RUNNING_TEXT, WHITE
+from stratalith.functions.columns import short_id, title_of
+from stratalith.model import ELEMENT_TYPES, RUNNING_TEXT, WHITE
 from stratalith.storage import materialize
 
 MAX_LEVEL = 6
@@ -42,24 +42,55 @@ def default_parent(elements: DataFrame) -> DataFrame:
     return out.withColumn("parent", parent["id"]).drop("__level", *[f"__h{k}" for k in last])
 
 
+def _with_default_paths(elements: DataFrame) -> DataFrame:
+    """Adds ``default_parent`` and ``default_path``: the open headings above each element, from one window by document."""
+    above = reading_order().rowsBetween(Window.unboundedPreceding, -1)
+    level = F.when(F.col("type") == "heading", F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(MAX_LEVEL)))
+    rows = elements.withColumn("__level", level).withColumn("__title", title_of(F.col("type"), F.col("md")))
+    for k in range(1, MAX_LEVEL + 1):
+        rows = rows.withColumn(f"__h{k}", F.last(F.when(F.col("__level") == k, F.struct("pos", "id", "__title")), True).over(above))
+    last = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"__h{k}.pos").alias("pos"), F.col(f"__h{k}.id").alias("id"), F.col(f"__h{k}.__title").alias("title")) for k in range(1, MAX_LEVEL + 1)])
+    there = F.filter(last, lambda h: h["pos"].isNotNull() & (h["level"] < F.coalesce("__level", F.lit(MAX_LEVEL + 1))))
+    # a heading is open where no heading of a smaller level stands behind it
+    rows = rows.withColumn("__heads", there).withColumn("__open", F.filter("__heads", lambda h: ~F.exists("__heads", lambda g: (g["level"] < h["level"]) & (g["pos"] > h["pos"]))))
+    rows = rows.withColumn("default_parent", F.try_element_at(F.col("__open"), F.lit(-1))["id"]).withColumn("default_path", F.transform("__open", lambda h: h["title"]))
+    return rows.drop("__level", "__title", "__heads", "__open", *[f"__h{k}" for k in range(1, MAX_LEVEL + 1)])
+
+
 def ancestors(elements: DataFrame) -> DataFrame:
     """(doc, id, path): the titles above each element, the top one first.
 
-    Each round joins a step of 2 ** k parents to the step behind it, so the number of
-    joins is the logarithm of the depth. A parent that doesn't exist ends the path.
-    Of elements with one id the last counts.
+    Documents whose parents are all the nearest headings, and whose ids are unique, need
+    one window. In the others (groups, parents given otherwise) each round joins a step
+    of 2 ** k parents to the step behind it, among the elements that are parents only. A
+    parent that doesn't exist ends the path, and so does one of a circle. Of elements
+    with one id the last counts.
     """
-    nodes = elements.select("doc", "id", "parent", title_of(F.col("type"), F.col("md")).alias("title"), "pos")
-    nodes = nodes.groupBy("doc", "id").agg(F.max_by(F.struct("parent", "title"), "pos").alias("x")).select("doc", "id", "x.parent", "x.title")
-    above = nodes.select("doc", F.col("id").alias("parent"), F.col("title").alias("above"))
-    now = nodes.join(above, ["doc", "parent"], "left").select("doc", "id", F.when(F.col("above").isNotNull(), F.col("parent")).alias("up"), F.when(F.col("above").isNotNull(), F.array("above")).otherwise(F.array().cast("array<string>")).alias("path"))
+    columns = ["doc", "id", "type", "md", "pos", "parent", *(["level"] if "level" in elements.columns else [])]
+    rows = elements.select(*columns) if "level" in columns else elements.select(*columns, F.length(F.regexp_extract("md", "^(#{0,6})", 1)).alias("level"))
+    rows = _with_default_paths(rows)
+    each = rows.groupBy("doc", "id").agg(F.max_by(F.struct("parent", "default_parent", "default_path", title_of(F.col("type"), F.col("md")).alias("title")), "pos").alias("x"), F.count("*").alias("n"))
+    each = each.select("doc", "id", "x.*", ((F.col("n") > 1) | ~F.col("x.parent").eqNullSafe(F.col("x.default_parent"))).alias("odd"))
+    each = materialize(each.withColumn("odd", F.max("odd").over(Window.partitionBy("doc"))), "path")
+    plain, odd = each.where("not odd").select("doc", "id", F.col("default_path").alias("path")), each.where("odd")
+    if odd.isEmpty():
+        return plain
+    heads = odd.join(odd.select("doc", F.col("parent").alias("id")).distinct(), ["doc", "id"], "left_semi")
+    known = heads.select("doc", F.col("id").alias("parent"), F.col("title").alias("above"))
+    up = F.when(F.col("above").isNotNull(), F.col("parent"))
+    now = heads.join(known, ["doc", "parent"], "left").select("doc", "id", up.alias("up"), F.array_compact(F.array("above")).alias("path"), F.array_compact(F.array(up)).alias("ids"))
     now = materialize(now, "path")
     for _ in range(ROUNDS):
         if now.where("up is not null").isEmpty():
             break
-        far = now.select("doc", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
-        now = materialize(now.join(far, ["doc", "up"], "left").select("doc", "id", F.col("next").alias("up"), F.concat(F.coalesce("before", F.array().cast("array<string>")), "path").alias("path")), "path")
-    return now.select("doc", "id", "path")
+        far = now.select("doc", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("ids").alias("far_ids"))
+        met = F.arrays_overlap("ids", F.coalesce("far_ids", F.array().cast("array<string>"))) | F.array_contains("far_ids", F.col("id"))  # a circle
+        then = now.join(far, ["doc", "up"], "left").withColumn("met", F.coalesce(met, F.lit(False)))
+        longer = lambda before, own: F.when(F.col("met") | F.col(before).isNull(), F.col(own)).otherwise(F.concat(before, own))
+        now = materialize(then.select("doc", "id", F.when(~F.col("met"), F.col("next")).alias("up"), longer("before", "path").alias("path"), longer("far_ids", "ids").alias("ids")), "path")
+    of_parent = now.join(heads.select("doc", "id", "title"), ["doc", "id"]).select("doc", F.col("id").alias("parent"), F.concat("path", F.array("title")).alias("path"))
+    found = odd.select("doc", "id", "parent").join(of_parent, ["doc", "parent"], "left").select("doc", "id", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+    return plain.union(found)
 
 
 def sections(elements: DataFrame) -> DataFrame:
@@ -84,15 +115,16 @@ def continuation_roots(elements: DataFrame) -> DataFrame:
     claims = elements.where("continues is not null").join(before, ["doc", "continues"]).where("type = x.t and pos > x.p")
     first = Window.partitionBy("doc", "continues").orderBy("pos")
     links = claims.withColumn("n", F.row_number().over(first)).where("n = 1").select("doc", "id", F.col("continues").alias("up"))
-    now = materialize(elements.select("doc", "id").distinct().join(links, ["doc", "id"], "left").select("doc", "id", F.coalesce("up", "id").alias("up")), "chain")
-    for _ in range(ROUNDS):
+    now = materialize(links, "chain")
+    if now.isEmpty():
+        return elements.withColumn("root", F.col("id"))
+    for _ in range(ROUNDS):  # over the links only
         far = now.select("doc", F.col("id").alias("up"), F.col("up").alias("next"))
-        then = materialize(now.join(far, ["doc", "up"]).select("doc", "id", "up", "next"), "chain")
-        moved = not then.where("up <> next").isEmpty()
-        now = then.select("doc", "id", F.col("next").alias("up"))
-        if not moved:
+        then = materialize(now.join(far, ["doc", "up"], "left"), "chain")
+        now = then.select("doc", "id", F.coalesce("next", "up").alias("up"))
+        if then.where("next is not null").isEmpty():
             break
-    return elements.join(now.withColumnRenamed("up", "root"), ["doc", "id"], "left")
+    return elements.join(now.withColumnRenamed("up", "root"), ["doc", "id"], "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def joined_hash(hashes: Column) -> Column:
@@ -160,6 +192,26 @@ def outline(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("type").isin("heading", "group")).select("doc", "pos", F.when(F.col("type") == "heading", heading).otherwise(group).alias("line"))
 
 
+def type_counts(elements: DataFrame) -> DataFrame:
+    """(doc, type, elements, characters)"""
+    return elements.groupBy("doc", "type").agg(F.count("*").alias("elements"), F.sum("characters").alias("characters"))
+
+
+def info_text(headers: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc, text): what a document is, how many elements of each type it has, and its outline."""
+    counts = type_counts(elements).withColumn("nth", F.array_position(F.array(*[F.lit(t) for t in ELEMENT_TYPES]), F.col("type")))
+    counts = counts.groupBy("doc").agg(F.sum("elements").alias("n"), F.coalesce(F.sum("characters"), F.lit(0)).alias("size"), in_order(F.concat(F.lit("  "), F.rpad("type", 11, " "), F.col("elements").cast("string")), "nth").alias("types"))
+    lines = outline(elements).join(elements.select("doc", "pos", short_id(F.col("id"), F.col("doc")).alias("short")), ["doc", "pos"])
+    lines = lines.groupBy("doc").agg(in_order(F.concat("line", F.lit("  ["), "short", F.lit("]"))).alias("lines"))
+    h = headers.select(*[F.col(c) if c in headers.columns else F.lit(None).cast("string").alias(c) for c in ("doc", "title", "version", "date", "source", "lang", "created")], F.array_join("authors", ", ").alias("authors"))
+    named = [F.when(F.col(c) != "", F.concat(F.lit(f"{c}: "), c)) for c in ("authors", "date", "source", "lang", "created")]
+    first = F.concat(F.coalesce("title", "doc"), F.lit("  (doc: "), "doc", F.lit(", version "), F.coalesce("version", F.lit("unknown")), F.lit(")"))
+    total = F.concat(F.lit("elements: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("  ("), F.coalesce("size", F.lit(0)).cast("string"), F.lit(" characters)"))
+    none = F.array().cast("array<string>")
+    text = F.concat(F.array_compact(F.array(first, *named, total)), F.coalesce("types", none), F.array(F.lit("outline:")), F.coalesce("lines", none))
+    return h.join(counts, "doc", "left").join(lines, "doc", "left").select("doc", F.concat(F.array_join(text, "\n"), F.lit("\n")).alias("text"))
+
+
 def caption_targets(elements: DataFrame) -> DataFrame:
     """(doc, id, target): a caption's table below or image above it, else what stands on its other side.
 
@@ -183,15 +235,27 @@ def caption_targets(elements: DataFrame) -> DataFrame:
     return rows.where("type = 'caption'").select("doc", "id", target.alias("target"))
 
 
+def runs(rows: DataFrame, inside: Column) -> DataFrame:
+    """Adds ``run``: the number of the stretch of consecutive rows that are ``inside``; null for others."""
+    wd = reading_order()
+    rows = rows.withColumn("__in", F.coalesce(inside, F.lit(False)))
+    begins = F.col("__in") & ~F.coalesce(F.lag("__in").over(wd), F.lit(False))
+    return rows.withColumn("run", F.when(F.col("__in"), F.sum(begins.cast("int")).over(wd.rowsBetween(Window.unboundedPreceding, 0)))).drop("__in")
+
+
+def code_runs(paragraphs: DataFrame) -> DataFrame:
+    """(doc, pos, md): consecutive code paragraphs (``code``, text) as one fenced block."""
+    rows = runs(paragraphs, F.col("code")).where("run is not null")
+    return rows.groupBy("doc", "run").agg(F.min("pos").alias("pos"), F.concat(F.lit("```\n"), F.array_join(in_order("text"), "\n"), F.lit("\n```")).alias("md")).drop("run")
+
+
 def list_runs(paragraphs: DataFrame) -> DataFrame:
     """(doc, pos, md): consecutive list paragraphs (kind is a number format, depth) as one list, numbered by depth.
 
     ``paragraphs`` has doc, pos, kind (null: no list), depth, text. A deeper count begins
     anew behind a shallower item, and with another kind.
     """
-    wd = reading_order()
-    begins = F.col("kind").isNotNull() & F.lag("kind").over(wd).isNull()
-    rows = paragraphs.withColumn("run", F.sum(begins.cast("int")).over(wd.rowsBetween(Window.unboundedPreceding, 0))).where("kind is not null")
+    rows = runs(paragraphs, F.col("kind").isNotNull()).where("run is not null")
     lists = rows.groupBy("doc", "run").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "kind", "depth", "text"))).alias("items"))
     empty = F.struct(F.array().cast("array<struct<depth:int,kind:string,n:int>>").alias("counts"), F.array().cast("array<string>").alias("lines"))
 

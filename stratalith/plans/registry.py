@@ -174,7 +174,7 @@ def outline(spark, sf_dir):
 
 @query("select doc, type, count(*) as elements, sum(characters)::bigint as characters from linked_elements group by doc, type", V.LINKED_ELEMENTS)
 def info_counts(spark, sf_dir):
-    return V.linked_elements(spark, sf_dir).groupBy("doc", "type").agg(F.count("*").alias("elements"), F.sum("characters").alias("characters"))
+    return structure.type_counts(V.linked_elements(spark, sf_dir))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalith.model import ELEMENT_SCHEMA, HEADER_SCHEMA
+from stratalith.storage import materialize
 
 
 def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -94,8 +95,9 @@ def check_documents(spark: SparkSession, paths: str) -> DataFrame:
 
     headers, elements = read_documents(spark, paths, strict=False)
     doc = F.coalesce("doc", F.lit(""))
-    rows = elements.withColumn("document", doc).withColumn("doc", F.col("path")).drop("reference").withColumnRenamed("references", "reference")
-    heads = headers.withColumn("document", doc).withColumn("doc_name", F.col("doc")).withColumn("doc", F.col("path"))
+    # some twenty rules read the rows; the files are read and parsed once
+    rows = materialize(elements.withColumn("document", doc).withColumn("doc", F.col("path")).drop("reference").withColumnRenamed("references", "reference"), "checked-rows")
+    heads = materialize(headers.withColumn("document", doc).withColumn("doc_name", F.col("doc")).withColumn("doc", F.col("path")), "checked-headers")
     # ids are compared inside a file: the path stands in for the document
     found = [R.field_patterns(rows), R.field_companions(rows), R.missing_fields(rows, R.ELEMENT_REQUIRED), R.duplicates(rows, "id"), R.duplicates(rows, "label"), R.reserved_labels(rows)]
     found += [R.single_reference_list(rows), R.stored_text(rows), R.heading_level(rows), R.parents(rows), R.references(rows), R.continuations(rows), R.id_beyond_last(rows, heads), R.element_count(rows, heads)]
