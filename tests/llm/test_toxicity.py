@@ -29,6 +29,48 @@ def test_nearest_against_all_cosines():
         assert at.tolist() == want and np.allclose(near, cos[want])
 
 
+def test_score_against_plain_sums():
+    rng = np.random.default_rng(5)
+    idf = 1 + rng.random(30)
+    examples = []
+    for n in range(130):
+        term = np.sort(rng.choice(30, rng.integers(1, 6), replace=False))
+        examples.append((n, int(rng.integers(0, 2)), [4.0, 1.5][n % 2], term, rng.integers(1, 5, len(term)).astype(float)))
+    index = T.build_index(np.arange(30), (0,), idf, examples, 0.3)
+    index.curve = (1.4, -0.3)
+    weigh = lambda term, tf: {int(t): (1 + math.log(f)) * float(idf[t]) for t, f in zip(term, tf, strict=True)}
+    size = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    by_id = {e[0]: e for e in examples}
+    for _ in range(40):
+        term = np.sort(rng.choice(30, rng.integers(1, 5), replace=False))
+        tf = rng.integers(1, 4, len(term)).astype(float)
+        q = weigh(term, tf)
+        near = []
+        for k, i in enumerate(index.ids.tolist()):
+            e = weigh(by_id[i][3], by_id[i][4])
+            cos = sum(w * e.get(t, 0.0) for t, w in q.items()) / size(q) / size(e)
+            if cos > 0:
+                near.append((-round(cos, 12), k, cos, by_id[i]))
+        votes = [(cos * cos * e[2], e[1]) for _, _, cos, e in sorted(near, key=lambda x: x[:2])[:9]]
+        share = sum(v for v, y in votes if y) / sum(v for v, _ in votes)
+        x = min(max(share, 0.005), 0.995)
+        want = 1 / (1 + math.exp(-(1.4 * math.log(x / (1 - x)) - 0.3)))
+        assert math.isclose(index.score(term, tf, 9)[0], want, rel_tol=1e-9)
+
+
+def test_telling_terms_are_of_both_classes():
+    got = T.telling(np.array([50.0, 0.0, 20.0, 1.0]), np.array([0.0, 50.0, 20.0, 0.0]), 100.0, 100.0)
+    assert got[0] > 3 and math.isclose(got[0], got[1]) and got[2] == got[3] == 0
+
+
+def test_curve_follows_its_points():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 2, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(1.7 * x - 0.8)))).astype(float)
+    a, b = T.fit_curve(x, y, np.ones(4000))
+    assert abs(a - 1.7) < 0.2 and abs(b + 0.8) < 0.2
+
+
 def corpus():
     rng = random.Random(8)
     vocab = [f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{k}" for k in range(600)]
@@ -87,4 +129,4 @@ def test_shared_tables(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
     out = T.score_toxicity(docs, T.fit(docs, labels)).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in out}
-    assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n[0, 0] >= 0.99 * (n[0, 0] + n.get((0, 1), 0))
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[0, 0] >= 0.99 * (n[0, 0] + n.get((0, 1), 0))
