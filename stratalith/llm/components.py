@@ -11,6 +11,11 @@ from stratalith.storage import materialize
 MAX_ROUNDS = 60
 
 
+def _seal(edges: DataFrame) -> tuple:
+    """Equal for equal tables of distinct edges: their number and combined hashes."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), a written table: root is the least node of its component.
 
@@ -20,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     n = edges.count()
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n)
+    before = _seal(now)
     for _ in range(MAX_ROUNDS):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -29,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, F.col("a") == F.col("n"))
         then = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
         then = materialize(then.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small-star", 2 * n)
-        if then.exceptAll(now).isEmpty() and now.exceptAll(then).isEmpty():
+        before, last = _seal(then), before
+        if before == last:
             return then.select(F.col("a").alias("node"), F.col("b").alias("root")).union(then.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         now = then
     raise RuntimeError("the components did not settle")

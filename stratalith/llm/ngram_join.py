@@ -7,28 +7,34 @@ Which classes meet: each class has the ``KEYS`` least hashes of its set as keys.
 the union of two sets with Jaccard similarity t or more, hashes fall in random
 order, so that no common one is among the first k with a chance of (1 - t)**k at
 most; k is set for a chance below 1e-10 a pair (a set of k shingles or fewer has
-them all as keys). Taking a few least hashes, not all of a document's shingles,
-also thins out what a widely shared passage brings together.
-
-Classes that share a key form a tile. Within it they are sorted by set size, and
-only sizes that can reach t are compared (a band). Bitmaps of hashed shingles
+them all as keys). ``exact_keys`` takes instead the keys that no linked pair can do
+without: of a set of n the n - ceil(t n) + 1 least.
+
+Sizes fall into bands that grow by 1/t, so that linked sets are in one band or in
+neighbouring ones. A tile is a key and a band: the classes of the key in that band, and
+as visitors those of the next. A pair belongs to the tile of its least common key and of
+its smaller set's band, so it is looked at once. A tile whose classes all share a lesser
+key is dropped unread. Where most do, these meet the others only and not each other. A
+tile of more than ``BLOCK_SHINGLES`` hashes or ``BLOCK_CLASSES`` classes is cut into
+blocks, and each pair of blocks that may hold a pair of its own is a cell: a task's work,
+so memory is bounded and no pair is lost.
+
+Within a cell only sizes that can reach t are compared. Bitmaps of hashed shingles
 bound each overlap from above: a bit that is set in one bitmap and not in the other
-stands for at least one shingle that the other lacks. The first pass over the tiles
+stands for at least one shingle that the other lacks. The first pass over the cells
 carries bitmaps only, some bits per shingle, and drops every class that no other in
-its tile can reach; shingles are fetched for the rest. Then pairs that pass the
-bound are intersected exactly as sorted arrays. Pairs already known to be connected
-are skipped, which leaves the components as they are. So a tile emits a forest, at
-most one link per class, and not its pairs. A tile of more than ``BLOCK_SHINGLES``
-hashes or ``BLOCK_CLASSES`` classes is cut into blocks, and each pair of blocks is
-compared in a task of its own, so memory is bounded and no pair is lost. The first
-round of intersections takes each class's least key, which connects most; the second
-takes the other keys, where a tile still holds classes that aren't connected.
+its cell can reach; shingles are fetched for the rest. Then pairs that pass the
+bound are intersected exactly as sorted arrays. A cell returns how many rows each class
+links with, and a forest of links, at most one per class, that connects what the links
+connect; pairs aren't emitted. Where only components are asked for, pairs that are
+known to be connected are skipped.
 
 A document without words or text has an empty set and is linked with nothing; its
-component is itself. Repeated rows (same doc_id) are rows of their own. The
+component is itself. Repeated rows (same doc_id) are rows of their own and linked. The
 component is the least doc_id in it; a null doc_id is passed over, unless there is
-no other. An empty table gives an empty result. Columns besides doc_id and text
-aren't read.
+no other. Equal sizes and equal hashes need no order: counts and components don't depend
+on any. Texts of any length are read whole. An empty table gives an empty result. Columns
+besides doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,8 +53,8 @@ from stratalith.llm.rowsets import bitmap_bytes, keep_rows, row_key
 from stratalith.llm.textbytes import lean, shingle_sets, slices, tables, word_hashes, words
 from stratalith.storage import materialize
 
-BLOCK_SHINGLES = 4 << 20
-BLOCK_CLASSES = 1 << 14
+BLOCK_SHINGLES = 1 << 20
+BLOCK_CLASSES = 512
 _CANDIDATES = 8388593  # a prime; bits of the bitmap of candidates, 1 MB
 
 
@@ -57,6 +63,14 @@ def keys_for(percent: int) -> int:
     return math.ceil(10 / -math.log10(1 - percent / 100)) if percent < 100 else 1
 
 
+def band_starts(percent: int, most: int = 1 << 40) -> list[int]:
+    """The least size of each band; sets that link are in one band or in neighbouring ones."""
+    out = [1]
+    while out[-1] < most and percent < 100:
+        out.append(100 * out[-1] // percent + 1)
+    return out
+
+
 def _sets(batch: pa.RecordBatch, width: int, tab: dict, cache: dict):
     """(first row, end row, shingle sets) for slices of the batch's text column."""
     for lo, hi, buf, offsets in slices(batch.column(1)):
@@ -86,21 +100,24 @@ def folded(maps: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def document_sets(docs: DataFrame, width: int, n_keys: int) -> DataFrame:
-    """doc_id, n_shingles, sid (null for an empty set), keys and bitmap for every row."""
+def document_sets(docs: DataFrame, width: int, percent: int, exact_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, sid (null for an empty set), keys, band and bitmap for every row."""
+    some, starts = keys_for(percent), np.array(band_starts(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tab, cache = tables(), {}
         for batch in batches:
             for lo, hi, sets in _sets(batch, width, tab, cache):
                 sids = [_set_id(s) if len(s) else None for s in sets]
-                keys = [s[:n_keys].view(np.int64) for s in sets]
+                n = np.array([len(s) for s in sets], np.int64)
+                band = (np.searchsorted(starts, n, "right") - 1 if percent < 100 else n).astype(np.int32)
+                keys = [s[: len(s) - -(-percent * len(s) // 100) + 1 if exact_keys else some].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([signature(s) for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "sid", "keys", "bitmap"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(sids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(band), pa.array([signature(s) for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "sid", "keys", "band", "bitmap"],
                 )
 
-    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, sid binary, keys array<long>, bitmap binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, sid binary, keys array<long>, band int, bitmap binary")
 
 
 def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -128,13 +145,14 @@ def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFram
 
 
 def overlaps(a: np.ndarray, many: list[np.ndarray]) -> list[int]:
-    """Exact sizes of the intersections of sorted ``a`` with each of ``many``."""
-    out = []
-    for b in many:
-        at = np.searchsorted(a, b)
-        at[at == len(a)] = 0
-        out.append(int(np.count_nonzero(a[at] == b)))
-    return out
+    """Exact sizes of the intersections of sorted ``a`` with each of ``many``, none of them empty."""
+    if not many:
+        return []
+    flat = np.concatenate(many)
+    at = np.searchsorted(a, flat)
+    at[at == len(a)] = 0
+    ends = np.cumsum([len(b) for b in many])
+    return np.add.reduceat(a[at] == flat, ends - [len(b) for b in many], dtype=np.int64).tolist()
 
 
 def bound(maps: np.ndarray, size: np.ndarray, i: int, some: np.ndarray) -> np.ndarray:
@@ -179,49 +197,88 @@ def reachable(size: np.ndarray, maps: list[bytes], block: np.ndarray | None, per
     return out
 
 
-def tile_links(sets: list[np.ndarray], known: np.ndarray, block: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links that connect a tile's sets beyond what ``known`` says: a forest.
+def cell_links(cell: list[tuple], key: int, crossed: bool, percent: int, count: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(rows that each class of a cell links with, a forest of links) from classes (block, visitor, copies, keys, shingles).
 
-    known: component number of each set. block: if given, only sets of different
-    blocks are compared.
+    crossed: only classes of different blocks are compared.
     """
-    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    sets, root = [sets[k] for k in order], np.array(known)[order]
-    block = block[order] if block is not None else None
-    size = np.array([len(s) for s in sets])
-    maps = [signature(s) for s in sets]
+    sets = [np.frombuffer(c[4], np.uint64) for c in cell]
+    order = sorted(range(len(cell)), key=lambda k: (len(sets[k]), cell[k][1]))
+    sets, cell = [sets[k] for k in order], [cell[k] for k in order]
+    size = np.array([len(x) for x in sets])
+    block, visitor, copies = (np.array([c[k] for c in cell]) for k in range(3))
+    first = np.array([c[3][0] for c in cell])
+    first = np.where(first == key, -np.arange(1, len(cell) + 1), first)  # no lesser key
+    apart = np.array([c[3][0] == key for c in cell])
+    lesser = [frozenset(c[3][: list(c[3]).index(key)]) for c in cell]
+    maps = [signature(x) for x in sets]
     maps = folded(maps, min(map(len, maps)))
-    links = []
-    for i in range(1, len(sets)):
+    links, root, forest = np.zeros(len(cell), np.int64), np.arange(len(cell)), []
+    for i in range(1, len(cell)):
         lo = int(np.searchsorted(size, -(-percent * int(size[i]) // 100)))
-        other = np.flatnonzero(root[lo:i] != root[i]) + lo
-        if block is not None:
-            other = other[block[other] != block[i]]
-        while len(other):
-            some, other = other[:256], other[256:]
+        may = ~visitor[lo:i]
+        if crossed:
+            may &= block[lo:i] != block[i]
+        if not apart[i]:  # classes with one least key have met in that key's tile
+            may &= apart[lo:i] | (first[lo:i] != first[i])
+        if not count:
+            may &= root[lo:i] != root[i]
+        other = np.flatnonzero(may) + lo
+        for at in range(0, len(other), 256):
+            some = other[at : at + 256]
+            if not count:
+                some = some[root[some] != root[i]]
             need = -(-percent * (size[some] + size[i]) // (100 + percent))
-            most = bound(maps, size, i, some)
-            fit = np.flatnonzero(most >= need)
-            fit = fit[np.argsort(need[fit] - most[fit], kind="stable")]
-            for j, least in zip(some[fit].tolist(), need[fit].tolist(), strict=True):
-                if root[j] != root[i] and overlaps(sets[i], [sets[j]])[0] >= least:
-                    links.append((order[j], order[i]))
-                    root[root == root[j]] = root[i]
-                    other = other[root[other] != root[i]]
-    return links
-
-
-def _cells(tiles: DataFrame, *columns: str) -> DataFrame:
-    """The tiles' rows with the cells (pairs of blocks) that they take part in, most tiles being one cell."""
-    blocks = F.greatest(F.ceil(F.col("shingles_in_tile") / BLOCK_SHINGLES), F.ceil(F.col("in_tile") / BLOCK_CLASSES)).cast("int")
-    rows = tiles.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "sid", *columns)
+            fit = bound(maps, size, i, some) >= need
+            some, need = some[fit], need[fit]
+            if lesser[i]:
+                fresh = np.array([lesser[i].isdisjoint(lesser[j]) for j in some.tolist()], bool)
+                some, need = some[fresh], need[fresh]
+            linked = some[np.array(overlaps(sets[i], [sets[j] for j in some.tolist()]), np.int64) >= need]
+            if not len(linked):
+                continue
+            links[i] += copies[linked].sum()
+            links[linked] += copies[i]
+            new, which = np.unique(root[linked], return_index=True)
+            for r, w in zip(new.tolist(), which.tolist(), strict=True):
+                if r != root[i]:
+                    forest.append((order[int(linked[w])], order[i]))
+                    root[root == r] = root[i]
+    back = np.empty(len(cell), np.int64)
+    back[order] = links
+    return back, forest
+
+
+#: Rows of a tile that share no lesser key with most of the others, and those that do, in blocks.
+_BLOCKS = "greatest(1, ceil({rows} / {classes}D), ceil({shingles} / {most}D))"
+
+
+def _cells(shared: DataFrame, *columns: str) -> DataFrame:
+    """The rows (key, tile, first, sid, n) with the cells (pairs of blocks) that they take part in, most tiles being one cell.
+
+    Classes with the tile's most common lesser key (``major``) have met in that key's
+    tile: their blocks meet the others' blocks only.
+    """
+    each = shared.groupBy("key", "tile", "first").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.sum((~F.col("visitor")).cast("int")).alias("residents"))
+    lesser = F.when(F.col("first") != F.col("key"), F.struct("rows", "shingles", "first"))
+    tiles = each.groupBy("key", "tile").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.sum("residents").alias("residents"), F.max(lesser).alias("major"))
+    tiles = tiles.where("rows > 1 and residents > 0 and (major is null or major.rows < rows)")
+    hot = f"rows > {BLOCK_CLASSES} or shingles > {BLOCK_SHINGLES}"
+    blocks = lambda rows, shingles: F.expr(_BLOCKS.format(rows=rows, shingles=shingles, classes=BLOCK_CLASSES, most=BLOCK_SHINGLES)).cast("int")
+    tiles = tiles.withColumn("major", F.when(F.expr(hot), F.col("major")))
+    tiles = tiles.withColumn("others", blocks("(rows - coalesce(major.rows, 0))", "(shingles - coalesce(major.shingles, 0))"))
+    tiles = tiles.withColumn("majors", F.when(F.col("major").isNull(), F.lit(0)).otherwise(blocks("major.rows", "major.shingles")))
+    rows = shared.join(tiles.select("key", "tile", "others", "majors", F.col("major.first").alias("major")), ["key", "tile"])
+    most = F.coalesce(F.col("first") == F.col("major"), F.lit(False))
+    number = F.when(most, F.col("others") + F.pmod(F.xxhash64("sid"), F.greatest("majors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("sid"), "others")).cast("int")
+    rows = rows.withColumn("block", number).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(most, F.col("others") - 1).otherwise(F.col("others") + F.col("majors") - 1))))
+    return rows.select("key", "tile", F.least("block", "other").alias("c1"), F.greatest("block", "other").alias("c2"), "block", "sid", *columns)
 
 
 def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` gets the rows of one cell, without its key, and returns rows for ``schema``."""
-    rows = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+    """``work`` gets the rows of one cell, without its name, and returns rows for ``schema``."""
+    cell_of = ["key", "tile", "c1", "c2"]
+    rows = rows.repartition(*cell_of).sortWithinPartitions(*cell_of)
     names = [part.split()[0] for part in schema.split(", ")]
     kinds = [pa.int64() if part.split()[1] == "long" else pa.binary() for part in schema.split(", ")]
 
@@ -233,10 +290,10 @@ def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
 
         for batch in batches:
             found = []
-            for key, c1, c2, *rest in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-                if (key, c1, c2) != cell:
+            for key, tile, c1, c2, *rest in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+                if (key, tile, c1, c2) != cell:
                     found += work(cell, held) if held else []
-                    held, cell = [], (key, c1, c2)
+                    held, cell = [], (key, tile, c1, c2)
                 held.append(rest)
             yield batch_of(found)
         if held:
@@ -245,77 +302,75 @@ def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.mapInArrow(lean(run), schema)
 
 
-def _live(members: DataFrame, percent: int) -> DataFrame:
-    """(key, sid) of the members (key, sid, n, bitmap) that another of their tile can reach."""
+def _live(cells: DataFrame, percent: int) -> DataFrame:
+    """(key, tile, sid) of the members that another of their cell can reach."""
 
     def work(cell, held):
-        block = np.array([r[0] for r in held]) if cell[1] != cell[2] else None
+        block = np.array([r[0] for r in held]) if cell[2] != cell[3] else None
         live = reachable(np.array([r[2] for r in held]), [r[3] for r in held], block, percent)
-        return [(cell[0], held[k][1]) for k in np.flatnonzero(live).tolist()]
+        return [(cell[0], cell[1], held[k][1]) for k in np.flatnonzero(live).tolist()]
 
-    return _by_cell(_cells(members, "n", "bitmap"), work, "key long, sid binary").distinct()
+    return _by_cell(cells, work, "key long, tile long, sid binary").distinct()
 
 
-def _links(tiles: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in the tiles: rows of key, sid, root, n, and the tile's shingles."""
+def _links(cells: DataFrame, percent: int, count: bool) -> DataFrame:
+    """(a, b, links) found in the cells: links between classes, and with b null the rows that class a links with."""
 
     def work(cell, held):
-        number: dict[bytes, int] = {}
-        known = np.array([number.setdefault(r[2], len(number)) for r in held])
-        if len(number) < 2:
+        if len(held) < 2:
             return []
-        block = np.array([r[0] for r in held]) if cell[1] != cell[2] else None
-        sets = [np.frombuffer(r[3], np.uint64) for r in held]
-        return [(held[i][1], held[j][1]) for i, j in tile_links(sets, known, block, percent)]
+        rows = [(r[0], r[2], r[3], r[4], r[5]) for r in held]
+        links, forest = cell_links(rows, cell[0], cell[2] != cell[3], percent, count)
+        counted = [(held[k][1], None, int(links[k])) for k in np.flatnonzero(links).tolist()] if count else []
+        return counted + [(held[i][1], held[j][1], None) for i, j in forest]
 
-    rows = _cells(tiles, "root").join(arrays, "sid").select("key", "c1", "c2", "block", "sid", "root", "shingles")
-    return _by_cell(rows, work, "a binary, b binary")
+    return _by_cell(cells, work, "a binary, b binary, links long")
 
 
-def _open_tiles(members: DataFrame) -> DataFrame:
-    """The members (key, sid, n, root) of tiles that hold classes of two components at least."""
-    tiles = members.groupBy("key").agg(F.sum("n").alias("shingles_in_tile"), F.count("*").alias("in_tile"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").drop("lo", "hi")
-    return members.join(tiles, "key")
+def jaccard_links(docs: DataFrame, width: int, percent: int, count: bool = True, exact_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
 
-
-def _written(links: DataFrame, rows: int) -> DataFrame:
-    """A forest's links, at most one per class, behind an exchange: the tasks that find them are many."""
-    return materialize(links.distinct(), "links", rows)
-
-
-def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
-
-    Two documents link when 100 * |A and B| >= percent * |A or B|.
+    Two documents link when 100 * |A and B| >= percent * |A or B|. n_links is how many
+    other rows a row links with; null without ``count``.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    sets = materialize(document_sets(docs, width, keys_for(percent)), "sets")
-    rows, keyed = sets.count(), sets.count() * keys_for(percent)  # from the files' footers
-    reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("bitmap", "bitmap"))])
+    sets = materialize(document_sets(docs, width, percent, exact_keys), "sets")
+    rows = sets.count()  # from the files' footers
+    keyed = None if exact_keys else 2 * rows * keys_for(percent)
+    reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("band", "band"), ("bitmap", "bitmap"))])
     reps = materialize(reps, "classes", rows)
-    every = reps.select("sid", "n", F.posexplode("keys").alias("place", "key"))
-    tiles = every.groupBy("key").agg(F.sum("n").alias("shingles_in_tile"), F.count("*").alias("in_tile")).where("in_tile > 1")
-    shared = materialize(every.join(tiles, "key"), "shared", keyed)
-    live = _live(shared.join(reps.select("sid", "bitmap"), "sid"), percent)
-    members = materialize(shared.select("key", "sid", "n", "place").join(live, ["key", "sid"]).withColumn("root", F.col("sid")), "members", keyed)
+    every = reps.select("sid", "n", "band", F.get("keys", F.lit(0)).alias("first"), F.explode("keys").alias("key"))
+    # each class in its own band's tile, and in the one below as a visitor
+    every = every.select("key", "first", "sid", "n", F.posexplode(F.array("band", F.col("band") - 1)).alias("visits", "at")).select("key", F.col("at").cast("long").alias("tile"), (F.col("visits") == 1).alias("visitor"), "first", "sid", "n")
+    tiles = every.groupBy("key", "tile").agg(F.count("*").alias("in_tile"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.min("visitor").alias("only_visitors"))
+    tiles = tiles.where("in_tile > 1 and not only_visitors and (lo <> hi or lo = key)").select("key", "tile")
+    shared = materialize(every.join(tiles, ["key", "tile"]), "shared", keyed)
+    live = _live(_cells(shared, "n").join(reps.select("sid", "bitmap"), "sid").select("key", "tile", "c1", "c2", "block", "sid", "n", "bitmap"), percent)
+    members = materialize(shared.join(live, ["key", "tile", "sid"]), "members", keyed)
     wanted = members.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
-    arrays = materialize(candidate_arrays(docs, materialize(wanted, "wanted", rows), width), "arrays")
-
-    links = _written(_links(_open_tiles(members.where("place = 0")), arrays, percent), rows)
-    roots = components(links)
-    rest = members.drop("root").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    more = _written(_links(_open_tiles(materialize(rest, "members", keyed)), arrays, percent), rows)
-    roots = components(materialize(links.union(more), "links", rows))
+    arrays = candidate_arrays(docs, materialize(wanted, "wanted", rows), width)
+    arrays = materialize(arrays.join(reps.select("sid", "copies", "keys"), "sid"), "arrays")
+    cells = _cells(members, "visitor").join(arrays, "sid").select("key", "tile", "c1", "c2", "block", "sid", "visitor", "copies", "keys", "shingles")
+    links = materialize(_links(cells, percent, count), "links", 2 * rows)
+    roots = components(materialize(links.where("b is not null").select("a", "b").distinct(), "forest", rows))
 
     nodes = roots.withColumnRenamed("node", "sid").join(reps.select("sid", "rep"), "sid")
     least = nodes.groupBy("root").agg(F.min("rep").alias("least"))
-    named = reps.select("sid", "rep").join(nodes.select("sid", "root").join(least, "root").select("sid", "least"), "sid", "left")
-    named = materialize(named.select("sid", F.coalesce("least", "rep").alias("component_id")), "components", rows)
-    full = sets.where("sid is not null").select("doc_id", "n_shingles", "sid").join(named, "sid", "left").select("doc_id", "n_shingles", "component_id")
-    empty = sets.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = reps.select("sid", "rep", "copies").join(nodes.select("sid", "root").join(least, "root").select("sid", "least"), "sid", "left")
+    partners = links.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1) if count else F.lit(None).cast("long")
+    named = materialize(named.join(partners, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component_id"), n_links.alias("n_links")), "components", rows)
+    full = sets.where("sid is not null").select("doc_id", "n_shingles", "sid").join(named, "sid", "left").select("doc_id", "n_shingles", "component_id", "n_links")
+    none = F.lit(0 if count else None).cast("long")
+    empty = sets.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), none.alias("n_links"))
     return full.union(empty)
 
 
+def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return jaccard_links(docs, width, percent, count=False).drop("n_links")
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of linked documents."""
     named = docs.select(row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -324,7 +379,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
+    return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
 
 
 QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -34,6 +35,16 @@ def brute(rows, width, percent):
     return sorted(((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
+def brute_links(rows, width, percent):
+    """(doc_id, rows that the row links with), by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    return sorted(((d, sum(link(a, b) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(rows, sets, strict=True))), key=repr)
+
+
 def corpus(seed):
     rng = random.Random(seed)
     vocab = [f"w{k}" for k in range(400)] + ["É", "ß"]
@@ -61,6 +72,54 @@ def test_against_brute_force(spark, width, percent, seed):
     assert got == brute(rows, width, percent)
 
 
+def families():
+    """A large family of near copies, others around it, and texts in many sizes that share a passage."""
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randrange(3000)}"
+    base = [word() for _ in range(60)]
+    rows = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            copy[rng.randrange(60)] = word()
+        rows.append(copy)
+    for n in range(4, 200, 3):
+        rows.append(base[:30] + [word() for _ in range(n)])
+    for n in (10, 11, 12, 13, 14, 20, 21, 22, 23, 24, 40, 41, 44, 46, 47, 48):
+        rows.append(base[-n:])
+    return [(k, " ".join(r)) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("classes", "exact"), [(512, False), (20, False), (3, False), (20, True)])
+def test_links_of_a_family(spark, monkeypatch, classes, exact):
+    monkeypatch.setattr(J, "BLOCK_CLASSES", classes)
+    rows = families()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = J.jaccard_links(df, 4, 85, exact_keys=exact).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == brute_links(rows, 4, 85)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, 4, 85)
+
+
+def test_links_of_odd_rows(spark):
+    rows = corpus(4) + [(5000, "tie one two three four"), (5001, "tie one two three four"), (5002, "tie one two three four five")]
+    got = J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == brute_links(rows, 4, 85)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 99])
+def test_linked_sizes_are_in_neighbouring_bands(percent):
+    starts = J.band_starts(percent, 3000)
+    band = lambda n: int(np.searchsorted(starts, n, "right"))
+    assert all(band(100 * n // percent) - band(n) <= 1 for n in range(1, 2500))
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"x{k}" for k in range(60_000))
+    rows = [(1, text), (2, text + " more"), (3, text[: len(text) // 2])]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_SHINGLES", 500)
     monkeypatch.setattr(J, "BLOCK_CLASSES", 3)
