@@ -3,17 +3,22 @@
 A text's pre-tokens are its words (runs of bytes other than white space), each with
 the word mark before it. A pre-token's pieces are those of its most probable
 segmentation, among equally probable ones of one with the fewest pieces; a character
-that no piece covers falls back to one token per byte. Probabilities come from a
-public vocabulary file: the i-th piece's is proportional to 1 / (i + ``SHIFT``), as
-such files rank pieces but don't all carry probabilities. The file's path is a
-parameter; only the driver reads it, and its pieces (a fixed number) are broadcast.
+that no piece covers falls back to one token per byte; equal scores and counts are one
+result, whichever segmentation they come from. The counts belong to the unigram
+tokenizer over the pieces of a public vocabulary file. Such a file ranks its pieces and
+has no probabilities, and tokenizers aren't trained here, so these are given by the
+Zipf-Mandelbrot law: the i-th piece's is proportional to 1 / (i + ``SHIFT``). The file's
+path is a parameter; only the driver reads it, and its pieces (a fixed number) are
+broadcast.
 
 Distinct pre-tokens are put into a trie; the forward score of a prefix (its best log
 probability and piece count) is computed once, when its node is made, from the scores
 on the path to it, and the count of a terminal node is stored by pre-token. Which
 pieces end at a node comes from an automaton over all pieces whose state the node
-holds. Trie and counts are kept over a task's batches up to ``KEPT`` pre-tokens and
-then begun anew, so memory is bounded.
+holds. Trie and counts are kept over a task's batches up to ``NODES`` nodes and ``KEPT``
+pre-tokens and then begun anew. A pre-token of more than ``LONG`` characters shares next to
+nothing: its forward scores run through an array as long as the longest piece, and no node
+is made. So memory is bounded, however long a text or word is.
 
 A null text counts as empty and has 0 tokens. Repeated rows get repeated results, an
 empty table an empty one; columns besides doc_id and text aren't read.
@@ -38,6 +43,8 @@ MARK = "▁"
 SHIFT = 2.7
 BYTE_COST = 12.0  # nats over the rarest piece, for a byte that stands alone
 KEPT = 1 << 19
+NODES = 1 << 20
+LONG = 64
 
 
 def read_pieces(path: str) -> list[str]:
@@ -79,6 +86,7 @@ class Pieces:
                 todo.append(then)
             self.out[at] = self.out[at] + self.out[self.back[at]]
         self.floor = min(scores.values(), default=0.0) - BYTE_COST
+        self.longest = max(map(len, scores), default=1)
 
     def step(self, at: int, ch: str) -> int:
         while ch not in self.go[at]:
@@ -88,11 +96,41 @@ class Pieces:
         return self.go[at][ch]
 
 
-def count_pieces(tokens: list[str], pieces: Pieces, trie: dict) -> list[int]:
-    """Piece counts of ``tokens``; ``trie`` (nodes: children, score, count, state) grows by them."""
+class Trie:
+    """Pre-tokens as paths; a node is (children, score, count, state of the automaton)."""
+
+    def __init__(self):
+        self.top: dict = {}
+        self.nodes = 0
+
+
+def _count_long(token: str, pieces: Pieces) -> int:
+    """The piece count of one token, with the forward scores of its last characters only."""
+    floor, step, ends, room = pieces.floor, pieces.step, pieces.out, pieces.longest + 1
+    scores, counts, state = [0.0] * room, [0] * room, 0
+    for i, ch in enumerate(token, 1):
+        state = step(state, ch)
+        width = len(ch.encode("utf-8", "surrogatepass"))
+        best, count = scores[(i - 1) % room] + floor * width, counts[(i - 1) % room] + width
+        for length, score in ends[state]:
+            at = (i - length) % room
+            score += scores[at]
+            if score > best or score == best and counts[at] + 1 < count:
+                best, count = score, counts[at] + 1
+        scores[i % room], counts[i % room] = best, count
+    return counts[len(token) % room]
+
+
+def count_pieces(tokens: list[str], pieces: Pieces, trie: Trie) -> list[int]:
+    """Piece counts of ``tokens``; ``trie`` grows by the short ones, and begins anew where it is full."""
     out, floor, step, ends = [], pieces.floor, pieces.step, pieces.out
     for token in tokens:
-        children, state, scores, counts = trie, 0, [0.0], [0]
+        if len(token) > LONG:
+            out.append(_count_long(token, pieces))
+            continue
+        if trie.nodes > NODES:
+            trie.top, trie.nodes = {}, 0
+        children, state, scores, counts = trie.top, 0, [0.0], [0]
         for i, ch in enumerate(token):
             node = children.get(ch)
             if node is None:
@@ -104,6 +142,7 @@ def count_pieces(tokens: list[str], pieces: Pieces, trie: dict) -> list[int]:
                     if score > best or score == best and counts[i + 1 - length] + 1 < count:
                         best, count = score, counts[i + 1 - length] + 1
                 node = children[ch] = ({}, best, count, then)
+                trie.nodes += 1
             children, best, count, state = node
             scores.append(best)
             counts.append(count)
@@ -121,7 +160,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # a trie has no cycles, and looking for them costs as much as building it
-        pieces, trie = Pieces(shared.value), {}
+        pieces, trie = Pieces(shared.value), Trie()
         tab, cache = tables() | {"lower": np.arange(256, dtype=np.uint8)}, {}
         kept: dict[int, int] = {}
         for batch in batches:
@@ -133,7 +172,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 body = buf.tobytes()
                 tokens = [MARK + body[start[first[k]] : end[first[k]]].decode("utf-8", "surrogatepass") for k in new]
                 if len(kept) + len(new) > KEPT:
-                    kept, trie = {h: kept[h] for h in keys if h in kept}, {}
+                    kept = {h: kept[h] for h in keys if h in kept}
                 for k, n in zip(new, count_pieces(tokens, pieces, trie), strict=True):
                     kept[keys[k]] = n
                 count = np.array([kept[h] for h in keys], np.int64)

@@ -27,8 +27,8 @@ def test_trie_against_each_token_alone():
     floor = min(scores.values()) - T.BYTE_COST
     tokens = ["▁" + "".join(rng.choice(alphabet + "xß") for _ in range(rng.randrange(12))) for _ in range(500)]
     want = [brute(t, scores, floor) for t in tokens]
-    assert T.count_pieces(tokens, T.Pieces(scores), {}) == want
-    trie = {}
+    assert T.count_pieces(tokens, T.Pieces(scores), T.Trie()) == want
+    trie = T.Trie()
     assert [T.count_pieces([t], T.Pieces(scores), trie)[0] for t in tokens[:50]] == want[:50]
 
 
@@ -44,3 +44,25 @@ def test_rows_against_brute_force(spark, monkeypatch):
         assert r.n_words == len(words)
         assert r.n_tokens == sum(brute(T.MARK + w, scores, floor) for w in words)
     assert T.token_counts(df.limit(0)).collect() == []
+
+
+def test_long_tokens_need_no_nodes(monkeypatch):
+    rng = random.Random(4)
+    scores = T.log_probabilities(sorted({"".join(rng.choice("ab▁é") for _ in range(rng.randrange(1, 7))) for _ in range(60)}, key=len))
+    floor, pieces = min(scores.values()) - T.BYTE_COST, T.Pieces(scores)
+    tokens = ["▁" + "".join(rng.choice("abéx") for _ in range(n)) for n in (62, 63, 64, 65, 100, 700)]
+    trie = T.Trie()
+    assert T.count_pieces(tokens, pieces, trie) == [brute(t, scores, floor) for t in tokens]
+    assert 0 < trie.nodes <= 64 * 3
+    monkeypatch.setattr(T, "NODES", 30)
+    small = T.Trie()
+    some = ["▁" + "".join(rng.choice("abé") for _ in range(9)) for _ in range(50)]
+    assert T.count_pieces(some, pieces, small) == [brute(t, scores, floor) for t in some] and small.nodes <= 40
+
+
+@needs_file
+def test_word_of_megabytes_and_repeated_rows(spark):
+    word = "abcdefgh" * 400_000
+    df = spark.createDataFrame([(1, word), (2, word[:8]), (2, word[:8])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_tokens) for r in T.token_counts(df).collect())
+    assert got[1] == got[2] and got[0][1] == 1 and got[0][2] > 400_000
