@@ -10,28 +10,33 @@ as one name, and a number with its unit as one number, so that a slot whose valu
 changes its number of words ("Berlin", "New York"; "5km", "5 km") or stands first in a
 sentence stays one slot. Documents and items have both readings.
 
-Every window of an item is hashed, and every window of a document: ``WIDTH`` words for
-items of 15 words and more, for shorter ones as few (``SHORT_WIDTH`` at least) as are
-left beside one changed word, and the whole item where it has under ``WIDTH`` words. A
-bitmap of fixed size holds the items' hashes as a literal and sifts a document's
-windows inside the row, first by as many words as the least windows have; only what passes is hash-joined with the items' windows,
-exactly. Each run of matches is then laid over the whole item. Runs at different shifts,
-up to the item's length apart, are chained in order (the longest common subsequence of
-their agreeing words), so words may be inserted or left out between them. A document
-holds the item if ``COVERAGE`` of the item's words agree (``CLOSE`` if no ``WIDTH`` of
-them in a row do), or ``LONG`` words in a row with their values, ``LITERALS`` of
-them at least being no placeholders, and the slots are consistent: equal values in the item
-have equal values in the document and different ones different ones. Numbers and
-names that differ all the same way make a re-parameterised question; values that
-don't fit make another text.
-
-Items under ``SHORTEST`` words say too little and aren't looked for. Placeholders alone
-never start a match. The items' tables are broadcast up to ``BROADCAST_ROWS`` windows,
-and shuffled beyond.
-
-Result: one row per doc_id and item_id that match, with the best alignment; null
-texts match nothing, repeated rows of one doc_id give one row, empty tables an empty
-result. Only doc_id, item_id and the texts are read.
+A leak begins with a run of words that agree: ``WIDTH`` of them for items of 13 words and
+more, for shorter ones as many (``SHORT_WIDTH`` at least) as are left beside one changed
+word, and the whole item where it has under ``WIDTH`` words, one of them at least being no
+placeholder. Runs are found by windows. Any ``WIDTH`` words in a row hold a window of one
+word less at an even place, so that much of an item is hashed at every place and of a
+document at every second one, and no run is lost; shorter runs are hashed at every place.
+A bitmap of fixed size holds the items' hashes as a literal and sifts a document's windows
+inside the row; only what passes is hash-joined with the items' windows, exactly, with the
+words round the hit and not with the whole text. Each run is then laid over the whole item.
+Runs at different shifts, up to the item's length apart, are chained in order (the longest
+common subsequence of their agreeing words), so words may be inserted or left out between
+them. A document holds the item if ``COVERAGE`` of the item's words agree (``CLOSE`` if no
+``WIDTH`` of them in a row do), or ``LONG`` words in a row with their values, if
+``LITERALS`` of them, or as many as the item has, are no placeholders, and if the slots are
+consistent: equal values in the item have equal values in the document and different ones
+different ones. Numbers and names that differ all the same way make a re-parameterised
+question; values that don't fit make another text.
+
+Items under ``SHORTEST`` words, and those of placeholders alone, are held by what has all
+their words in a row, values included; items under ``SHORT_WIDTH`` words only by a text that
+says nothing else. An item without words is held by nothing. The items' tables are broadcast
+up to ``BROADCAST_ROWS`` windows, and shuffled beyond.
+
+Result: one row per doc_id and item_id that match, with the best alignment (ties: the
+first reading, the fewest changed slots); null texts match nothing, repeated rows of one
+doc_id give one row, empty tables an empty result. Texts of any length are searched whole.
+Only doc_id, item_id and the texts are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -43,7 +48,8 @@ from stratalith.llm.rowsets import bit_test, bitmap_bytes, row_key, without_rows
 from stratalith.storage import materialize
 
 WIDTH = 6
-STRIDE = 1
+#: Words between the places at which a document's windows are hashed, where a run holds a word more than its window.
+STRIDE = 2
 SHORT_WIDTH = 3
 SHORTEST = 4
 COVERAGE = 0.5
@@ -102,38 +108,92 @@ def _literals(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
 
 
-def _window_hash(words: Column, at: Column, width: int) -> Column:
-    return F.xxhash64(F.slice(words, at, width), F.lit(width))
+def with_window_hashes(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
+    """Adds for each size an array ``__h{size}``: the hash of the window at each place of the array ``words``.
+
+    Windows are hashed from the hashes of their halves, one pass over the array for each
+    step; cutting each window out of the array would take a copy of it for every place.
+    """
+    parts: list[int] = []
+
+    def need(size: int) -> None:
+        if size not in parts:
+            if size > 1:
+                need(_half(size))
+                need(size - _half(size))
+            parts.append(size)
+
+    for size in sizes:
+        need(size)
+    for size in parts:  # the places at the end, with too few words behind them, are cut off below
+        rows = rows.withColumn(f"__h{size}", _joined(words, size) if size > 1 else F.transform(words, lambda x: F.xxhash64(x)))
+    rows = rows.select(*[c for c in rows.columns if not c.startswith("__h")], *[F.slice(f"__h{size}", 1, F.greatest(F.size(words) - size + 1, F.lit(0))).alias(f"__h{size}") for size in sorted(set(sizes))])
+    return rows
+
+
+def _joined(words: str, size: int) -> Column:
+    half = _half(size)
+    behind = F.slice(f"__h{size - half}", half + 1, F.greatest(F.size(words) - half, F.lit(0)))
+    return F.zip_with(f"__h{half}", behind, lambda x, y: F.xxhash64(x, y, F.lit(size)))
+
+
+def _half(size: int) -> int:
+    """The greatest power of two below ``size``."""
+    return 1 << ((size - 1).bit_length() - 1) if size > 1 else 0
 
 
 def width_of(n: Column) -> Column:
-    """Words of the windows of an item of n words; one changed word leaves a whole one in items of WIDTH words and more."""
+    """Words of the run with which a leak of an item of n words begins; one changed word leaves a whole one in items of WIDTH words and more."""
     return F.when(n < WIDTH, n).otherwise(F.least(F.lit(WIDTH), F.greatest(F.lit(SHORT_WIDTH), F.floor((n - 1) / 2)))).cast("int")
 
 
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Items (item, variant, t, v), their windows (h, begin, item, variant, off, prev) and the windows' widths."""
+#: The variant of items that are matched with their values.
+EXACT = 4
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item, variant, t, v, n, literals, width): the items' templates in their readings, or their words where these are too few."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = benchmark.select(F.col("item_id").cast("long").alias("item"), text.alias("text"))
     both = base.withColumn("variant", F.lit(0)).union(base.select("item", F.lower("text").alias("text"), F.lit(1).alias("variant")))
     items = both.select("item", "variant", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("v"))
     slots = both.select("item", (F.col("variant") + 2).alias("variant"), slot_words(F.col("text")).alias("t"), slot_values(F.col("text")).alias("v"))
-    items = items.union(slots).where(F.size("t") >= SHORTEST).withColumn("width", width_of(F.size("t")))
-    items = materialize(items.dropDuplicates(["item", "t", "v"]), "items", 4 * benchmark.count())
+    items = items.union(slots).where((F.size("t") >= SHORTEST) & (_literals(F.col("t")) > 0))
+    short = (F.size("v") < SHORTEST) | (_literals(template_words(F.col("text"))) == 0)
+    exact = base.select("item", F.lit(EXACT).alias("variant"), plain_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("v"), short.alias("short")).where("short and size(v) > 0").drop("short")
+    items = items.union(exact).withColumn("n", F.size("t")).withColumn("literals", _literals(F.col("t")))
+    items = items.withColumn("width", F.when(F.col("variant") == EXACT, F.least("n", F.lit(WIDTH))).otherwise(width_of(F.col("n"))))
+    return materialize(items.dropDuplicates(["item", "t", "v"]), "items", 5 * benchmark.count())
+
+
+def _hashed(width: int) -> tuple[int, int]:
+    """(words of the windows that find runs of ``width`` words, places between a document's windows)."""
+    return (width - 1, STRIDE) if width == WIDTH else (width, 1)
+
+
+def benchmark_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The items' windows (h, begin, item, variant, off, step, prev) and the widths of the items' runs."""
     plan = sorted(r.width for r in items.select("width").distinct().collect())  # WIDTH at most
     parts = []
+    least = min((_hashed(w)[0] for w in plan), default=WIDTH)
     for width in plan:
-        some = items.where(F.col("width") == width)
-        offs = some.select("item", "variant", "t", F.explode(F.sequence(F.lit(0), F.size("t") - width)).alias("off"))
-        own = lambda off: _literals(F.slice(F.col("t"), off + 1, width)) > 0  # noqa: B023, E731
-        before = F.when(F.col("off") >= STRIDE, own(F.greatest(F.col("off") - STRIDE, F.lit(0)))).otherwise(F.lit(False))
-        parts.append(offs.where(own(F.col("off"))).select(_window_hash(F.col("t"), F.col("off") + 1, width).alias("h"), _window_hash(F.col("t"), F.col("off") + 1, plan[0]).alias("begin"), "item", "variant", "off", before.alias("prev")))
+        size, step = _hashed(width)
+        some = with_window_hashes(items.where(F.col("width") == width), "t", [size, least])
+        last = F.when(F.col("variant") == EXACT, F.lit(step)).otherwise(F.size(f"__h{size}"))
+        offs = some.select("item", "variant", "t", f"__h{least}", F.posexplode(F.slice(f"__h{size}", 1, last)).alias("off", "h"))
+
+        def telling(off, width=width, step=step):  # a run with this window in it has a word that is no placeholder
+            first = F.greatest(off - (step - 1), F.lit(0))
+            return (F.col("variant") == EXACT) | (_literals(F.slice(F.col("t"), first + 1, off - first + width)) > 0)
+
+        before = F.when(F.col("off") >= step, telling(F.greatest(F.col("off") - step, F.lit(0)))).otherwise(F.lit(False))
+        parts.append(offs.where(telling(F.col("off"))).select("h", F.get(f"__h{least}", F.col("off")).alias("begin"), "item", "variant", "off", F.lit(step).alias("step"), before.alias("prev")))
     if not parts:
-        return items, items.selectExpr("0L h", "0L begin", "item", "variant", "0 off", "false prev"), plan
+        return items.selectExpr("0L h", "0L begin", "item", "variant", "0 off", "1 step", "false prev"), plan
     windows = parts[0]
     for part in parts[1:]:
         windows = windows.union(part)
-    return items, materialize(windows, "windows"), plan
+    return materialize(windows, "windows"), plan
 
 
 _POINT = "struct<k:int,p:int,t:string,dv:string,iv:string>"
@@ -154,65 +214,92 @@ def _chain(points: Column) -> Column:
 
 
 def _runs(points: Column) -> Column:
-    """Longest run of points side by side (best), and of such with equal values (exact)."""
-    zero = F.struct(*[F.lit(x).alias(n) for n, x in (("k", -2), ("p", -2), ("run", 0), ("best", 0), ("same", 0), ("exact", 0))])
+    """Longest run of points side by side (best), of such with equal values (exact), and of such with a word that is no placeholder (telling)."""
+    zero = F.struct(*[F.lit(x).alias(n) for n, x in (("k", -2), ("p", -2), ("run", 0), ("best", 0), ("same", 0), ("exact", 0), ("said", 0), ("telling", 0))])
 
     def step(s: Column, x: Column) -> Column:
         on = (x["k"] == s["k"] + 1) & (x["p"] == s["p"] + 1)
         run = F.when(on, s["run"] + 1).otherwise(1)
         same = F.when(x["dv"] != x["iv"], 0).when(on, s["same"] + 1).otherwise(1)
-        return F.struct(x["k"].alias("k"), x["p"].alias("p"), run.alias("run"), F.greatest(s["best"], run).alias("best"), same.alias("same"), F.greatest(s["exact"], same).alias("exact"))
+        said = F.when(on, s["said"]).otherwise(0) + F.when(_is_slot(x), 0).otherwise(1)
+        telling = F.greatest(s["telling"], F.when(said > 0, run).otherwise(0))
+        return F.struct(x["k"].alias("k"), x["p"].alias("p"), run.alias("run"), F.greatest(s["best"], run).alias("best"), same.alias("same"), F.greatest(s["exact"], same).alias("exact"), said.alias("said"), telling.alias("telling"))
 
     return F.aggregate(points, zero, step)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, matched, slots, changed_slots for each document that holds an item."""
-    items, windows, plan = benchmark_windows(benchmark)
-    few = windows.count() <= BROADCAST_ROWS
-    plan = plan or [WIDTH]
+def _is_slot(point: Column) -> Column:
+    return point["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]")
+
+
+def _hits(rows: DataFrame, windows: DataFrame, plan: list[int]) -> DataFrame:
+    """``rows`` with (i, h): the places and hashes of the windows of ``w`` that an item may have."""
     begins, known = (bit_test(bitmap_bytes(windows, c, BITS), BITS) for c in ("begin", "h"))
+    steps: dict[int, int] = {}
+    for size, step in map(_hashed, plan):
+        steps[size] = min(step, steps.get(size, step))
+    sizes = sorted(steps.items())
+    least, step = sizes[0][0], min(steps.values())
+    own = [c for c in rows.columns if not c.startswith("__h")]
+    rows = with_window_hashes(rows, "w", [size for size, _ in sizes])
+    every = F.arrays_zip(*[F.col(f"__h{size}").alias(f"h{size}") for size, _ in sizes])
+    # outer, as an inner one would have the arrays computed twice, to filter and to emit
+    rows = rows.select(*own, F.posexplode_outer(every).alias("at", "x")).where((F.col("at") % step == 0) & begins(F.col(f"x.h{least}")))
+    if len(sizes) == 1:
+        return rows.select(*own, (F.col("at") + 1).alias("i"), F.col(f"x.h{least}").alias("h"))
+    # where no least window begins, no other is looked for
+    each = F.array(*[F.when(F.col("at") % step == 0, F.col(f"x.h{size}")) for size, step in sizes])
+    return rows.select(*own, (F.col("at") + 1).alias("i"), F.explode(each).alias("h")).where(F.col("h").isNotNull() & known(F.col("h")))
+
 
-    def hits() -> Column:
-        """Places and hashes of the windows of all widths; only where the least one's words begin an item's window are the others hashed."""
-        least = plan[0]
-        at = F.when(F.size("w") >= least, F.sequence(F.lit(1), F.size("w") - least + 1)).otherwise(F.array().cast("array<int>"))
-        places = F.filter(at, lambda i: begins(_window_hash(F.col("w"), i, least)))
-        every = lambda i: F.array(*[F.struct(i.alias("i"), F.when(i <= F.size("w") - width + 1, _window_hash(F.col("w"), i, width)).alias("h")) for width in plan])
-        return F.flatten(F.transform(places, lambda i: F.filter(every(i), lambda x: x["h"].isNotNull() & known(x["h"]))))
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, coverage, matched, slots, changed_slots for each document that holds an item."""
+    items = benchmark_items(benchmark)
+    windows, plan = benchmark_windows(items)
+    small = F.broadcast if windows.count() <= BROADCAST_ROWS else (lambda df: df)
+    exact = not items.where(F.col("variant") == EXACT).isEmpty()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    # outer here and below, as an inner one would have the arrays computed twice, to filter and to emit
-    rows = rows.select("doc_id", "text", F.posexplode_outer(F.array_distinct(F.array(template_words(F.col("text")), slot_words(F.col("text"))))).alias("reading", "w"))
-    rows = rows.withColumn("hits", hits())
-    found = rows.select("doc_id", "text", "reading", "w", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", "text", "reading", "w", "hit.i", "hit.h")
-    small = F.broadcast if few else (lambda df: df)
-    found = found.join(small(windows.drop("begin")), "h").join(small(items.drop("width")), ["item", "variant"])
+    rows = rows.withColumn("first", template_words(F.col("text"))).withColumn("second", slot_words(F.col("text")))
+    readings = [F.col("first"), F.when(F.col("second") != F.col("first"), F.col("second")), *([plain_words(F.col("text"))] if exact else [])]
+    # outer, as an inner one would have the arrays computed twice, to filter and to emit
+    rows = rows.select("doc_id", "text", F.posexplode_outer(F.array(*readings)).alias("reading", "w"))
+    found = _hits(rows, windows, plan) if plan else rows.select("*", F.lit(0).alias("i"), F.lit(0).cast("long").alias("h")).limit(0)
+    found = found.join(small(windows.drop("begin")), "h").join(small(items.withColumnRenamed("v", "iv")), ["item", "variant"])
+    # the values count for items that are matched with them, and for these only
+    found = found.where((F.col("variant") == EXACT) == (F.col("reading") == 2))
     # where the words before agree too, an earlier window of the same run stands for this one
-    agrees = F.slice("w", F.greatest(F.col("i") - STRIDE, F.lit(1)), STRIDE) == F.slice("t", F.greatest(F.col("off") - STRIDE + 1, F.lit(1)), STRIDE)
-    found = found.where(~(F.col("prev") & (F.col("i") > STRIDE) & agrees))
-    shift = F.col("i") - 1 - F.col("off")
-    found = found.withColumn("shift", shift).withColumn("skip", F.greatest(-shift, F.lit(0))).withColumn("from", F.greatest(shift, F.lit(0)) + 1).withColumn("n", F.size("t"))
-    found = found.withColumn("doc_v", F.when(F.col("reading") == 0, plain_words(F.col("text"))).otherwise(slot_values(F.col("text"))))
+    before = lambda c, at: F.slice(c, F.greatest(at, F.lit(1)), F.col("step"))
+    found = found.where(~(F.col("prev") & (F.col("i") > F.col("step")) & (before("w", F.col("i") - F.col("step")) == before("t", F.col("off") - F.col("step") + 1))))
+    values = F.when(F.col("reading") == 1, slot_values(F.col("text"))).otherwise(plain_words(F.col("text")))
+    # of the text only what the item can reach round the hit goes on; passed counts the words before
+    passed = F.greatest(F.col("i") - 1 - F.col("n"), F.lit(0))
+    near = lambda c, name: F.slice(c, passed + 1, 2 * F.col("n") + WIDTH).alias(name)
+    found = found.select("doc_id", F.xxhash64("text").alias("row"), "reading", "item", "variant", "n", "width", "literals", "t", "iv", "off", F.size("w").alias("words"), passed.alias("passed"), near("w", "w"), near(values, "v"), (F.col("i") - passed).alias("i"))
+    found = found.withColumn("shift", F.col("i") - 1 - F.col("off"))
+    found = found.withColumn("skip", F.greatest(-F.col("shift"), F.lit(0))).withColumn("from", F.greatest("shift", F.lit(0)) + 1)
     part = lambda c, at: F.slice(F.col(c), at, F.col("n") - F.col("skip"))
-    laid = F.arrays_zip(part("w", F.col("from")).alias("w"), part("t", F.col("skip") + 1).alias("t"), part("doc_v", F.col("from")).alias("dv"), part("v", F.col("skip") + 1).alias("iv"))
-    point = lambda x, i: F.struct((F.col("skip") + i).alias("k"), (F.col("from") - 1 + i).alias("p"), x["w"].alias("w"), x["t"].alias("t"), x["dv"].alias("dv"), x["iv"].alias("iv"))
+    laid = F.arrays_zip(part("w", F.col("from")).alias("w"), part("t", F.col("skip") + 1).alias("t"), part("v", F.col("from")).alias("dv"), part("iv", F.col("skip") + 1).alias("iv"))
+    point = lambda x, i: F.struct((F.col("skip") + i).alias("k"), (F.col("passed") + F.col("from") - 1 + i).alias("p"), x["w"].alias("w"), x["t"].alias("t"), x["dv"].alias("dv"), x["iv"].alias("iv"))
     same = F.transform(F.filter(F.transform(laid, point), lambda x: x["w"] == x["t"]), lambda x: x.dropFields("w"))
     key = ["doc_id", "row", "reading", "item", "variant"]
-    found = found.select("doc_id", F.xxhash64("text").alias("row"), "reading", "item", "variant", "n", "shift", (F.col("shift") / F.col("n")).alias("at"), same.cast(f"array<{_POINT}>").alias("one"))
+    shift = F.col("passed") + F.col("shift")
+    found = found.select(*key, "n", "width", "literals", "words", shift.alias("shift"), (shift / F.col("n")).alias("at"), same.cast(f"array<{_POINT}>").alias("one"))
+    found = found.where((_runs(F.col("one"))["telling"] >= F.col("width")) | (F.col("variant") == EXACT))
     order = Window.partitionBy(*key).orderBy("at")
     found = found.withColumn("last", F.lag("shift").over(order)).where("last is null or last != shift")
     # a slot whose neighbours don't agree may be any other name or number
-    slot = lambda x: x["t"].rlike(f"[{NAME}{NUMBER}{UNIT}]")
-    firm = F.filter("one", lambda x: ~slot(x) | F.exists("one", lambda y: F.abs(y["k"] - x["k"]) == 1))
+    firm = F.filter("one", lambda x: ~_is_slot(x) | F.exists("one", lambda y: F.abs(y["k"] - x["k"]) == 1))
     found = found.withColumn("firm", firm).withColumn("near", F.collect_list("firm").over(order.rangeBetween(0, 1)))
-    found = found.withColumn("ways", F.when(F.size("near") > 1, F.array(F.col("one"), _chain(F.flatten("near")))).otherwise(F.array("one")))
-    found = found.select("doc_id", "item", "reading", "n", F.explode_outer("ways").alias("same")).where("same is not null")
-    found = found.withColumn("slots", F.filter("same", slot)).withColumn("matched", F.size("same")).withColumn("runs", _runs(F.col("same")))
+    found = found.withColumn("ways", F.when((F.size("near") > 1) & (F.col("variant") != EXACT), F.array(F.col("one"), _chain(F.flatten("near")))).otherwise(F.array("one")))
+    found = found.select("doc_id", "item", "variant", "reading", "n", "literals", "words", F.explode_outer("ways").alias("same")).where("same is not null")
+    found = found.withColumn("slots", F.filter("same", _is_slot)).withColumn("matched", F.size("same")).withColumn("runs", _runs(F.col("same")))
     distinct = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*[x[n].alias(n) for n in names]))))
     consistent = (distinct("dv", "iv") == distinct("dv")) & (distinct("dv", "iv") == distinct("iv"))
     covers = (F.col("matched") >= F.col("n") * COVERAGE) & (F.col("runs.best") >= WIDTH) | (F.col("matched") >= F.col("n") * CLOSE) | (F.col("runs.exact") >= LONG)
-    holds = covers & (F.col("matched") - F.size("slots") >= F.least(F.lit(LITERALS), F.col("n"))) & consistent
+    holds = covers & (F.col("matched") - F.size("slots") >= F.least(F.lit(LITERALS), "literals")) & consistent
+    whole = (F.col("matched") == F.col("n")) & ((F.col("n") >= SHORT_WIDTH) | (F.col("words") == F.col("n")))
+    holds = F.when(F.col("variant") == EXACT, whole).otherwise(holds)
     changed = F.size(F.filter("slots", lambda x: x["dv"] != x["iv"]))
     best = F.struct((F.col("matched") / F.col("n")).alias("coverage"), (-F.col("reading")).alias("plain"), (-changed).alias("less"), "matched", F.size("slots").alias("slots"))
     # the test stands in the aggregate: as a filter it would sink below the projections and have them computed again

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+import regex
 from stratalith.llm import decontaminate as D
 
 UNITS = "|".join(sorted(D.UNITS, key=lambda u: (-len(u), u)))
@@ -154,3 +155,125 @@ def test_readings_have_their_values(spark):
     assert all(len(r.t) == len(r.v) for r in got)
     assert got[0].t[:4] == [D.NUMBER, "to", D.NAME, "anna9"] and got[0].v[:3] == ["5 km", "to", "new york"]
     assert got[2].t == [D.NAME, "paid", D.NUMBER, D.NUMBER]
+
+
+def slots(text):
+    """(words, values) of the second reading, stated plainly."""
+    numbered = regex.sub(D._NUMBERS, D.NUMBER, text)
+    words = regex.findall(rf"[{D._SIGN}\u0307]+", regex.sub(D._NAMES, D.NAME, numbered).lower())
+    values = [m.group().lower() for m in regex.finditer(rf"{D._NUMBERS}|{D._NAMES}|[{D._WORD}]+", text)]
+    assert len(words) == len(values)
+    return words, values
+
+
+def chain(points):
+    ends = []  # the chain of m + 1 points that ends first
+    for x in sorted(points, key=lambda x: (x[0], -x[1])):
+        at = sum(path[-1][1] < x[1] for path in ends)
+        ends[at : at + 1] = [(ends[at - 1] if at else []) + [x]]
+    return ends[-1]
+
+
+def holds(same, n, literals):
+    """same: (item place, document place, template word, document's value, item's value)."""
+    mark = lambda w: any(c in w for c in D.NAME + D.NUMBER + D.UNIT)
+    best = exact = run = equal = 0
+    for k, x in enumerate(same):
+        on = k > 0 and (x[0], x[1]) == (same[k - 1][0] + 1, same[k - 1][1] + 1)
+        run = run + 1 if on else 1
+        equal = 0 if x[3] != x[4] else equal + 1 if on else 1
+        best, exact = max(best, run), max(exact, equal)
+    pairs = {(x[3], x[4]) for x in same if mark(x[2])}
+    covers = len(same) >= D.COVERAGE * n and best >= D.WIDTH or len(same) >= D.CLOSE * n or exact >= D.LONG
+    enough = sum(not mark(x[2]) for x in same) >= min(D.LITERALS, literals)
+    return covers and enough and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def oracle(docs, items):
+    """All items against all documents, by every alignment; no hashes, windows or bitmaps."""
+    mark = lambda w: any(c in w for c in D.NAME + D.NUMBER + D.UNIT)
+    out = set()
+    for d, text in docs:
+        if text is None:
+            continue
+        plain = template(text)[1]
+        for item, body in items:
+            body = body or ""
+            words, values = template(body)
+            if 0 < len(values) < D.SHORTEST or values and all(map(mark, words)):
+                n = len(values)
+                if any(plain[k : k + n] == values for k in range(len(plain) - n + 1)) and (n >= D.SHORT_WIDTH or len(plain) == n):
+                    out.add((d, item))
+            for t, v in [template(body), template(body.lower()), slots(body), slots(body.lower())]:
+                n, literals = len(t), sum(not mark(w) for w in t)
+                if n < D.SHORTEST or not literals:
+                    continue
+                need = n if n < D.WIDTH else min(D.WIDTH, max(D.SHORT_WIDTH, (n - 1) // 2))
+                for w, dv in (template(text), slots(text)):
+                    laid = {}
+                    for shift in range(-n, len(w)):
+                        same = [(k, shift + k, t[k], dv[shift + k], v[k]) for k in range(max(0, -shift), min(n, len(w) - shift)) if w[shift + k] == t[k]]
+                        places = {x[0] for x in same}
+                        if any(all(k + j in places for j in range(need)) and any(not mark(t[k + j]) for j in range(need)) for k in places):
+                            laid[shift] = same
+                    for shift, same in laid.items():
+                        near = [s for s in laid if shift / n <= s / n <= shift / n + 1]
+                        firm = lambda one: [x for x in one if not mark(x[2]) or any(abs(y[0] - x[0]) == 1 for y in one)]
+                        ways = [same] + ([chain([x for s in near for x in firm(laid[s])])] if len(near) > 1 else [])
+                        if any(holds(way, n, literals) for way in ways):
+                            out.add((d, item))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_equals_the_oracle(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)] + ["Anna", "Bruno", "Anna", "7", "12", "kg", "3.5", "9", "4km", "-", "end.", "New York"]
+    sizes = [1, 2, 3, 3, 4, 5, 6, 7, 9, 12, 13, 14, 20, 33]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice(sizes)))) for k in range(24)] + [(90, "7 12 9"), (91, "7 12 9 3.5 7 12 9 3.5"), (92, ""), (93, None)]
+    docs = [(900, None), (901, ""), (902, "7 12 9"), (903, "7 9 12 5 6 7 12 9 3.5 7 12 9 3.5")]
+    for k in range(70):
+        w = [rng.choice(vocab) for _ in range(rng.choice([0, 1, 5, 40]))]
+        piece = rng.choice(items[:24])[1].split(" ")
+        piece = piece[rng.choice([0, 0, len(piece) // 3]) :]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at = rng.randrange(len(piece))
+            piece[at : at + rng.choice([0, 1, 1])] = [rng.choice(vocab)]
+        at = rng.randrange(len(w) + 1)
+        docs.append((k, " ".join(w[:at] + piece + w[at:])))
+    got = set(leaked(spark, docs, items))
+    assert got == oracle(docs, items)
+    assert len(got) > 20
+
+
+def test_few_words_or_literals(spark):
+    items = [(1, "Compute 3 + 4 quickly please"), (2, "Who wrote Hamlet in London?"), (3, "Is water wet"), (4, "yes no"), (5, "42"), (6, "17 4 2001 8")]
+    docs = [
+        (1, "Please compute: Compute 3 + 4 quickly please. Thanks"),
+        (2, "Compute 5 + 8 quickly please"),
+        (3, "They asked: Who wrote Hamlet in London? Nobody knew"),
+        (4, "Who wrote Faust in Weimar?"),
+        (5, "Tell me, is water wet or not"),
+        (6, "is fire wet"),
+        (7, "yes no"),
+        (8, "yes no maybe"),
+        (9, "42"),
+        (10, "in 42 days"),
+        (11, "on 17 4 2001 8 came"),
+        (12, "on 18 4 2001 8 came"),
+    ]
+    assert set(leaked(spark, docs, items)) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (7, 4), (9, 5), (11, 6)}
+
+
+def test_runs_of_six_are_found_at_every_place(spark):
+    items = [(1, " ".join(LETTERS[:12]))]
+    docs = [(k, " ".join(["x"] * k + ["zz"] + LETTERS[1:7] + ["y"] * 6)) for k in range(5)]
+    assert set(leaked(spark, docs, items)) == {(k, 1) for k in range(5)}
+
+
+def test_very_long_text_repeated_rows_and_ties(spark):
+    one = ITEMS[0][1]
+    long = "some words go on " * 100_000 + one + " and on" * 50_000
+    docs = [(1, long), (1, long), (2, one + " " + one), (None, one)]
+    got = leaked(spark, docs, ITEMS)
+    assert set(got) == {(1, 1), (2, 1), (None, 1)} and all(r.coverage == 1.0 and r.changed_slots == 0 for r in got.values())
