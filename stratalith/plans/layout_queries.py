@@ -114,7 +114,7 @@ def page_continuations(spark, sf_dir):
 
 
 @query(
-    r""",, tried as (select doc, pos, case when length(md) % 3 = 0 then upper(left(md, 30)) when length(md) % 3 = 1 then '2.1 ' || left(md, 30) else left(md, 60) end as md from plain where type = 'paragraph')
+    r""",, tried as (select doc, pos, case when length(md) % 3 = 0 then upper(md) when length(md) % 3 = 1 then '2.1 ' || md else md end as md from plain where type = 'paragraph')
     select doc, pos, case when regexp_extract(md, '^(\d+(?:\.\d+)*)\.?\s+(\p{Lu}.*)$', 1) <> '' then 2 else 1 end as level from (select *, regexp_replace(md, '[^\p{L}]', '', 'g') as letters, len(regexp_split_to_array(trim(md), '\s+')) as n from tried)
     where length(md) <= 80 and not regexp_matches(md, '[.:;,"”’]$') and ((regexp_extract(md, '^(\d+(?:\.\d+)*)\.?\s+(\p{Lu}.*)$', 1) <> '' and n - 1 <= 10) or (length(letters) >= 3 and letters = upper(letters) and letters <> lower(letters) and n <= 10))""",
     LAYOUT,
@@ -122,7 +122,7 @@ def page_continuations(spark, sf_dir):
 def fallback_headings(spark, sf_dir):
     n = F.length("md")
     e = _ascii(V.doc_elements(spark, sf_dir)).where("type = 'paragraph'")
-    md = F.when(n % 3 == 0, F.upper(F.left("md", F.lit(30)))).when(n % 3 == 1, F.concat(F.lit("2.1 "), F.left("md", F.lit(30)))).otherwise(F.left("md", F.lit(60)))
+    md = F.when(n % 3 == 0, F.upper("md")).when(n % 3 == 1, F.concat(F.lit("2.1 "), "md")).otherwise(F.col("md"))
     return layout.fallback_headings(e.withColumn("md", md)).where("type = 'heading'").select("doc", "pos", "level")
 
 

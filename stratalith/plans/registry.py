@@ -112,10 +112,10 @@ def canonical_text(spark, sf_dir):
         when b like '$$%' and b like '%$$' and length(b) >= 4 then 'formula' when regexp_matches(b, '^!\[.*\]\(\S+\)$') then 'image' when b like '>%' then 'quote'
         when regexp_matches(b, '^([-*+]|[0-9]+[.)])\s') then 'list' else 'paragraph' end as type
     from (select doc_id, unnest(range(8)) as k, unnest(['# ' || t, '```' || t, '| ' || t || ' |', '$$' || t || '$$', '![' || t || '](images/a.png)', '> ' || t, '1. ' || t, t]) as b
-          from (select doc_id, substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 60) as t from documents))"""
+          from (select doc_id, regexp_replace(text, '\s+', ' ', 'g') as t from documents))"""
 )
 def detect_types(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.substr(F.regexp_replace("text", r"\s+", " "), F.lit(1), F.lit(60)).alias("t"))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
     forms = F.array(*[F.concat(F.lit(a), "t", F.lit(b)) for a, b in (("# ", ""), ("```", ""), ("| ", " |"), ("$$", "$$"), ("![", "](images/a.png)"), ("> ", ""), ("1. ", ""), ("", ""))])
     return docs.select("doc_id", F.posexplode(forms).alias("k", "b")).select("doc_id", "k", C.detect_type(F.col("b")).alias("type"))
 
@@ -233,10 +233,19 @@ _UNITS = (
 )
 
 
-@query(_UNITS + " select id, md, parts from units where parts > 1 and not regexp_matches(md, '[A-Za-z0-9_]- ')", "recursive " + V.LINKED_ELEMENTS)
+_CUT_LINES = """cut_elements as (select * replace (case when type = 'paragraph' and length(md) % 2 = 0 then lower(regexp_replace(md, '[ .]*$', '')) || '-' when type = 'paragraph' then lower(md) else md end as md) from linked_elements)"""
+
+
+@query(
+    (_UNITS.replace("string_agg(md, ' ' order by pos)", "string_agg(md, chr(1) order by pos)").replace("linked_elements", "cut_elements"))
+    + r""" select id, replace(regexp_replace(md, '([\p{L}\p{N}_])-\x01(\p{Ll})', '\1\2', 'g'), chr(1), ' ') as md, parts from units where parts > 1""",
+    "recursive " + V.LINKED_ELEMENTS + ", " + _CUT_LINES,
+)
 def joined_md(spark, sf_dir):
-    u = structure.joined_units(chunking.embeddable(_linked(spark, sf_dir)))
-    return u.select("id", "md", F.size("part_ids").cast("long").alias("parts")).where(r"parts > 1 and not md rlike '[A-Za-z0-9_]- '")
+    e = _linked(spark, sf_dir)
+    cut = F.when(F.length("md") % 2 == 0, F.concat(F.lower(F.regexp_replace("md", "[ .]*$", "")), F.lit("-"))).otherwise(F.lower("md"))
+    u = structure.joined_units(chunking.embeddable(e.withColumn("md", F.when(F.col("type") == "paragraph", cut).otherwise(F.col("md")))))
+    return u.select("id", "md", F.size("part_ids").cast("long").alias("parts")).where("parts > 1")
 
 
 @query(_UNITS + " select id, hash from units", "recursive " + V.LINKED_ELEMENTS)
@@ -430,10 +439,10 @@ def tfidf_search_access(spark, sf_dir):
     return _search(spark, sf_dir, ("all",)).select("item_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(_hits("") + """ select count(*) as questions, count(h) as hits from (select b.item_id, max(case when contains(d.text, substr(b.text, 1, 40)) then 1 end) as h
+@query(_hits("") + """ select count(*) as questions, count(h) as hits from (select b.item_id, max(case when contains(d.text, b.text) then 1 end) as h
     from benchmark b left join hits x on x.item_id = b.item_id left join documents d on d.doc_id = x.id group by b.item_id)""", _TERMS)
 def hit_at_5(spark, sf_dir):
-    answers = V.table(spark, sf_dir, "benchmark").select("item_id", F.substr(F.col("text"), F.lit(1), F.lit(40)).alias("answer"))
+    answers = V.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
     return retrieval.hit_rate(_search(spark, sf_dir), _chunks(spark, sf_dir), answers, "item_id")
 
 
@@ -495,13 +504,101 @@ def check_parent(spark, sf_dir):
     return constraints.parents(e.withColumn("parent", parent))
 
 
+_LOOSE = """,, loose as (select doc, pos, type, hash, characters, case when type = 'heading' and length(md) % 2 = 0 then md || ' ##' when length(md) % 3 = 0 then md || '  ' else md end as md from linked_elements),
+    tidy as (select *, case when type = 'heading' then regexp_extract(md, '^(#+)', 1) || rtrim(' ' || trim(regexp_replace(regexp_extract(md, '^#+\\s*(.*)$', 1), '(^|\\s)#+$', ''))) when md like '%  ' then rtrim(md) || chr(92) else rtrim(md) end as good from loose)"""
+
+
 @_rule(
-    """select doc, pos, rule, message from (
-        select doc, pos, 'hash' as rule, 'hash is wrong' as message from linked_elements where hash <> substr(sha256(type || chr(10) || md), 1, 16)
-        union all select doc, pos, 'characters', 'characters should be ' || length(md) from linked_elements where characters <> length(md))"""
+    _LOOSE
+    + """ select doc, pos, 'hash' as rule, 'hash is wrong' as message from tidy where hash <> substr(sha256(type || chr(10) || md), 1, 16)
+        union all select doc, pos, 'characters', 'characters should be ' || length(md) from tidy where characters <> length(md)
+        union all select doc, pos, 'canonical', 'md is not canonical' from tidy where md <> good"""
 )
 def check_hash(spark, sf_dir):
-    return constraints.stored_text(V.linked_elements(spark, sf_dir)).where("rule <> 'canonical'")
+    n = F.length("md")
+    loose = F.when((F.col("type") == "heading") & (n % 2 == 0), F.concat("md", F.lit(" ##"))).when(n % 3 == 0, F.concat("md", F.lit("  "))).otherwise(F.col("md"))
+    return constraints.stored_text(V.linked_elements(spark, sf_dir).withColumn("md", loose))
+
+
+_FIELDS = """,, wild as (
+        select doc, pos, case when n % 7 = 0 then 'other#e' || (pos + 1) else id end as id, type, md, case when n % 29 = 0 then 'above' when n % 31 = 0 then 'below' else label end as label,
+            case when type = 'heading' and n % 4 <> 0 then level when n % 37 = 0 then 3 end as level,
+            case when n % 5 = 0 then null else page end as page, case when n % 41 = 0 then [page, page + 1] end as pages, case when n % 6 = 0 then [n, 2, 3, case when n % 12 = 0 then 1200 else 4 end] end as bbox,
+            case when n % 43 = 0 then [1, 2] when n % 47 = 0 then [1] end as n_refs, case when n % 8 = 0 then '# ' || md else md end as raw, n
+        from (select *, length(md) as n from linked_elements))"""
+
+
+def _wild(spark, sf_dir):
+    """Elements with fields that break rules, by the lengths of their texts."""
+    e, n = V.linked_elements(spark, sf_dir), F.length("md")
+    label = F.when(n % 29 == 0, "above").when(n % 31 == 0, "below").otherwise(F.col("label"))
+    rows = e.withColumn("bbox", F.when(n % 6 == 0, F.array(n, F.lit(2), F.lit(3), F.when(n % 12 == 0, 1200).otherwise(4)))).withColumn("pages", F.when(n % 41 == 0, F.array("page", F.col("page") + 1)))
+    rows = rows.withColumn("level", F.when((F.col("type") == "heading") & (n % 4 != 0), F.col("level")).when(n % 37 == 0, 3)).withColumn("page", F.when(n % 5 != 0, F.col("page")))
+    return rows.withColumn("id", F.when(n % 7 == 0, F.concat(F.lit("other#e"), F.col("pos") + 1)).otherwise(F.col("id"))).withColumn("label", label)
+
+
+@_rule(
+    _FIELDS
+    + """ select doc, pos, 'companion' as rule, message from (
+        select doc, pos, unnest(list_filter([
+            case when bbox is not null and page is null then 'bbox is allowed only together with page' end, case when page is not null and pages is not null then 'page and pages exclude each other' end,
+            case when type = 'heading' and level is null then 'a heading needs a level' end, case when type = 'noise' then 'noise needs a subtype' end, case when type <> 'heading' and level is not null then 'level is only for headings' end
+        ], lambda m: m is not null)) as message from wild)"""
+)
+def check_companions(spark, sf_dir):
+    return constraints.field_companions(_wild(spark, sf_dir))
+
+
+@_rule(
+    _FIELDS
+    + """ select doc, pos, 'pattern' as rule, 'bbox has not the form of its field' as message from wild where bbox is not null and (bbox[1] > 1000 or bbox[4] > 1000)
+        union all select doc, pos, 'pattern', 'level has not the form of its field' from wild where level not between 1 and 6"""
+)
+def check_places(spark, sf_dir):
+    return constraints.field_patterns(_wild(spark, sf_dir).select("doc", "pos", "bbox", "level", "page"))
+
+
+@_rule(_FIELDS + " select doc, pos, 'prefix' as rule, 'id must start with ' || doc || '#' as message from wild where not starts_with(id, doc || '#')")
+def check_prefix(spark, sf_dir):
+    return constraints.id_prefix(_wild(spark, sf_dir))
+
+
+@_rule(_FIELDS + " select doc, pos, 'reserved' as rule, 'label ' || label || ' is a reserved word' as message from wild where label in ('above', 'below')")
+def check_reserved_labels(spark, sf_dir):
+    return constraints.reserved_labels(_wild(spark, sf_dir))
+
+
+@_rule(_FIELDS + " select doc, pos, 'reference_list' as rule, 'a single reference must be a string' as message from wild where len(n_refs) = 1")
+def check_reference_list(spark, sf_dir):
+    n = F.length("md")
+    refs = F.when(n % 43 == 0, F.array(F.lit("a"), F.lit("b"))).when(n % 47 == 0, F.array(F.lit("a")))
+    return constraints.single_reference_list(V.linked_elements(spark, sf_dir).withColumn("reference", refs).withColumn("reference_is_list", refs.isNotNull()))
+
+
+@_rule(
+    """,, marked as (select doc, pos, level, case when length(md) % 3 = 0 then '#' || md else md end as md from linked_elements where type = 'heading')
+    select doc, pos, 'level' as rule, 'level does not match the marks' as message from marked where length(regexp_extract(md, '^(#{1,6})([ \\t]|$|\\n)', 1)) <> level"""
+)
+def check_heading_marks(spark, sf_dir):
+    e = V.linked_elements(spark, sf_dir).where("type = 'heading'")
+    return constraints.heading_level(e.withColumn("md", F.when(F.length("md") % 3 == 0, F.concat(F.lit("#"), "md")).otherwise(F.col("md"))))
+
+
+@query(
+    """with heads as (select 'd' || doc_id as doc, lang, case when length(text) % 5 = 0 then 'Version 1' else '1.1' end as version, case when length(text) % 3 = 0 then 'D' || doc_id else 'd' || doc_id end as name,
+            case when length(text) % 4 = 0 then '2024-01-01 00:00' else '2024-01-01T00:00:00Z' end as created, case when length(text) % 6 = 0 then 'yesterday' else '2024-01' end as date, case when length(text) % 7 = 0 then 'secret' else 'none' end as protection
+        from documents where text is not null)
+    select name as doc, 0 as pos, 'header' as rule, unnest(list_filter([
+        case when not regexp_matches(version, '^[0-9]+\\.[0-9]+$') then 'version has not the form of its field' end, case when not regexp_matches(name, '^[a-z0-9_-]+$') then 'doc has not the form of its field' end,
+        case when created like '% %' then 'created has not the form of its field' end, case when date = 'yesterday' then 'date has not the form of its field' end,
+        case when protection = 'secret' then 'protection is none of its values' end], lambda m: m is not null)) as message from heads"""
+)
+def check_headers(spark, sf_dir):
+    d, n = V.table(spark, sf_dir, "documents").where("text is not null"), F.length("text")
+    either = lambda k, bad, good: F.when(n % k == 0, bad).otherwise(good)
+    name = F.concat(either(3, F.lit("D"), F.lit("d")), "doc_id")
+    heads = d.select(name.alias("doc"), "lang", either(5, "Version 1", "1.1").alias("version"), either(4, "2024-01-01 00:00", "2024-01-01T00:00:00Z").alias("created"), either(6, "yesterday", "2024-01").alias("date"), either(7, "secret", "none").alias("protection"))
+    return constraints.header_rules(heads)
 
 
 _TEXT_LINKS = ",, linked_text as (select doc, pos, type, id, label, md || ' [see](#e' || (length(md) % 40) || ') `[code](#nowhere)` [l](#l' || (length(md) % 50) || ')' as md from linked_elements)"
@@ -585,14 +682,15 @@ def violations_report(spark, sf_dir):
 
 _WORDS = r"""regexp_extract_all(lower(replace({0}, '-', '')), '\p{{L}}+(?:[''’]\p{{L}}+)?')"""
 _OUT = f"""source_words as (
-        select 'd' || (doc_id % 50) as doc, word, count(*) as n from (select doc_id, unnest({_WORDS.format("text")}) as word from documents) group by all
+        select 'd' || doc_id as doc, word, count(*) as n from (select doc_id, unnest({_WORDS.format("text")}) as word from documents) group by all
     ), output_words as (
-        select 'd' || (doc_id % 50) as doc, word, count(*) as n from (select doc_id, unnest({_WORDS.format("replace(text, ', ', ',')")}) as word from documents where length(text) % 4 <> 0) group by all
+        select 'd' || doc_id as doc, word, count(*) as n from (select doc_id, unnest({_WORDS.format("replace(text, ', ', ',')")}) as word from documents where length(text) % 4 <> 0) group by all
     )"""
 
 
 def _both(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string")).alias("doc"), "text")
+    """Word counts of the documents, and of what an import kept of them: it lost some texts, and blanks behind commas."""
+    docs = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc"), "text")
     out = docs.where(F.length("text") % 4 != 0).select("doc", F.replace("text", F.lit(", "), F.lit(",")).alias("text"))
     return quality.word_counts(docs, "text"), quality.word_counts(out, "text")
 
@@ -600,9 +698,12 @@ def _both(spark, sf_dir):
 @query(
     """,, lost as (
         select s.doc, s.word, s.n - coalesce(o.n, 0) as lost from source_words s left join output_words o on o.doc = s.doc and o.word = s.word where s.n > coalesce(o.n, 0)
-    ), cuts as (select doc, word, unnest(range(1, length(word))) as k from lost)
-    select doc, word, lost from lost l where not exists (
-        select 1 from cuts c join output_words a on a.doc = c.doc and a.word = substr(c.word, 1, c.k::int) join output_words b on b.doc = c.doc and b.word = substr(c.word, c.k::int + 1) where c.doc = l.doc and c.word = l.word)""",
+    ), cuts as (
+        select doc, word, substr(word, 1, k::int) as a, substr(word, k::int + 1) as b from (select doc, word, unnest(range(1, length(word))) as k from lost)
+    ), explained as (
+        select distinct c.doc, c.word from cuts c join output_words x on x.doc = c.doc and x.word = c.a join output_words y on y.doc = c.doc and y.word = c.b
+    )
+    select l.doc, l.word, l.lost from lost l left join explained e on e.doc = l.doc and e.word = l.word where e.doc is null""",
     _OUT,
 )
 def words_lost(spark, sf_dir):
@@ -632,9 +733,15 @@ def glued_words(spark, sf_dir):
     return quality.glued_words(quality.word_counts(e), quality.bigrams(e), frequent=3, together=1)
 
 
-@query("select doc, key, count(distinct page) as pages from (select doc, regexp_replace(lower(md), '[^a-z]+', '', 'g') as key, page from doc_elements where type = 'paragraph' and length(md) < 80) where key <> '' group by all having count(distinct page) >= 3", V.DOC_ELEMENTS)
+@query(
+    """,, running as (select doc, page, case when length(md) % 3 = 0 then 'Part ' || chr((97 + length(md) % 7)::int) || ' - ' || page else md end as md from doc_elements where type = 'paragraph')
+    select doc, key, count(distinct page) as pages from (select doc, regexp_replace(lower(md), '[^a-z]+', '', 'g') as key, page from running where length(md) < 80) where key <> '' group by all having count(distinct page) >= 3""",
+    V.DOC_ELEMENTS,
+)
 def repeated_lines(spark, sf_dir):
-    return quality.repeated_lines(V.doc_elements(spark, sf_dir))
+    n = F.length("md")
+    running = F.when(n % 3 == 0, F.concat(F.lit("Part "), F.chr(n % 7 + 97), F.lit(" - "), F.col("page").cast("string"))).otherwise(F.col("md"))
+    return quality.repeated_lines(V.doc_elements(spark, sf_dir).withColumn("md", running))
 
 
 @query("select doc, id, len(list_filter(regexp_split_to_array(md, '\\s+'), lambda w: w <> '')) as n_words from page_elements where type = 'paragraph' and len(list_filter(regexp_split_to_array(md, '\\s+'), lambda w: w <> '')) <= 2", V.PAGE_ELEMENTS)

@@ -7,8 +7,10 @@ import pickle
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,42 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+#: By application: its folder of written tables, and what deletes it.
+_TABLES: dict[str, tuple[str, Any]] = {}
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables, deleted by ``release`` or at the end of the process."""
+    key = spark.sparkContext.applicationId
+    if key not in _TABLES:
+        folder = f"{scratch_dir(spark)}/stratalith-{key}"
+        _TABLES[key] = (folder, _deleter(spark, folder))
+        atexit.register(_forget, key)
+    return _TABLES[key][0]
+
+
+def _deleter(spark: SparkSession, folder: str):
+    """Deletes the folder by the file system that Spark writes it with, the session being stopped or not."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def delete() -> None:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+    return delete
+
+
+def _forget(key: str) -> None:
+    if key in _TABLES:
+        with suppress(Py4JError, OSError):  # the driver's JVM is gone already
+            _TABLES.pop(key)[1]()
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that ``materialize`` has written for this application; what reads them can't be run any more."""
+    _forget(spark.sparkContext.applicationId)
+
+
 #: Rows of a narrow table that one file holds.
 ROWS_PER_FILE = 65_536
 
@@ -48,7 +86,7 @@ def materialize(df: DataFrame, label: str, at_most: int | None = None) -> DataFr
     spark = df.sparkSession
     if at_most is not None:
         df = df.coalesce(max(1, -(-at_most // ROWS_PER_FILE)))
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

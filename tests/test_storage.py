@@ -1,3 +1,4 @@
+import os
 import pytest
 
 from stratalith import storage
@@ -33,3 +34,14 @@ def test_shared_values_travel_with_their_classes(spark):
     sent = storage.Shared(spark, {"a": 1})
     assert sent.value == {"a": 1}
     sent.drop()
+
+
+def test_released_tables_are_gone(spark, tmp_path):
+    from stratalith import storage
+
+    made = storage.materialize(spark.range(5), "five")
+    folder = storage.tables_dir(spark).removeprefix("file://")
+    assert made.count() == 5 and os.listdir(folder)
+    storage.release(spark)
+    assert not os.path.exists(folder)
+    assert storage.materialize(spark.range(3), "three").count() == 3
