@@ -47,6 +47,22 @@ def test_every_sentence_is_found_alone(spark):
         assert f",{r.doc_id}," in r.sequence
 
 
+def test_ends_mentions_and_spdx_lines(spark):
+    texts = [
+        "some words without an end\nThis project is licensed under\nthe MIT License.",
+        "Notice: this project is licensed under the MIT License.",
+        "SPDX-License-Identifier: MIT",
+        "// SPDX-License-Identifier: GPL-3.0-or-later",
+        "The code in this repository is released under the Apache License 2.0",
+        "This is not licensed under the MIT License.",
+        "All of it is distributed under the GNU Lesser General Public License, version 2.1.\nData: CC0, available under CC0 1.0.",
+        "licensed under the terms of my own license",
+        "line\n" * 20000 + "x licensed under the BSD 3-Clause License",
+        "Licensed under GPLv2. Licensed under GPLv2. Licensed under GPLv2.",
+    ]
+    assert scan(spark, texts) == ["MIT:mention", "MIT:mention", "MIT:mention", "GPL-3.0:mention", "Apache-2.0:mention", "", "CC0-1.0:mention,LGPL-2.1:mention", "", "BSD-3-Clause:mention", "GPL-2.0:mention"]
+
+
 def test_empty(spark):
     assert L.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
