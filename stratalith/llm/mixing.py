@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalith.llm.rowsets import row_key
+from stratalith.llm.rowsets import free_name, row_key
 from stratalith.llm.textbytes import WORD
 from stratalith.storage import materialize
 
@@ -70,27 +70,28 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix_sources(docs: DataFrame, weight: str | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, whole_copies, inclusion for every row.
+def _odds(c: Column) -> Column:
+    return F.when(c <= 0, F.lit(1e-12)).when(c >= 1, F.lit(1e12)).otherwise(c / (1 - c))
 
-    ``weight`` names a column of positive document weights (null: 1).
-    """
-    by = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), by.alias("weight")), "sizes")
-    targets = materialize(source_targets(sizes, weights, share, max_copies), "targets", 1)  # the windows have it in one task
-    t = targets.withColumnRenamed("source", "of")
-    wanted = F.col("target") / F.col("source_size") * (F.col("weight") / F.col("mean_weight"))
-    rows = sizes.join(t, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_no", "source_size", "target", F.coalesce(wanted, F.lit(0.0)).alias("wanted"), F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0)).alias("mean"), uniform(F.col("doc_id"), seed).alias("u")
-    )
-    rows = rows.withColumn("whole", F.least(F.floor("wanted"), F.lit(max_copies)).cast("long"))
-    rows = rows.withColumn("p", F.least(F.col("wanted") - F.col("whole"), F.lit(1.0))).withColumn("base_p", F.col("mean") - F.floor("mean"))
-    odds = lambda c: F.when(c <= 0, F.lit(1e-12)).when(c >= 1, F.lit(1e12)).otherwise(c / (1 - c))
-    rows = rows.withColumn("rank", odds(F.col("u")) / odds(F.col("p")))
-    even = F.col("rank") * odds(F.col("base_p"))  # u's own odds where all documents weigh the same
+
+def _ranked(sizes: DataFrame, targets: DataFrame, max_copies: int, seed: str, doc_id: str = "doc_id", size: str = "size", source: str = "source", weight: Column | None = None) -> DataFrame:
+    """Adds a struct ``__plan`` to rows of documents: source_no, source_size, target, whole copies, p, base_p, rank and the words at stake (part)."""
+    t = targets.select(F.struct("source", "source_no", "source_size", "target", "mean_weight").alias("__t"))
+    rows = sizes.join(t, F.col(source).eqNullSafe(F.col("__t.source")))
+    mean = F.coalesce(F.col("__t.target") / F.col("__t.source_size"), F.lit(0.0))
+    wanted = F.coalesce(F.col("__t.target") / F.col("__t.source_size") * ((F.lit(1.0) if weight is None else weight) / F.col("__t.mean_weight")), F.lit(0.0))
+    whole = F.least(F.floor(wanted), F.lit(max_copies)).cast("long")
+    p = F.least(wanted - whole, F.lit(1.0))
+    rank = _odds(uniform(F.col(doc_id), seed)) / _odds(p)
+    part = F.when(whole < max_copies, F.col(size)).otherwise(F.lit(0).cast("long"))
+    plan = F.struct("__t.source_no", "__t.source_size", "__t.target", whole.alias("whole"), p.alias("p"), (mean - F.floor(mean)).alias("base_p"), rank.alias("rank"), part.alias("part"))
+    return rows.withColumn("__plan", plan).drop("__t")
+
+
+def _sampled(rows: DataFrame) -> DataFrame:
+    """Adds ``sampled``: the words taken of each row beyond its certain copies, by rank until its source's words are full."""
+    even = F.col("rank") * _odds(F.col("base_p"))  # u's own odds where all documents weigh the same
     rows = rows.withColumn("range", F.least(F.floor(even / (1 + even) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    rows = rows.withColumn("part", F.when(F.col("whole") < max_copies, F.col("size")).otherwise(F.lit(0).cast("long")))
     held = rows.groupBy("source_no", "range").agg(F.sum("part").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
     source = Window.partitionBy("source_no")
     held = held.select(
@@ -102,18 +103,54 @@ def mix_sources(docs: DataFrame, weight: str | None = None, weights: tuple[int,
     rows = rows.join(held, (F.col("source_no") == F.col("held_no")) & (F.col("range") == F.col("held_range")))
     up_to = Window.partitionBy("source_no", "range").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     room = F.round("target").cast("long") - F.col("certain") - F.col("before") - F.coalesce(F.sum("part").over(up_to), F.lit(0))
-    sampled = F.greatest(F.least(F.col("part"), room), F.lit(0))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + sampled).alias("taken"), F.col("whole").alias("whole_copies"), F.col("p").alias("inclusion"))
+    return rows.withColumn("sampled", F.greatest(F.least(F.col("part"), room), F.lit(0)))
+
+
+def _words() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _sizes(docs: DataFrame, weights: tuple[int, ...], share: float, max_copies: int, by: Column) -> tuple[DataFrame, DataFrame]:
+    """(sizes, targets), both written."""
+    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"), by.alias("weight")), "sizes")
+    return sizes, materialize(source_targets(sizes, weights, share, max_copies), "targets", 1)  # the windows have it in one task
+
+
+def mix_sources(docs: DataFrame, weight: str | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, whole_copies, inclusion for every row.
+
+    ``weight`` names a column of positive document weights (null: 1).
+    """
+    by = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
+    sizes, targets = _sizes(docs, weights, share, max_copies, by)
+    rows = _sampled(_ranked(sizes, targets, max_copies, seed, weight=F.col("weight")).select("doc_id", "size", "__plan.*"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("sampled")).alias("taken"), F.col("whole").alias("whole_copies"), F.col("p").alias("inclusion"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents that the mix takes words of, with all columns, and mix_taken, mix_whole_copies, mix_size, mix_target.
 
-    Repeated rows get the decision of one of them.
+    A source is taken in the order of its ranks up to one document, so that a row's
+    own rank and its source's last one say what is taken of it, and no text is moved.
+    Repeated rows have one rank and get one decision. Columns that have such names
+    already stay, and the new ones get underscores behind theirs.
     """
     named = docs.select(row_key().alias("doc_id"), "source", "text")
-    plan = mix_sources(named).groupBy(F.col("doc_id").alias("__key")).agg(*[F.first(c).alias(f"mix_{c}") for c in ("taken", "whole_copies", "size", "target")])
-    return docs.withColumn("__key", row_key()).join(plan.where("mix_taken > 0"), "__key").drop("__key")
+    sizes, targets = _sizes(named, WEIGHTS, SHARE, MAX_COPIES, F.lit(1.0))
+    planned = _sampled(_ranked(sizes, targets, MAX_COPIES, seed).select("doc_id", "size", "__plan.*"))
+    last = planned.where("sampled > 0").groupBy("source_no").agg(F.max(F.struct("rank", "doc_id", "size", "sampled")).alias("last"))
+    last = materialize(last.select(F.col("source_no").alias("last_no"), "last"), "last-ranks", 1 << 16)
+
+    own = {name: free_name(name, docs.columns) for name in ("__key", "__size", "__source")}
+    rows = docs.withColumn(own["__key"], row_key()).withColumn(own["__size"], _words()).withColumn(own["__source"], F.col("source").cast("string"))
+    rows = rows.select(F.struct(*docs.columns).alias("__row"), *[F.col(v).alias(k) for k, v in own.items()])
+    rows = _ranked(rows, targets, MAX_COPIES, seed, "__key", "__size", "__source").join(last, F.col("__plan.source_no") == F.col("last_no"), "left")
+    at = F.struct(F.col("__plan.rank"), F.col("__key"), F.col("__size"))
+    edge = F.struct(F.col("last.rank"), F.col("last.doc_id"), F.col("last.size"))
+    part = F.when(F.col("last").isNull(), 0).when(at < edge, F.col("__plan.part")).when(at == edge, F.col("last.sampled")).otherwise(0)
+    taken = F.col("__plan.whole") * F.col("__size") + part
+    more = {"mix_taken": taken, "mix_whole_copies": F.col("__plan.whole"), "mix_size": F.col("__size"), "mix_target": F.col("__plan.target")}
+    return rows.where(taken > 0).select("__row.*", *[c.alias(free_name(name, docs.columns)) for name, c in more.items()])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,14 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores behind it where a column has it already, whatever the case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def bitmap_bytes(values: DataFrame, column: str, bits: int) -> bytes:
     """A bitmap of the values modulo ``bits``: bits / 32768 rows reach the driver, whatever the table."""
     b = F.pmod(F.col(column), F.lit(bits)) + 1
@@ -49,9 +57,10 @@ def without_rows(docs: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFram
     keys = keys.select("key").distinct()
     keys = materialize(keys, "drop", keys.count())
     test = bit_test(bitmap_bytes(keys, "key", bits), bits)
-    keyed = docs.withColumn("__key", row_key())
-    clear = keyed.where(~test(F.col("__key")))
-    rest = keyed.where(test(F.col("__key"))).join(keys.withColumnRenamed("key", "__key"), "__key", "left_anti")
+    own = free_name("__key", docs.columns)
+    keyed = docs.withColumn(own, row_key())
+    clear = keyed.where(~test(F.col(own)))
+    rest = keyed.where(test(F.col(own))).join(keys.withColumnRenamed("key", own), own, "left_anti")
     return clear.unionByName(rest).select(*docs.columns)
 
 
@@ -59,10 +68,11 @@ def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` with one row of those that share a key of ``keys`` (key)."""
     if keys.isEmpty():
         return docs
-    keyed = docs.withColumn("__key", row_key())
-    keys = keys.select(F.col("key").alias("__key")).distinct()
-    once = keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"])
-    return keyed.join(keys, "__key", "left_anti").unionByName(once).select(*docs.columns)
+    own = free_name("__key", docs.columns)
+    keyed = docs.withColumn(own, row_key())
+    keys = keys.select(F.col("key").alias(own)).distinct()
+    once = keyed.join(keys, own, "left_semi").dropDuplicates([own])
+    return keyed.join(keys, own, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:

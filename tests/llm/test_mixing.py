@@ -74,3 +74,28 @@ def test_empty(spark):
 
 def test_sql(spark):
     oracle.compare(spark, "/root/testdata/sf0.01", M.op1_mix_sources, M.ORACLES["op1_mix_sources"])
+
+
+def test_mixed_documents_follow_the_plan(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.choice([0, 1, 5, 40, 300]), rng.choice(["a", "a", "a", "b", "c", None]), k, "own", "KEY") for k in range(400)]
+    rows += [rows[7], (None, "one two", "b", 0, "x", None), (900, None, "a", 1, "y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_taken long, __key string, __Size string")
+    named = df.select(M.row_key().alias("doc_id"), "source", "text")
+    plan = {}
+    for r in M.mix_sources(named).collect():
+        plan[r.doc_id] = max(plan.get(r.doc_id, 0), r.taken)
+    out = M.mixed_documents(df)
+    assert out.columns[:6] == df.columns and out.columns[6:] == ["mix_taken_", "mix_whole_copies", "mix_size", "mix_target"]
+    got = out.withColumn("k", M.row_key()).collect()
+    assert {r.k: r.mix_taken_ for r in got} == {k: v for k, v in plan.items() if v > 0}
+    assert len(got) == sum(plan[r.k] > 0 for r in df.select(M.row_key().alias("k")).collect())
+    assert all(r.mix_taken == r.doc_id for r in got if r.doc_id is not None and r.doc_id < 400)
+
+
+def test_very_long_text_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "word " * 1_000_000, "a", 5), (2, "x", "a", 6)], "doc_id long, text string, source string, size int")
+    got = {r.doc_id: (r["size"], r.taken) for r in M.mix_sources(df).collect()}
+    assert got[1][0] == 1_000_000 and 0 < got[1][1] <= 2_000_000 and got[2][0] == 1
