@@ -9,6 +9,7 @@ set of rules of which a match has just ended there.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,8 +114,11 @@ class Automaton:
         return len(self.ends)
 
 
-def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
-    """(regex, whether case counts for nothing) per rule; rule k sets bit k."""
+def compile_rules(rules: list[tuple[str, bool]], anywhere: bool = True) -> Automaton:
+    """(regex, whether case counts for nothing) per rule; rule k sets bit k.
+
+    anywhere: a match may begin at any byte; else at the first one only.
+    """
     nfa = _Nfa()
     root, last = nfa.state(), {}
     for k, (pattern, fold) in enumerate(rules):
@@ -138,7 +142,7 @@ def compile_rules(rules: list[tuple[str, bool]]) -> Automaton:
         row = []
         for k in range(len(kinds)):
             b = member[k]
-            then = nfa.closure([to for chars, to in active if b in chars]) | base
+            then = nfa.closure([to for chars, to in active if b in chars]) | (base if anywhere else frozenset())
             if then not in states:
                 states[then] = len(states)
                 todo.append(then)
@@ -163,6 +167,49 @@ def _minimal(move: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> Automaton:
     return Automaton(kind.astype(np.uint8), small.reshape(-1), small_ends, start, n_kinds, reset)
 
 
+class Matcher:
+    """Where matches lie, by the automaton of all rules that begin at one byte.
+
+    From a byte it runs on while a rule can still match, and tells where the rule's
+    match first may end and where its longest one does.
+    """
+
+    def __init__(self, rules: list[tuple[str, bool]]):
+        auto = compile_rules(rules, anywhere=False)
+        self.kind, self.start, self.ends = auto.kind.tobytes(), auto.start, auto.ends.tolist()
+        move = auto.move.reshape(-1, auto.n_kinds)
+        self.move = move.tolist()
+        #: by state, the rules that can still end from it on
+        hope = auto.ends.copy()
+        while True:
+            more = hope | np.bitwise_or.reduce(hope[move], axis=1)
+            if (more == hope).all():
+                break
+            hope = more
+        ahead = np.bitwise_or.reduce(hope[move], axis=1)
+        self.ahead = ahead.tolist()
+        self.first = [np.array([bool(hope[move[auto.start, k]] >> r & 1) for k in auto.kind.tolist()]) for r in range(len(rules))]
+
+    def longest(self, data: bytes, at: int, rule: int) -> tuple[int, int] | None:
+        """(first, last) byte behind which a match of ``rule`` that begins at ``at`` may end."""
+        state, bit, first, last = self.start, 1 << rule, 0, 0
+        for k in range(at, len(data)):
+            state = self.move[state][self.kind[data[k]]]
+            if self.ends[state] & bit:
+                first, last = first or k + 1, k + 1
+            if not self.ahead[state] & bit:
+                break
+        return (first, last) if last else None
+
+    def find(self, data: bytes, rule: int) -> Iterator[tuple[int, int, int]]:
+        """(begin, first end, end) of the leftmost matches of ``rule``, the longest of each, without overlaps."""
+        at = 0
+        for begin in np.flatnonzero(self.first[rule][np.frombuffer(data, np.uint8)]).tolist():
+            if begin >= at and (found := self.longest(data, begin, rule)) is not None:
+                yield begin, *found
+                at = found[1]
+
+
 def rules_hit(auto: Automaton, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per row the bits of all rules that match in its bytes: one pass over the bytes.
 

@@ -1,33 +1,36 @@
 """Secrets in texts, found with one minimal automaton for all rules.
 
-Every rule's shortest evidence (a keyword with its first value character, 16 hex
-digits, a key prefix with part of its body) is compiled into one deterministic
-automaton, and a single pass over a text's UTF-8 bytes tells which rules can match
-in it. Only there an exact check of those rules places the spans; texts without
-evidence, nearly all, are done after the pass.
+All rules, down to the shortest text that can pass, are compiled into one deterministic
+automaton, and a single pass over a text's UTF-8 bytes tells which rules match somewhere
+in it; texts without a match, nearly all, are done after the pass. In the others the
+automaton of the whole rules, run from where a match can begin, places the spans: a
+rule's match ends where the automaton last accepts, and its value begins where it first
+does. No regex engine is used. Matches are the leftmost, the longest of each, without
+overlaps by kind; of ties by start the kind listed first comes first.
 
 Base kinds are leftmost non-overlapping matches of ``BASE`` that pass its test;
 they are counted and hashed on their own. Added spans: kinds of ``ADDED``, and
 assignments that a failing match had covered. Spans are in code points, the end
 excluded, ordered by start, then by kind as listed. A null text counts as empty:
-no spans, and the hash of the empty string. Repeated rows give repeated results,
-an empty table an empty one; columns besides doc_id and text aren't read.
+no spans, and the hash of the empty string. Texts of any length are read whole, a slice
+of about a megabyte at a time, or one text. Repeated rows give repeated results, an empty
+table an empty one; columns besides doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalith.llm.automaton import Automaton, compile_rules, rules_hit
+from stratalith.llm.automaton import Automaton, Matcher, compile_rules, rules_hit
 from stratalith.llm.textbytes import lean, slices
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-#: kind: (evidence for the automaton, case counts for nothing, exact regex, group to measure, least length)
+#: kind: (the shortest text that can pass, case counts for nothing, the whole rule, group to measure, least length)
 BASE = {
     "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]", True, _ASSIGN + "([A-Za-z0-9+/_.=-]+)", 2, 12),
     "access": ("AKIA[A-Z0-9]{14}", False, "AKIA[A-Z0-9]+", 0, 18),
@@ -42,30 +45,38 @@ ADDED = {
 RULES = BASE | ADDED
 
 
-def exact_rules() -> dict[str, tuple[re.Pattern, int, int]]:
-    return {k: (re.compile(exact, re.ASCII | (re.IGNORECASE if fold else 0)), group, least) for k, (_, fold, exact, group, least) in RULES.items()}
+def exact_rules() -> Matcher:
+    """The automaton of the whole rules, numbered as in ``RULES``."""
+    return Matcher([(exact, fold) for _, fold, exact, *_ in RULES.values()])
 
 
-def spans_of(text: str, kinds: list[str], exact: dict) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans) of ``kinds``, as (start, end, kind), in order."""
-    rank = {k: n for n, k in enumerate(RULES)}
+def spans_of(text: str | bytes, kinds: list[str], exact: Matcher) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(base spans, all spans) of ``kinds``, as (start, end, kind) in code points, in order."""
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    number = {k: n for n, k in enumerate(RULES)}
     base, more = [], []
+
+    def passes(begin: int, first: int, end: int, kind: str) -> bool:
+        _, _, _, group, least = RULES[kind]
+        return end - (first - 1 if group else begin) >= least  # a group's value begins with the first byte that ends a match
+
     for kind in kinds:
-        pattern, group, least = exact[kind]
-        at = 0
-        while m := pattern.search(text, at):
-            if m.end(group) - m.start(group) >= least:
-                (base if kind in BASE else more).append((m.start(), m.end(), kind))
-            elif kind == "assign":  # a later keyword in what the failing match covers
-                inner = m.start() + 1
-                while (n := pattern.search(text, inner)) and n.start() < m.end():
-                    if n.end(group) - n.start(group) >= least:
-                        more.append((n.start(), n.end(), kind))
-                        inner = n.end()
+        for begin, first, end in exact.find(data, number[kind]):
+            if passes(begin, first, end, kind):
+                (base if kind in BASE else more).append((begin, end, kind))
+            elif kind == "assign":  # later keywords in what the failing match covers
+                at = begin + 1
+                while at < end:
+                    found = exact.longest(data, at, number[kind])
+                    if found is not None and passes(at, *found, kind):
+                        more.append((at, found[1], kind))
+                        at = found[1]
                     else:
-                        inner = n.start() + 1
-            at = m.end()
-    key = lambda s: (s[0], rank[s[2]], s[1])
+                        at += 1
+    key = lambda s: (s[0], number[s[2]], s[1])
+    if not data.isascii():
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)]).tolist()
+        base, more = ([(points[a], points[b], k) for a, b, k in some] for some in (base, more))
     return sorted(base, key=key), sorted({*base, *more}, key=key)
 
 
@@ -95,7 +106,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 hits = rules_hit(auto, buf, offsets)
                 for r in hits.nonzero()[0].tolist():
                     bits = int(hits[r])
-                    body = buf[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "surrogatepass")
+                    body = buf[offsets[r] : offsets[r + 1]].tobytes()
                     base, every = spans_of(body, [k for n, k in enumerate(names) if bits >> n & 1], exact)
                     for _, _, kind in base:
                         counts[kind][r] += 1

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from stratalith.llm import secret_scan as S
-from stratalith.llm.automaton import compile_rules, rules_hit
+from stratalith.llm.automaton import Matcher, compile_rules, rules_hit
 from stratalith.llm.textbytes import slices
 
 PLAIN = {
@@ -69,3 +69,27 @@ def test_automaton_is_minimal():
 def test_empty_table_and_extra_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, spans int, n_hex string")
     assert S.scan_secrets(empty).collect() == []
+
+
+def test_added_kinds_against_regexes():
+    exact = S.exact_rules()
+    rng = random.Random(11)
+    parts = ["ghp_", "ghs_", "a" * 36, "B9" * 20, "xoxb-", "xoxp", "12-ab-34-zz", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "eyJ", "abcdefgh", ".eyJ", ".", "_-x", " ", "\n", "é", "𝒳"]
+    whole = {k: (re.compile(r[2], re.ASCII | (re.I if r[1] else 0)), r[4]) for k, r in S.ADDED.items()}
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        _, every = S.spans_of(text, list(S.ADDED), exact)
+        want = {(m.start(), m.end(), k) for k, (p, least) in whole.items() for m in p.finditer(text) if m.end() - m.start() >= least}
+        assert set(every) == want, text
+
+
+def test_longest_matches_of_an_automaton():
+    m = Matcher([("ab+", False), ("a(b|bc)*d", False)])
+    assert list(m.find(b"xabbbyab", 0)) == [(1, 3, 5), (6, 8, 8)]
+    assert list(m.find(b"abcbcdad", 1)) == [(0, 6, 6), (6, 8, 8)]
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = "x " * 500_000 + "token = abcdefghijkl " + "f" * 100_000
+    got = S.scan_secrets(spark.createDataFrame([(1, long), (1, long), (2, "AKIA" + "A" * 14)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in got) == [(1, 1, 0, 1), (1, 1, 0, 1), (2, 0, 1, 0)]
