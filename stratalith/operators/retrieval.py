@@ -40,14 +40,14 @@ def weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 
 
 class TfidfIndex:
-    """Weights of all chunks (id, text, and access if asked for), kept as a table by term."""
+    """Weights of all chunks (id, text, and access if asked for), written once, as a table by term, for all searches."""
 
     def __init__(self, chunks: DataFrame, key: str = "id", text: str = "text", access: str | None = None):
         self.key, self.access = key, access
         counts = materialize(term_counts(chunks, key, text), "terms")
         self.n = chunks.count()
-        self.idf = inverse_frequency(counts, key, self.n)
-        self.weights = weights(counts, self.idf, key).select(key, "term", "w")
+        self.idf = materialize(inverse_frequency(counts, key, self.n), "idf")
+        self.weights = materialize(weights(counts, self.idf, key).select(key, "term", "w"), "weights")
         self.groups = chunks.select(key, access) if access else None
 
     def search(self, queries: DataFrame, query_key: str, query_text: str, top: int = 3, allowed: tuple[str, ...] | None = None) -> DataFrame:
@@ -56,6 +56,7 @@ class TfidfIndex:
         Chunks that share no group with ``allowed`` are left out before anything is scored.
         """
         q = weights(term_counts(queries, query_key, query_text), self.idf, query_key).select(query_key, "term", F.col("w").alias("qw"))
+        q = materialize(q, "query-terms")  # its size is known then: few queries are broadcast, many are joined by term
         own = self.weights
         if allowed is not None and self.groups is not None:
             own = own.join(self.groups.where(F.arrays_overlap(F.col(self.access), F.array(*[F.lit(a) for a in allowed]))).select(self.key), self.key, "left_semi")
