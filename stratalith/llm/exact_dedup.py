@@ -4,15 +4,16 @@ Rows are grouped by the length of the normalised text, then by a hash of its
 first characters, then by a hash of the whole text; the last is taken only of
 rows whose (length, prefix hash) another row shares. Length groups are unions of
 (length, prefix hash) groups, so both cheap levels go through one exchange of
-narrow rows. Which rows survive them is handed to the second scan as a bitmap of
-fixed size (``BUCKETS`` bits, 1 MB): a bit that two keys share only costs a hash
-that was not needed. Texts are never shuffled.
+narrow rows. Which rows survive them is handed to the second scan as a bitmap, with
+``BITS_PER_KEY`` bits for each key that several rows share, from ``LEAST_BITS`` (128 kB)
+to ``MOST_BITS`` (128 MB): a bit that two keys share only costs a hash that was not
+needed, and so does a full bitmap. Texts are never shuffled.
 
 Texts are equal when identical after lower-casing A-Z; a null text counts as an
 empty one. Of equal texts the row with the largest doc_id stays, a null doc_id
 being smaller than all others; of repeated rows (same doc_id, equal texts) one
-stays. An empty table gives an empty result; columns besides doc_id and text
-aren't read.
+stays. Texts of any length are hashed whole. An empty table gives an empty result; columns
+besides doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from stratalith.llm.rowsets import bitmap_bytes, keep_rows, row_key
 from stratalith.llm.textbytes import lean
 from stratalith.storage import materialize
 
-BUCKETS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+BITS_PER_KEY = 16
 PREFIX_CHARS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,10 +42,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).alias("len"), F.xxhash64(prefix).alias("prefix"), row_key().alias("key"))
 
 
-def surviving_buckets(keyed: DataFrame) -> bytes:
-    """A bitmap with a set bit for each (length, prefix hash) that several rows share."""
+def bits_for(keys: int) -> int:
+    """Bits of the bitmap of so many keys, a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, BITS_PER_KEY * keys - 1).bit_length()))
+
+
+def surviving_buckets(keyed: DataFrame) -> tuple[bytes, int]:
+    """A bitmap with a set bit for each (length, prefix hash) that several rows share, and its size."""
     shared = keyed.groupBy("len", "prefix").count().where("count > 1")
-    return bitmap_bytes(shared.select(F.xxhash64("len", "prefix").alias("h")), "h", BUCKETS)
+    shared = materialize(shared.select(F.xxhash64("len", "prefix").alias("h")), "shared-keys")
+    bits = bits_for(shared.count())
+    return bitmap_bytes(shared, "h", bits), bits
 
 
 def text_digests(docs: DataFrame, digest_all: bool = False) -> DataFrame:
@@ -54,8 +63,9 @@ def text_digests(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    bits = spark.sparkContext.broadcast(surviving_buckets(keyed))
-    rows = keyed.select("doc_id", "text", F.pmod(F.xxhash64("len", "prefix"), F.lit(BUCKETS)).alias("bit"), "key")
+    bitmap, size = surviving_buckets(keyed)
+    bits = spark.sparkContext.broadcast(bitmap)
+    rows = keyed.select("doc_id", "text", F.pmod(F.xxhash64("len", "prefix"), F.lit(size)).alias("bit"), "key")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = bits.value

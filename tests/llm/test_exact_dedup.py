@@ -44,3 +44,8 @@ def test_hot_group(spark):
 
 def test_sql(spark):
     oracle.compare(spark, "/root/testdata/sf0.01", D.op4_exact_dedup, D.ORACLES["op4_exact_dedup"])
+
+
+def test_bitmap_grows_with_its_keys():
+    assert D.bits_for(0) == D.bits_for(60_000) == 1 << 20
+    assert D.bits_for(100_000) == 1 << 21 and D.bits_for(10**6) == 1 << 24 and D.bits_for(10**12) == 1 << 30
