@@ -23,8 +23,10 @@ what other tokens add to the base score comes from a join on the token's 64-bit
 hash. Texts are parsed twice, never shuffled.
 
 A null text counts as empty: one token, the end. A null doc_id isn't held out.
-Repeated rows are learnt from and scored as separate rows. An empty table gives an
-empty result. Columns besides doc_id and text aren't read.
+Repeated rows are learnt from and scored as separate rows. Tokens of equal count go by
+their hashes where only some are taken, so that reruns agree. A text of any length is
+scored whole, in one recursion. An empty table gives an empty result. Columns besides
+doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ least, tags never do.
 White space in a block becomes one space, the block is trimmed, and blocks are joined
 in page order by two newlines. Character references are decoded, once. A page cut off
 in the middle is read up to its end, an unfinished tag being markup. Null counts as
-an empty page, with empty text. Repeated rows get repeated results, an empty table an
-empty one; columns besides page_id, url and html aren't read.
+an empty page, with empty text. Pages of any length are read whole; of regions with equal
+sums the longest counts, of these the first. Repeated rows get repeated results, an empty
+table an empty one; columns besides page_id, url and html aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -23,8 +23,9 @@ range, and a running sum in each range does the rest.
 
 A null text has no words, and a document without words is taken 0 times. Null is
 a source like any other. Repeated rows are sampled as separate rows; a null doc_id
-is hashed as the word null. An empty table gives an empty result. Only the named
-columns are read.
+is hashed as the word null. Documents of equal rank go by doc_id, then by size. Texts of
+any length are counted whole. An empty table gives an empty result. Only the named columns
+are read, whatever else there is.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ nothing: its forward scores run through an array as long as the longest piece, a
 is made. So memory is bounded, however long a text or word is.
 
 A null text counts as empty and has 0 tokens. Repeated rows get repeated results, an
-empty table an empty one; columns besides doc_id and text aren't read.
+empty table an empty one; columns besides doc_id and text aren't read, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -99,3 +99,26 @@ def test_only_held_out_and_empty(spark):
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
     got = H.hmm_scores(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string"), rounds=1).collect()
     assert [r.train_tokens for r in got] == [0, 0] and all(math.isfinite(r.score) for r in got)
+
+
+def test_scores_against_plain_recursion(spark):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choice(vocab, rng.integers(0, 15)))) for i in range(60)] + [(70, None), (71, "unseen words w1 UNSEEN"), (72, "w1 w2 " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).cache()
+    got = {r.doc_id: r for r in H.hmm_scores(docs, states=3, rounds=2).collect()}
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    counts = H.token_counts(docs.where(~docs.doc_id.isin(list(held))))
+    table, _ = H.vocabulary(counts)
+    seqs = H.sequences(docs.selectExpr("doc_id", "false held_out", "text"), H.Shared(spark, table)).collect()
+    by_id = {r.doc_id: np.frombuffer(r.classes, np.uint16) for r in seqs}
+    train = spark.createDataFrame([(r.classes,) for r in seqs if r.doc_id not in held], "classes binary")
+    hmm, _ = H.train(train, table.mass, states=3, rounds=2)
+    for i, classes in by_id.items():
+        log, state = 0.0, hmm.start
+        for k, c in enumerate(classes.tolist()):
+            state = (state if k == 0 else state @ hmm.move) * hmm.emit[c]
+            log += math.log10(state.sum())
+            state = state / state.sum()
+        want = got[i].base_score + log - sum(math.log10(table.mass[c]) for c in classes.tolist())
+        assert math.isclose(got[i].score, want, rel_tol=1e-6), i
