@@ -226,3 +226,92 @@ def merged_tables(spark, sf_dir):
             yield pd.DataFrame(out, columns=["nation", "customers", "equal", "lines"])
 
     return c.mapInPandas(run, "nation int, customers long, equal boolean, lines long")
+
+
+_SOFT = layout.SOFT
+_RULED = V.DOC_ELEMENTS + r""", plain as (select * replace (regexp_replace(md, '[^\x00-\x7F]', '', 'g') as md), length(regexp_replace(md, '[^\x00-\x7F]', '', 'g')) as n from doc_elements)"""
+
+
+def _plain(spark, sf_dir):
+    return _ascii(V.doc_elements(spark, sf_dir)).withColumn("n", F.length("md"))
+
+
+@query(
+    r""",, made as (
+        select doc, pos, id, page, case when n % 2 = 0 then 'heading' else type end as type, case when n % 2 = 0 then n % 4 + 1 else level end as level,
+               case when n % 14 = 0 then '# Chapter ' || (n % 9 + 1) when n % 22 = 0 then '# Part ' || (n % 5 + 1) when n % 18 = 0 then '# Introduction' when n % 2 = 0 then '## ' || md else md end as md from plain
+    ), titled as (select *, regexp_replace(md, '^#{1,6}\s*', '') as title from made),
+    marked as (select *, case when regexp_matches(title, '^Chapter [0-9]+$') then 'chapter' when regexp_matches(title, '^Part [0-9]+$') then 'part' when title = 'Introduction' then 'front' end as raw from titled),
+    books as (select *, case when sum(case when raw in ('part', 'chapter') then 1 else 0 end) over (partition by doc) >= 3 then raw end as mark from marked),
+    whole as (select *, coalesce(bool_or(mark = 'part') over (partition by doc), false) as parts, min(case when mark is not null then pos end) over (partition by doc) as first from books),
+    done as (select *, case when parts and mark <> 'part' then 2 else 1 end as own, coalesce(type = 'heading' and mark is null and pos < first, false) as demoted from whole)
+    select id, case when mark is not null then 'heading' when demoted then 'paragraph' else type end as type, (case when mark is not null then own when not demoted then level end)::int as level,
+           case when mark is not null then repeat('#', own::int) || ' ' || title when demoted then title else md end as md, doc || '#e' || (first + 1) as body from done""",
+    _RULED,
+)
+def chapters(spark, sf_dir):
+    n = F.col("n")
+    e = _plain(spark, sf_dir).withColumn("type", F.when(n % 2 == 0, "heading").otherwise(F.col("type"))).withColumn("level", F.when(n % 2 == 0, n % 4 + 1).otherwise(F.col("level")))
+    md = F.when(n % 14 == 0, F.concat(F.lit("# Chapter "), n % 9 + 1)).when(n % 22 == 0, F.concat(F.lit("# Part "), n % 5 + 1)).when(n % 18 == 0, "# Introduction").when(n % 2 == 0, F.concat(F.lit("## "), "md")).otherwise(F.col("md"))
+    return layout.chapters(e.withColumn("md", md)).select("id", "type", F.col("level").cast("int").alias("level"), "md", "body")
+
+
+@query(
+    r""",, made as (select doc, pos, id, page, case when n % 2 = 0 then 'heading' else 'paragraph' end as type, case when n % 2 = 0 then (n % 3 + 1)::int end as level,
+        case when n % 6 = 0 then '# ' || (n % 99 + 1) when n % 10 = 0 then '## XIV' when n % 2 = 0 then '## ' || md else md end as md from plain),
+    ahead as (select *, regexp_replace(md, '^#{1,6}\s*', '') as bare, lead(type) over w as next_type, lead(page) over w as next_page from made window w as (partition by doc order by pos)),
+    alone as (select *, coalesce(type = 'heading' and regexp_matches(bare, '^(\d{1,3}|[IVXLC]{1,7})$') and next_type = 'heading' and next_page = page, false) as number from ahead),
+    taken as (select *, coalesce(lag(number) over w, false) as take, lag(bare) over w as num, lag(level) over w as num_level from alone window w as (partition by doc order by pos))
+    select id, case when take then repeat('#', least(level, num_level)) || ' ' || num || ' ' || bare else md end as md, case when take then least(level, num_level) else level end as level from taken where not number""",
+    _RULED,
+)
+def number_headings(spark, sf_dir):
+    n = F.col("n")
+    e = _plain(spark, sf_dir).withColumn("type", F.when(n % 2 == 0, "heading").otherwise("paragraph")).withColumn("level", F.when(n % 2 == 0, n % 3 + 1))
+    md = F.when(n % 6 == 0, F.concat(F.lit("# "), n % 99 + 1)).when(n % 10 == 0, "## XIV").when(n % 2 == 0, F.concat(F.lit("## "), "md")).otherwise(F.col("md"))
+    return layout.number_headings(e.withColumn("md", md)).select("id", "md", "level")
+
+
+@query(
+    """,, wide as (select *, case when chars % 5 = 0 then x0 + 400 else x0 + 240 end as x1, 600.0::double as w from items),
+    placed as (select *, case when x1 - x0 < w * 0.6 and x1 <= w * 0.56 and x0 < w * 0.4 then 0 when x1 - x0 < w * 0.6 and x0 >= w * 0.44 then 1 end as c from wide),
+    paged as (select *, sum(case when c = 0 then 1 else 0 end) over p >= 2 and sum(case when c = 1 then 1 else 0 end) over p >= 2 as two,
+        sum(case when c is null then 1 else 0 end) over (partition by doc, page order by y0, item rows unbounded preceding) as wides from placed window p as (partition by doc, page))
+    select doc, page, item, row_number() over (partition by doc, page order by case when two then wides * 2 - case when c is null then 1 else 0 end else 0 end, case when two then coalesce(c, 0) else 0 end,
+        case when two then y0 else round_even(y0 / 4, 0) end, x0, item) as rank from paged""",
+    LAYOUT,
+)
+def page_order(spark, sf_dir):
+    items = layout_items(spark, sf_dir)
+    items = items.withColumn("x1", F.when(F.col("chars") % 5 == 0, F.col("x0") + 400).otherwise(F.col("x0") + 240))
+    return layout.page_order(items).select("doc", "page", "item", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """,, boxes as (select doc, page, pos, case when n % 2 = 0 then 'list' else 'paragraph' end as type, '- ' || md as md, (pos % 8) * 100.0::double + 5 as y0, (pos % 8) * 100.0::double + case when n % 3 = 0 then 12 else 95 end as y1 from plain),
+    joined as (select *, case when type = 'list' and lag(type) over w = 'list' and y0 - lag(y1) over w <= 30 then 0 else 1 end as begins from boxes window w as (partition by doc, page order by pos)),
+    grouped as (select *, sum(begins) over (partition by doc, page order by pos rows unbounded preceding) as g from joined)
+    select doc, page, min(pos) as pos, arg_min(type, pos) as type, string_agg(md, chr(10) order by pos) as md, min(y0) as y0, max(y1) as y1 from grouped group by doc, page, g""",
+    _RULED,
+)
+def merged_lists(spark, sf_dir):
+    n, y0 = F.col("n"), (F.col("pos") % 8) * 100.0
+    boxes = _plain(spark, sf_dir).select("doc", "page", "pos", F.when(n % 2 == 0, "list").otherwise("paragraph").alias("type"), F.concat(F.lit("- "), "md").alias("md"), (y0 + 5).alias("y0"), (y0 + F.when(n % 3 == 0, 12).otherwise(95)).alias("y1"))
+    return layout.merged_lists(boxes)
+
+
+@query(
+    rf""",, cut as (select doc, pos, id, regexp_replace(md, '([a-z]+) ([a-z]+)', '\1{_SOFT}\2') || case when n % 3 = 0 then ' ' || regexp_replace(regexp_extract(md, '([a-z]+) ([a-z]+)'), ' ', '-') else '' end as md from plain),
+    pieces as (select *, regexp_extract(md, '\w*{_SOFT}\w*') as piece from cut),
+    seen as (select distinct doc, unnest(regexp_extract_all(lower(replace(md, '{_SOFT}', ' ')), '\w+')) as w from cut),
+    hyphened as (select distinct doc, unnest(regexp_extract_all(lower(md), '\w+-\w+')) as w from cut)
+    select p.id, case when p.piece = '' then p.md when h.w is not null and s.w is null then replace(p.md, p.piece, replace(p.piece, '{_SOFT}', '-')) else replace(p.md, p.piece, replace(p.piece, '{_SOFT}', '')) end as md
+    from pieces p left join hyphened h on h.doc = p.doc and h.w = lower(replace(p.piece, '{_SOFT}', '-')) left join seen s on s.doc = p.doc and s.w = lower(replace(p.piece, '{_SOFT}', ''))""",
+    _RULED,
+)
+def resolved_hyphens(spark, sf_dir):
+    n = F.col("n")
+    pair = F.regexp_extract("md", "([a-z]+) ([a-z]+)", 0)
+    first = F.when(pair != "", F.concat(F.substr("md", F.lit(1), F.instr("md", pair) - 1), F.replace(pair, F.lit(" "), F.lit(_SOFT)), F.substr("md", F.instr("md", pair) + F.length(pair)))).otherwise(F.col("md"))
+    md = F.concat(first, F.when(n % 3 == 0, F.concat(F.lit(" "), F.replace(pair, F.lit(" "), F.lit("-")))).otherwise(F.lit("")))
+    return layout.resolved_hyphens(_plain(spark, sf_dir).withColumn("md", md)).select("id", "md")
