@@ -32,6 +32,7 @@ text. Only doc_id and text are read, of labels doc_id and toxic, whatever else t
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,14 +45,16 @@ from pyspark.sql import functions as F
 from stratalith.llm.textbytes import hash_sums, lean, slices, span_hashes, tables, words
 from stratalith.storage import Shared, materialize
 
-EXAMPLES = 2048
-PREFIXES = (3, 5, 7)
+EXAMPLES = 1024
+PREFIXES = (5, 7)
 #: The value of G2 that chance exceeds once in a thousand terms.
 CHANCE = 10.8
 NEIGHBOURS = 15
 CALIBRATION = 400
 BLOCK = 64
-FIRST = 8
+FIRST = 4
+#: Results of texts that a task keeps for copies of them.
+KEPT = 1 << 16
 _SLOTS = 1 << 22
 
 
@@ -122,25 +125,26 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine (ties: lower number first) and their cosines."""
         blocks = -(-len(self.ids) // BLOCK)
-        entries = _ranges(self.entry[term], self.entry[term + 1])
-        own = np.repeat(weight, self.entry[term + 1] - self.entry[term])
+        lists = self.entry[term], self.entry[term + 1]
+        entries, own = _ranges(*lists), np.repeat(weight, lists[1] - lists[0])
         at = self.block[entries]
         bound = np.bincount(at, own * self.most[entries], blocks)
         order = np.argsort(-bound, kind="stable")
-        opened = np.zeros(blocks, bool)
-        cosine = np.zeros(blocks * BLOCK)
-        wanted = np.zeros(blocks, bool)
+        cosine, wanted = np.zeros(blocks * BLOCK), np.zeros(blocks, bool)
         wanted[order[:FIRST]] = True
-        for _ in range(2):
-            some = np.flatnonzero(wanted[at])
-            first, last = self.posting[entries[some]], self.posting[entries[some] + 1]
+        for step in range(2):
+            if step and 2 * wanted.sum() > blocks:  # all lists from end to end cost less than most of their entries
+                first, last, each = self.posting[lists[0]], self.posting[lists[1]], weight
+                cosine[:] = 0
+            else:
+                some = np.flatnonzero(wanted[at])
+                first, last, each = self.posting[entries[some]], self.posting[entries[some] + 1], own[some]
             post = _ranges(first, last)
-            cosine += np.bincount(self.example[post], np.repeat(own[some], last - first) * self.weight[post], len(cosine))
-            opened |= wanted
+            cosine += np.bincount(self.example[post], np.repeat(each, last - first) * self.weight[post], len(cosine))
             if without is not None:
                 cosine[without] = 0
             kth = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
-            wanted = ~opened & (bound >= kth - 1e-9) & (bound > 0)
+            wanted = ~wanted & (bound >= kth - 1e-9) & (bound > 0)
             if not wanted.any():
                 break
         found = np.flatnonzero(cosine > max(0.0, kth - 1e-9))
@@ -208,7 +212,7 @@ def build_index(terms: np.ndarray, lengths: tuple[int, ...], idf: np.ndarray, ex
     entry = np.searchsorted(term[new], np.arange(len(terms) + 1)) if len(term) else np.zeros(len(terms) + 1, np.int64)
     return Index(
         terms, lengths, idf, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64), np.array([e[2] for e in examples]), rate,
-        entry, block[new].astype(np.int32), most, np.append(new, len(term)), number.astype(np.int32), weight,
+        entry, block[new], most, np.append(new, len(term)), number, weight,
     )
 
 
@@ -331,11 +335,17 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = N
 
 
 def row_scores(index: Index, batch: pa.RecordBatch, column: int, k: int, tab: dict, cache: dict) -> Iterator[tuple[float, list[int]]]:
-    """(score, ids of the nearest examples) for each row of the batch."""
+    """(score, ids of the nearest examples) for each row of the batch; copies of a text are scored once."""
+    kept = cache.setdefault("scores", {})
     for lo, hi, row, number, tf in sparse_rows(batch, column, index.terms, index.lengths, tab, cache):
-        cut = np.searchsorted(row, np.arange(hi - lo + 1))
-        for r in range(hi - lo):
-            yield index.score(number[cut[r] : cut[r + 1]], tf[cut[r] : cut[r + 1]].astype(float), k)
+        cut = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
+        for a, b in zip(cut, cut[1:], strict=False):
+            key = hashlib.blake2b(number[a:b].tobytes() + tf[a:b].tobytes(), digest_size=16).digest()
+            if key not in kept:
+                if len(kept) >= KEPT:
+                    kept.clear()
+                kept[key] = index.score(number[a:b], tf[a:b].astype(float), k)
+            yield kept[key]
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence string"
