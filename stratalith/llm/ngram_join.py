@@ -268,7 +268,9 @@ def _cells(shared: DataFrame, *columns: str) -> DataFrame:
     tiles = tiles.withColumn("major", F.when(F.expr(hot), F.col("major")))
     tiles = tiles.withColumn("others", blocks("(rows - coalesce(major.rows, 0))", "(shingles - coalesce(major.shingles, 0))"))
     tiles = tiles.withColumn("majors", F.when(F.col("major").isNull(), F.lit(0)).otherwise(blocks("major.rows", "major.shingles")))
-    rows = shared.join(tiles.select("key", "tile", "others", "majors", F.col("major.first").alias("major")), ["key", "tile"])
+    # written, so that the join has exchanges of its own and Spark can split a hot tile's rows
+    tiles = materialize(tiles.select("key", "tile", "others", "majors", F.col("major.first").alias("major")), "tiles")
+    rows = shared.join(tiles, ["key", "tile"])
     most = F.coalesce(F.col("first") == F.col("major"), F.lit(False))
     number = F.when(most, F.col("others") + F.pmod(F.xxhash64("sid"), F.greatest("majors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("sid"), "others")).cast("int")
     rows = rows.withColumn("block", number).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(most, F.col("others") - 1).otherwise(F.col("others") + F.col("majors") - 1))))
@@ -340,11 +342,14 @@ def jaccard_links(docs: DataFrame, width: int, percent: int, count: bool = True,
     reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("band", "band"), ("bitmap", "bitmap"))])
     reps = materialize(reps, "classes", rows)
     every = reps.select("sid", "n", "band", F.get("keys", F.lit(0)).alias("first"), F.explode("keys").alias("key"))
+    # most keys are of one class alone and go before the classes are sent to their tiles
+    several = materialize(reps.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "keys")
+    every = materialize(every.join(several, "key"), "keyed")
     # each class in its own band's tile, and in the one below as a visitor
     every = every.select("key", "first", "sid", "n", F.posexplode(F.array("band", F.col("band") - 1)).alias("visits", "at")).select("key", F.col("at").cast("long").alias("tile"), (F.col("visits") == 1).alias("visitor"), "first", "sid", "n")
     tiles = every.groupBy("key", "tile").agg(F.count("*").alias("in_tile"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.min("visitor").alias("only_visitors"))
     tiles = tiles.where("in_tile > 1 and not only_visitors and (lo <> hi or lo = key)").select("key", "tile")
-    shared = materialize(every.join(tiles, ["key", "tile"]), "shared", keyed)
+    shared = materialize(every.join(materialize(tiles, "tiles"), ["key", "tile"]), "shared", keyed)
     live = _live(_cells(shared, "n").join(reps.select("sid", "bitmap"), "sid").select("key", "tile", "c1", "c2", "block", "sid", "n", "bitmap"), percent)
     members = materialize(shared.join(live, ["key", "tile", "sid"]), "members", keyed)
     wanted = members.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
