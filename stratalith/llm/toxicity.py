@@ -54,7 +54,7 @@ CALIBRATION = 400
 BLOCK = 64
 FIRST = 4
 #: Results of texts that a task keeps for copies of them.
-KEPT = 1 << 16
+KEPT = 1 << 13
 _SLOTS = 1 << 22
 
 
@@ -209,10 +209,11 @@ def build_index(terms: np.ndarray, lengths: tuple[int, ...], idf: np.ndarray, ex
     block = number // BLOCK
     new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(term) else none.astype(np.int64)
     most = np.maximum.reduceat(weight, new) if len(term) else none
+    most = np.nextafter(most.astype(np.float32), np.float32(2))  # in few bytes and still no less than any weight
     entry = np.searchsorted(term[new], np.arange(len(terms) + 1)) if len(term) else np.zeros(len(terms) + 1, np.int64)
     return Index(
         terms, lengths, idf, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64), np.array([e[2] for e in examples]), rate,
-        entry, block[new], most, np.append(new, len(term)), number, weight,
+        entry.astype(np.int32), block[new].astype(np.int32), most, np.append(new, len(term)).astype(np.int32), number.astype(np.int32), weight,
     )
 
 
