@@ -209,11 +209,16 @@ def chapters(elements: DataFrame) -> DataFrame:
     return out.drop("__m", "__t", "__book", "__parts", "__first", "__type", "__level")
 
 
+def section_number(text: Column) -> Column:
+    """The number before a title that begins with a capital, empty if there is none."""
+    return F.regexp_extract(text, r"^(\d+(?:\.\d+)*)\.?\s+(\p{Lu}.*)$", 1)
+
+
 def fallback_headings(elements: DataFrame) -> DataFrame:
     """Short paragraphs in capitals, or with a section number, as headings: for texts without font sizes."""
     md, words = F.col("md"), F.size(F.split(strip(F.col("md")), r"\s+"))
-    number = F.regexp_extract("md", r"^(\d+(?:\.\d+)*)\.?\s+(\p{Lu}.*)$", 1)
-    title_words = F.size(F.split(F.regexp_extract("md", r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$", 2), r"\s+"))
+    number = section_number(md)
+    title_words = F.size(F.split(strip(F.regexp_extract("md", r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$", 2)), r"\s+"))
     letters = F.regexp_replace("md", r"[^\p{L}]", "")
     fits = (F.col("type") == "paragraph") & (F.length("md") <= 80) & ~md.contains("\n") & ~md.rlike(HEADING_END)
     numbered = (number != "") & (title_words <= 10)
