@@ -83,12 +83,16 @@ def same_size(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(0.5), F.greatest(a, b) * 0.2)
 
 
-def heading_levels(items: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc, size, level): the five largest sizes of short blocks clearly larger than the body."""
+def heading_levels(items: DataFrame, sizes: DataFrame, text: Column | None = None) -> DataFrame:
+    """(doc, size, level): the five largest sizes of short blocks clearly larger than the body.
+
+    A block is as long as its joined lines, or as ``text`` if that is given.
+    """
+    text = joined_lines(F.col("lines")) if text is None else text
     short = items.join(sizes, "doc").where((F.col("kind") == "text") & (F.col("size") >= F.col("body") * HEADING_FACTOR))
     if "noise" in items.columns:
         short = short.where("noise is null")
-    short = short.where((F.length(joined_lines(F.col("lines"))) <= 160) & (F.size("lines") <= 3)).select("doc", "size").distinct()
+    short = short.where((F.length(text) <= 160) & (F.size("lines") <= 3)).select("doc", "size").distinct()
     return short.withColumn("level", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size")))).where("level <= 5")
 
 

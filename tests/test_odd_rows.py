@@ -25,3 +25,9 @@ def test_fallback_headings_keep_the_depth_of_their_number(spark):
     ten = "1.2.3 One two three four five six seven eight nine tenth "
     df = spark.createDataFrame([("d", 0, "paragraph", ten, None)], "doc string, pos int, type string, md string, level int")
     assert [(r.type, r.level) for r in fallback_headings(df).collect()] == [("heading", 3)]
+
+
+def test_heading_levels_count_all_spaces(spark, tmp_path):
+    small, left, right = "x" * 240, "a" * 80, "b" * 79  # the first is body text of size 8, the lines behind it are of size 10
+    got = same_as_sql(spark, tmp_path, "heading_levels", [f"{small}\n{left} é é é {right}", f"{small}\n{left} {right}"])
+    assert [(r.doc, r["size"], r.level) for r in got] == [("d1", 10.0, 1)]
