@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +55,44 @@ def bigrams(elements: DataFrame, text: str = "md") -> DataFrame:
     return seq.where("b is not null").groupBy("doc", "a", "b").agg(F.count("*").alias("n"))
 
 
-def glued_words(counts: DataFrame, pairs: DataFrame, rare: int = 2, frequent: int = 20, together: int = 5) -> DataFrame:
-    """(doc, word, a, b): a rare word of five letters or more that is two frequent words which often stand together."""
-    some = counts.where(F.col("n") <= rare).where("length(word) >= 5")
-    split = some.select("doc", "word", F.explode(_cuts(F.col("word"), 2, F.length("word") - 2)).alias("x")).select("doc", "word", "x.k", "x.a", "x.b")
-    often = counts.where(F.col("n") >= frequent).select("doc", F.col("word").alias("a"))
-    split = split.join(often, ["doc", "a"], "left_semi").join(often.withColumnRenamed("a", "b"), ["doc", "b"], "left_semi")
-    split = split.join(pairs.where(F.col("n") >= together).select("doc", "a", "b"), ["doc", "a", "b"], "left_semi")
-    return split.groupBy("doc", "word").agg(F.min(F.struct("k", "a", "b")).alias("x")).select("doc", "word", "x.a", "x.b")
+def glued_words(elements: DataFrame, text: str = "md", rare: int = 2, frequent: int = 20, together: int = 5) -> DataFrame:
+    """(doc, word, a, b): a rare word of five letters or more that is two frequent words which often stand together.
+
+    A document's text is moved once and its words are counted in one place; words, pairs
+    and cuts aren't sent anywhere. Of several cuts the first counts, each part having two
+    letters or more. A null doc has no words.
+    """
+    rows = elements.where("doc is not null").select("doc", "pos", F.col(text).alias("text")).repartition("doc").sortWithinPartitions("doc", "pos")
+
+    def glued(doc, seq):
+        counts = Counter(seq)
+        some = {w for w, n in counts.items() if n <= rare and len(w) >= 5}
+        often = {w for w, n in counts.items() if n >= frequent and len(w) >= 2}
+        pairs = Counter((a, b) for a, b in zip(seq, seq[1:], strict=False) if a in often and b in often)
+        first: dict = {}
+        for (a, b), n in pairs.items():
+            if n >= together and a + b in some and len(a) < len(first.get(a + b, (a + b,))[0]):
+                first[a + b] = (a, b)
+        return [(doc, w, a, b) for w, (a, b) in first.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(4)], ["doc", "word", "a", "b"])
+
+        doc, seq = None, []
+        for batch in batches:
+            found, at = [], 0
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).tolist()
+            for d, n in zip(batch.column(0).to_pylist(), batch.column(1).value_lengths().fill_null(0).to_pylist(), strict=True):
+                if d != doc:
+                    found += glued(doc, seq)
+                    doc, seq = d, []
+                seq += flat[at : at + n]
+                at += n
+            yield batch_of(found)
+        yield batch_of(glued(doc, seq))
+
+    return rows.select("doc", words(F.col("text")).alias("words")).mapInArrow(run, "doc string, word string, a string, b string")
 
 
 def repeated_lines(elements: DataFrame, least: int = 3, shorter_than: int = 80) -> DataFrame:

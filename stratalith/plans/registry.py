@@ -729,8 +729,7 @@ def bigrams(spark, sf_dir):
     V.DOC_ELEMENTS,
 )
 def glued_words(spark, sf_dir):
-    e = V.doc_elements(spark, sf_dir)
-    return quality.glued_words(quality.word_counts(e), quality.bigrams(e), frequent=3, together=1)
+    return quality.glued_words(V.doc_elements(spark, sf_dir), frequent=3, together=1)
 
 
 @query(
