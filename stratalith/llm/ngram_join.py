@@ -10,6 +10,16 @@ most; k is set for a chance below 1e-10 a pair (a set of k shingles or fewer has
 them all as keys). ``exact_keys`` takes instead the keys that no linked pair can do
 without: of a set of n the n - ceil(t n) + 1 least.
 
+A key of more than ``BLOCK_CLASSES`` classes, such as a shingle of a line that many texts
+have, is common. Classes with such a key take as keys their least hashes that aren't
+common, so that they don't all meet: where a share h of a pair's union is common, the other
+hashes have a similarity of (t - h) / (1 - h) at least, and the number of keys follows from
+that. h is at most the share of either set. Sets with so much in common that twice the
+keys wouldn't do, or with half of their first keys (near copies of one text, which have to
+meet), keep these keys, ahead of the others.
+A pair of which only one set has other keys still shares one that isn't common. New
+keys may turn out to be common, which is looked at ``ROUNDS`` times.
+
 Sizes fall into bands that grow by 1/t, so that linked sets are in one band or in
 neighbouring ones. A tile is a key and a band: the classes of the key in that band, and
 as visitors those of the next. A pair belongs to the tile of its least common key and of
@@ -41,7 +51,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +65,7 @@ from stratalith.storage import materialize
 
 BLOCK_SHINGLES = 1 << 20
 BLOCK_CLASSES = 512
+ROUNDS = 3
 _CANDIDATES = 8388593  # a prime; bits of the bitmap of candidates, 1 MB
 
 
@@ -63,6 +74,21 @@ def keys_for(percent: int) -> int:
     return math.ceil(10 / -math.log10(1 - percent / 100)) if percent < 100 else 1
 
 
+def uncommon_keys(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of the sorted set ``s``, those of the sorted array ``common`` coming first, if it keeps any.
+
+    (1 - t) / (1 - h) is the chance that the least of a pair's other hashes isn't in both.
+    """
+    least = keys_for(percent)
+    at = np.searchsorted(common, s)
+    at[at == len(common)] = 0
+    known = common[at] == s
+    differ = (1 - percent / 100) / max(1 - known.mean(), 1e-9)
+    if differ <= math.sqrt(1 - percent / 100) and 2 * np.count_nonzero(known[:least]) <= min(least, len(s)):
+        return s[~known][: math.ceil(10 / -math.log10(differ))]
+    return np.concatenate([s[:least][known[:least]], s[~known][: 2 * least]])
+
+
 def band_starts(percent: int, most: int = 1 << 40) -> list[int]:
     """The least size of each band; sets that link are in one band or in neighbouring ones."""
     out = [1]
@@ -120,8 +146,8 @@ def document_sets(docs: DataFrame, width: int, percent: int, exact_keys: bool =
     return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, sid binary, keys array<long>, band int, bitmap binary")
 
 
-def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, shingles) for the classes of ``wanted`` (sid, rep), from their representatives' texts.
+def _parsed(docs: DataFrame, wanted: DataFrame, width: int, schema: str, of: Callable) -> DataFrame:
+    """The batches that ``of`` makes of (doc_ids, sets) for rows that may be the representatives of ``wanted`` (sid, rep).
 
     A bitmap of doc_ids, of fixed size, keeps other rows from being parsed again.
     """
@@ -135,13 +161,80 @@ def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFram
             at = batch.column(0).fill_null(0).to_numpy() % _CANDIDATES
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for lo, hi, sets in _sets(batch, width, tab, cache):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "sid", "shingles"],
-                )
+                yield of(batch.column(0).slice(lo, hi - lo), sets)
+
+    return docs.mapInArrow(lean(run), schema)
+
+
+def _of_candidates(docs: DataFrame, wanted: DataFrame, width: int, column: str, of: Callable) -> DataFrame:
+    """(sid, ``column``) for the classes of ``wanted`` (sid, rep): what ``of`` makes of their sets, from their representatives' texts."""
+    name, kind = column.split()
+    arrow = pa.binary() if kind == "binary" else pa.list_(pa.int64())
+
+    def batch_of(doc_ids, sets):
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([of(s) for s in sets], arrow)], ["doc_id", "sid", name])
+
+    found = _parsed(docs, wanted, width, f"doc_id long, sid binary, {column}", batch_of)
+    return found.join(wanted, "sid").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", name).dropDuplicates(["sid"])
+
+
+def candidate_arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sid, shingles) for the classes of ``wanted`` (sid, rep)."""
+    return _of_candidates(docs, wanted, width, "shingles binary", np.ndarray.tobytes)
+
+
+def repeated_hashes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, count) of hashes that the sets of ``wanted`` (sid, rep) have, keys or not, counted where a batch has one twice."""
+
+    def batch_of(doc_ids, sets):
+        key, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[count > 1].view(np.int64)), pa.array(count[count > 1])], ["key", "count"])
+
+    return _parsed(docs, wanted, width, "key long, count long", batch_of).groupBy("key").agg(F.sum("count").alias("count"))
+
+
+def _key_counts(classes: DataFrame) -> DataFrame:
+    """(key, count) of the keys that several classes have."""
+    return materialize(classes.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1"), "keys")
+
+
+def spread_keys(docs: DataFrame, reps: DataFrame, width: int, percent: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(sid, n, band, copies, keys) of the classes, with other keys where theirs are common, and the keys' counts."""
+    classes = reps.select("sid", "n", "band", "copies", "keys")
+    counts, common = _key_counts(classes), np.empty(0, np.uint64)
+    often = lambda found: found.where(F.col("count") > BLOCK_CLASSES).select("key").toArrow().column(0).to_numpy().view(np.uint64)
+    for k in range(ROUNDS if percent < 100 else 0):
+        found = often(counts)
+        if np.isin(found, common).all():
+            break
+        common = np.union1d(common, found)
+        wanted = _having(reps, common, rows)
+        if k == 0:  # the other hashes of what they have in common, before they become keys
+            common = np.union1d(common, often(repeated_hashes(docs, wanted, width)))
+            wanted = _having(reps, common, rows)
+        shared = docs.sparkSession.sparkContext.broadcast(common)
+
+        def keys_of(s: np.ndarray, shared=shared) -> np.ndarray:
+            return uncommon_keys(s, shared.value, percent).view(np.int64)
+
+        other = _of_candidates(docs, wanted, width, "new array<long>", keys_of)
+        classes = reps.select("sid", "n", "band", "copies", "keys").join(other, "sid", "left")
+        classes = materialize(classes.select("sid", "n", "band", "copies", F.coalesce("new", "keys").alias("keys")), "spread", rows)
+        counts = _key_counts(classes)
+    return classes, counts
+
+
+def _having(reps: DataFrame, common: np.ndarray, rows: int) -> DataFrame:
+    """(sid, rep) of the classes with a key of ``common``."""
+    shared = reps.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, size = batch.column(2).flatten().to_numpy().view(np.uint64), batch.column(2).value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)[np.isin(keys, shared.value)]
+            yield batch.select([0, 1]).take(pa.array(np.unique(row)))
 
-    found = docs.mapInArrow(lean(run), "doc_id long, sid binary, shingles binary")
-    return found.join(wanted, "sid").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "shingles").dropDuplicates(["sid"])
+    return materialize(reps.select("sid", "rep", "keys").mapInArrow(lean(run), "sid binary, rep long"), "common", rows)
 
 
 def overlaps(a: np.ndarray, many: list[np.ndarray]) -> list[int]:
@@ -338,13 +431,16 @@ def jaccard_links(docs: DataFrame, width: int, percent: int, count: bool = True,
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sets = materialize(document_sets(docs, width, percent, exact_keys), "sets")
     rows = sets.count()  # from the files' footers
-    keyed = None if exact_keys else 2 * rows * keys_for(percent)
     reps = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("band", "band"), ("bitmap", "bitmap"))])
     reps = materialize(reps, "classes", rows)
-    every = reps.select("sid", "n", "band", F.get("keys", F.lit(0)).alias("first"), F.explode("keys").alias("key"))
+    if exact_keys:
+        classes, several, keyed = reps.select("sid", "n", "band", "copies", "keys"), _key_counts(reps), None
+    else:
+        classes, several = spread_keys(docs, reps, width, percent, rows)
+        keyed = 2 * rows * keys_for(percent)
+    every = classes.select("sid", "n", "band", F.get("keys", F.lit(0)).alias("first"), F.explode("keys").alias("key"))
     # most keys are of one class alone and go before the classes are sent to their tiles
-    several = materialize(reps.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key"), "keys")
-    every = materialize(every.join(several, "key"), "keyed")
+    every = materialize(every.join(several.select("key"), "key"), "keyed")
     # each class in its own band's tile, and in the one below as a visitor
     every = every.select("key", "first", "sid", "n", F.posexplode(F.array("band", F.col("band") - 1)).alias("visits", "at")).select("key", F.col("at").cast("long").alias("tile"), (F.col("visits") == 1).alias("visitor"), "first", "sid", "n")
     tiles = every.groupBy("key", "tile").agg(F.count("*").alias("in_tile"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.min("visitor").alias("only_visitors"))
@@ -354,7 +450,7 @@ def jaccard_links(docs: DataFrame, width: int, percent: int, count: bool = True,
     members = materialize(shared.join(live, ["key", "tile", "sid"]), "members", keyed)
     wanted = members.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
     arrays = candidate_arrays(docs, materialize(wanted, "wanted", rows), width)
-    arrays = materialize(arrays.join(reps.select("sid", "copies", "keys"), "sid"), "arrays")
+    arrays = materialize(arrays.join(classes.select("sid", "copies", "keys"), "sid"), "arrays")
     cells = _cells(members, "visitor").join(arrays, "sid").select("key", "tile", "c1", "c2", "block", "sid", "visitor", "copies", "keys", "shingles")
     links = materialize(_links(cells, percent, count), "links", 2 * rows)
     roots = components(materialize(links.where("b is not null").select("a", "b").distinct(), "forest", rows))

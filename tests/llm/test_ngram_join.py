@@ -158,3 +158,51 @@ def test_components(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150), (7, 7)]
     got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 150: 100}
+
+
+def strangers():
+    """Texts of many sizes that share a line and little else, some with a near copy."""
+    rng = random.Random(11)
+    line = [f"l{k}" for k in range(12)]
+    rows = []
+    for n in range(30, 130):
+        own = [f"v{rng.randrange(100_000)}" for _ in range(n)]
+        at = rng.randrange(n)
+        rows.append(own[:at] + line + own[at:])
+        if n % 4 == 0:
+            rows.append(own[:at] + line + own[at:-1] + ["other"])
+    return [(k, " ".join(r)) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_a_common_line_makes_no_cells(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(J, "BLOCK_CLASSES", 8)
+    made, cells = [], J._cells
+
+    def watched(shared, *columns):
+        out = J.materialize(cells(shared, *columns), "watched")
+        made.append((shared.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(J, "_cells", watched)
+    rows = strangers()
+    got = J.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, percent).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == brute_links(rows, width, percent)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, width, percent)
+    assert all(after <= 1.2 * before for before, after in made), made
+
+
+def test_keys_beside_common_ones():
+    rng = np.random.default_rng(3)
+    common = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    for percent, n, m in ((80, 400, 0), (80, 400, 60), (80, 400, 150), (80, 400, 299), (85, 40, 20), (80, 10, 5), (80, 0, 7)):
+        s = np.unique(np.concatenate([rng.integers(0, 1 << 63, n).astype(np.uint64), common[:: max(1, 300 // max(m, 1))][:m]]))
+        keys = J.uncommon_keys(s, common, percent)
+        other, least = s[~np.isin(s, common)], J.keys_for(percent)
+        held = keys[np.isin(keys, common)]
+        assert len(np.unique(keys)) == len(keys) and list(keys) == [*held, *other[: len(keys) - len(held)]]
+        if len(held):  # as many first keys as without common ones
+            assert set(s[:least].tolist()) <= set(keys.tolist()) and len(keys) - len(held) == min(len(other), 2 * least)
+        else:
+            h = 1 - len(other) / len(s)
+            assert len(keys) == len(other) or (1 - (percent / 100 - h) / (1 - h)) ** len(keys) <= 1e-10 * 1.001
