@@ -108,38 +108,13 @@ def _literals(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
 
 
-def with_window_hashes(rows: DataFrame, words: str, sizes: list[int]) -> DataFrame:
-    """Adds for each size an array ``__h{size}``: the hash of the window at each place of the array ``words``.
+def window_hash(words: str, at: Column, size: int) -> Column:
+    """The hash of ``size`` words of the array ``words`` from place ``at`` (0: the first), null where fewer are left.
 
-    Windows are hashed from the hashes of their halves, one pass over the array for each
-    step; cutting each window out of the array would take a copy of it for every place.
+    The words are taken by their places, which compiled code does where they lie; lambda
+    functions over the array aren't compiled, and box and write the hashes of every place.
     """
-    parts: list[int] = []
-
-    def need(size: int) -> None:
-        if size not in parts:
-            if size > 1:
-                need(_half(size))
-                need(size - _half(size))
-            parts.append(size)
-
-    for size in sizes:
-        need(size)
-    for size in parts:  # the places at the end, with too few words behind them, are cut off below
-        rows = rows.withColumn(f"__h{size}", _joined(words, size) if size > 1 else F.transform(words, lambda x: F.xxhash64(x)))
-    rows = rows.select(*[c for c in rows.columns if not c.startswith("__h")], *[F.slice(f"__h{size}", 1, F.greatest(F.size(words) - size + 1, F.lit(0))).alias(f"__h{size}") for size in sorted(set(sizes))])
-    return rows
-
-
-def _joined(words: str, size: int) -> Column:
-    half = _half(size)
-    behind = F.slice(f"__h{size - half}", half + 1, F.greatest(F.size(words) - half, F.lit(0)))
-    return F.zip_with(f"__h{half}", behind, lambda x, y: F.xxhash64(x, y, F.lit(size)))
-
-
-def _half(size: int) -> int:
-    """The greatest power of two below ``size``."""
-    return 1 << ((size - 1).bit_length() - 1) if size > 1 else 0
+    return F.when(at + size <= F.size(words), F.xxhash64(*[F.get(words, at + k) for k in range(size)], F.lit(size)))
 
 
 def width_of(n: Column) -> Column:
@@ -178,16 +153,17 @@ def benchmark_windows(items: DataFrame) -> tuple[DataFrame, list[int]]:
     least = min((_hashed(w)[0] for w in plan), default=WIDTH)
     for width in plan:
         size, step = _hashed(width)
-        some = with_window_hashes(items.where(F.col("width") == width), "t", [size, least])
-        last = F.when(F.col("variant") == EXACT, F.lit(step)).otherwise(F.size(f"__h{size}"))
-        offs = some.select("item", "variant", "t", f"__h{least}", F.posexplode(F.slice(f"__h{size}", 1, last)).alias("off", "h"))
+        off = F.col("off")
+        offs = items.where(F.col("width") == width).select("item", "variant", "t", F.posexplode("t").alias("off", "x"))
+        offs = offs.where((off + size <= F.size("t")) & ((F.col("variant") != EXACT) | (off < step)))
 
         def telling(off, width=width, step=step):  # a run with this window in it has a word that is no placeholder
             first = F.greatest(off - (step - 1), F.lit(0))
             return (F.col("variant") == EXACT) | (_literals(F.slice(F.col("t"), first + 1, off - first + width)) > 0)
 
-        before = F.when(F.col("off") >= step, telling(F.greatest(F.col("off") - step, F.lit(0)))).otherwise(F.lit(False))
-        parts.append(offs.where(telling(F.col("off"))).select("h", F.get(f"__h{least}", F.col("off")).alias("begin"), "item", "variant", "off", F.lit(step).alias("step"), before.alias("prev")))
+        before = F.when(off >= step, telling(F.greatest(off - step, F.lit(0)))).otherwise(F.lit(False))
+        hashes = [window_hash("t", off, size).alias("h"), window_hash("t", off, least).alias("begin")]
+        parts.append(offs.where(telling(off)).select(*hashes, "item", "variant", "off", F.lit(step).alias("step"), before.alias("prev")))
     if not parts:
         return items.selectExpr("0L h", "0L begin", "item", "variant", "0 off", "1 step", "false prev"), plan
     windows = parts[0]
@@ -240,16 +216,16 @@ def _hits(rows: DataFrame, windows: DataFrame, plan: list[int]) -> DataFrame:
         steps[size] = min(step, steps.get(size, step))
     sizes = sorted(steps.items())
     least, step = sizes[0][0], min(steps.values())
-    own = [c for c in rows.columns if not c.startswith("__h")]
-    rows = with_window_hashes(rows, "w", [size for size, _ in sizes])
-    every = F.arrays_zip(*[F.col(f"__h{size}").alias(f"h{size}") for size, _ in sizes])
-    # outer, as an inner one would have the arrays computed twice, to filter and to emit
-    rows = rows.select(*own, F.posexplode_outer(every).alias("at", "x")).where((F.col("at") % step == 0) & begins(F.col(f"x.h{least}")))
+    own, at = rows.columns, F.col("at")
+    # outer, as an inner one would have the words computed twice, to filter and to emit
+    rows = rows.select(*own, F.posexplode_outer("w").alias("at", "x")).where(at % step == 0)
+    # exploded, as a filter would sink below a projection and have the hash computed once more for each use
+    rows = rows.select(*own, "at", F.explode_outer(F.array(window_hash("w", at, least))).alias("h")).where(begins(F.col("h")))
     if len(sizes) == 1:
-        return rows.select(*own, (F.col("at") + 1).alias("i"), F.col(f"x.h{least}").alias("h"))
+        return rows.select(*own, (at + 1).alias("i"), "h")
     # where no least window begins, no other is looked for
-    each = F.array(*[F.when(F.col("at") % step == 0, F.col(f"x.h{size}")) for size, step in sizes])
-    return rows.select(*own, (F.col("at") + 1).alias("i"), F.explode(each).alias("h")).where(F.col("h").isNotNull() & known(F.col("h")))
+    each = F.array(*[F.when(at % step == 0, window_hash("w", at, size)) for size, step in sizes])
+    return rows.select(*own, (at + 1).alias("i"), F.explode(each).alias("h")).where(F.col("h").isNotNull() & known(F.col("h")))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -284,7 +260,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.transform(F.filter(F.transform(laid, point), lambda x: x["w"] == x["t"]), lambda x: x.dropFields("w"))
     key = ["doc_id", "row", "reading", "item", "variant"]
     shift = F.col("passed") + F.col("shift")
-    found = found.select(*key, "n", "width", "literals", "words", shift.alias("shift"), (shift / F.col("n")).alias("at"), same.cast(f"array<{_POINT}>").alias("one"))
+    # exploded, as the filter behind it would sink into the join and have the values of a whole text read for each window, agreeing or not
+    one = F.explode_outer(F.array(same.cast(f"array<{_POINT}>"))).alias("one")
+    found = found.select(*key, "n", "width", "literals", "words", shift.alias("shift"), (shift / F.col("n")).alias("at"), one)
     found = found.where((_runs(F.col("one"))["telling"] >= F.col("width")) | (F.col("variant") == EXACT))
     order = Window.partitionBy(*key).orderBy("at")
     found = found.withColumn("last", F.lag("shift").over(order)).where("last is null or last != shift")

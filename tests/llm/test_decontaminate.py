@@ -277,3 +277,25 @@ def test_very_long_text_repeated_rows_and_ties(spark):
     docs = [(1, long), (1, long), (2, one + " " + one), (None, one)]
     got = leaked(spark, docs, ITEMS)
     assert set(got) == {(1, 1), (2, 1), (None, 1)} and all(r.coverage == 1.0 and r.changed_slots == 0 for r in got.values())
+
+
+def test_whole_texts_stay_out_of_joins_and_lambdas(spark):
+    d = spark.createDataFrame([(1, ITEMS[0][1])], "doc_id long, text string")
+    b = spark.createDataFrame([(i, t) for i, t in ITEMS if i < 3], "item_id long, text string")
+    lines = D.find_leaks(d, b)._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [k for k, line in enumerate(lines) if "Join" in line]
+    assert len(joins) == 2
+    # the values of a text are read behind the joins, not for each row that they compare
+    assert not any("regexp_extract_all" in lines[k] for k in joins)
+    # and its windows are hashed without lambda functions
+    assert not any("lambdafunction" in line for line in lines[joins[0] :])
+
+
+def test_window_hashes(spark):
+    words = LETTERS[:7] + LETTERS[:5]
+    rows = spark.createDataFrame([(words,), ([],)], "w array<string>").selectExpr("w", "explode(sequence(0, 12)) as at")
+    got = {(len(r.w), r.at): (r.five, r.one) for r in rows.select("w", "at", *[D.window_hash("w", rows["at"], size).alias(name) for size, name in ((5, "five"), (1, "one"))]).collect()}
+    five, one = ([got[12, at][k] for at in range(13)] for k in (0, 1))
+    assert five[0] == five[7] and len(set(five[:7])) == 7 and five[8:] == [None] * 5
+    assert one[:5] == one[7:12] and len(set(one[:7])) == 7 and one[12] is None
+    assert all(got[0, at] == (None, None) for at in range(13))
